@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference works in batch only: it has no stream source, watermark,
+event-time window or stateful operator. Its late-data rule is the trailing
+refresh window of the batch refresh (``grainline.plans.refresh``), which
+re-fetches and overwrites the most recent days on every run. Nothing is
+built here; the package exists so a streaming front end has a home.
+"""
