@@ -200,3 +200,32 @@ def serve_sql(spec: ChartSpec, req: DataRequest) -> str:
         keep = " OR ".join(f"COALESCE({q(m)}, 0) <> 0" for m in metrics)
         sql = f"SELECT * FROM ({sql}) _h WHERE {keep}"
     return sql
+
+
+def natural_sql(v: str) -> str:
+    """DuckDB form of the natural sort key (digits numeric, text lower-case)."""
+    return (
+        f"list_transform(regexp_extract_all(CAST({v} AS VARCHAR), '(\\d+|\\D+)'), lambda x: "
+        "CASE WHEN regexp_full_match(x, '\\d+') THEN {'k': 0, 'n': CAST(x AS DECIMAL(38,0)), 't': ''} "
+        "ELSE {'k': 1, 'n': CAST(0 AS DECIMAL(38,0)), 't': lower(x)} END)"
+    )
+
+
+def dim_values_sql(spec: ChartSpec, dims=None, order_metric: str | None = None) -> str:
+    """Per dimension: distinct non-NULL values with their 1-based position."""
+    parts = []
+    for d in effective_dims(spec, CACHE_COLUMNS[spec.name]):
+        if dims is not None and d.name not in dims:
+            continue
+        c = q(d.col)
+        if d.value_order == "metric" and order_metric:
+            inner = (f"SELECT {c} AS v, SUM(TRY_CAST({q(order_metric)} AS DOUBLE)) AS tot FROM base GROUP BY 1")
+            order = "tot DESC NULLS LAST, v"
+        else:
+            inner = f"SELECT DISTINCT {c} AS v FROM base"
+            order = f"{natural_sql('v')}, v"
+        parts.append(
+            f"SELECT {lit(d.name)} AS dimension, CAST(v AS VARCHAR) AS value, "
+            f"CAST(ROW_NUMBER() OVER (ORDER BY {order}) AS INTEGER) AS position FROM ({inner}) i WHERE v IS NOT NULL"
+        )
+    return f"WITH base AS ({cache_sql(spec)}) " + " UNION ALL ".join(parts)

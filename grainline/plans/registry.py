@@ -11,6 +11,7 @@ import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import oracle as O
 from ..operators import serve as S
@@ -98,3 +99,161 @@ def _agg_2(spark, sf):
 )
 def _agg_3(spark, sf):
     return S.roll_up(A, DataRequest(granularity="week", dimensions=["event_type"]), CH.materialize(spark, sf, A), "dau")
+
+
+# ---------------------------------------------------------------- series
+from ..operators import series as SR  # noqa: E402
+
+SER_REQ = DataRequest(granularity="day", dimensions=["event_type"], metrics=["value", "events"])
+SER_WINDOW = (D(2023, 12, 28), D(2024, 2, 3))
+_ROWS_SQL = O.serve_sql(A, SER_REQ)
+_SER_SQL = f"""WITH r AS ({_ROWS_SQL}),
+s AS (
+  SELECT event_date AS x, event_type, COALESCE(CAST(event_type AS VARCHAR), '∅') AS combo, 'value' AS metric, CAST(value AS DOUBLE) AS value FROM r
+  UNION ALL
+  SELECT event_date AS x, event_type, COALESCE(CAST(event_type AS VARCHAR), '∅') AS combo, 'events' AS metric, CAST(events AS DOUBLE) AS value FROM r
+)"""
+_GRID_SQL = f"""{_SER_SQL},
+k AS (SELECT DISTINCT metric, combo FROM s),
+sp AS (SELECT CAST(g AS DATE) AS x FROM generate_series(DATE '{SER_WINDOW[0]}', DATE '{SER_WINDOW[1]}', INTERVAL 1 DAY) t(g)),
+grid AS (SELECT k.metric, k.combo, sp.x, s.value FROM k CROSS JOIN sp LEFT JOIN s ON s.metric = k.metric AND s.combo = k.combo AND s.x = sp.x)"""
+
+
+def _series(spark, sf):
+    rows = S.serve(A, SER_REQ, CH.materialize(spark, sf, A))
+    return SR.to_series(rows, "event_date", ["event_type"], ["value", "events"])
+
+
+def _grid(spark, sf):
+    return SR.fill_gaps(_series(spark, sf), *SER_WINDOW, "day")
+
+
+register("ser_1", f"{_SER_SQL} SELECT * FROM s")(_series)
+register("ser_2", f"{_GRID_SQL} SELECT * FROM grid")(_grid)
+register("win_1", f"""{_GRID_SQL} SELECT metric, combo, x,
+  AVG(value) OVER (PARTITION BY metric, combo ORDER BY x ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS value FROM grid""")(
+    lambda spark, sf: SR.moving_average(_grid(spark, sf), 7))
+_SHARE = """CASE WHEN value IS NOT NULL AND SUM(COALESCE(value, 0)) OVER (PARTITION BY metric, x) > 0
+  THEN value / SUM(COALESCE(value, 0)) OVER (PARTITION BY metric, x) * 100 ELSE 0 END"""
+register("win_2", f"{_GRID_SQL} SELECT metric, x, combo, {_SHARE} AS value FROM grid")(
+    lambda spark, sf: SR.share_of_total(_grid(spark, sf)))
+register("flt_6", f"{_GRID_SQL} SELECT metric, x, combo, {_SHARE} AS value FROM grid WHERE combo <> 'click'")(
+    lambda spark, sf: SR.share_of_total(SR.hide_series(_grid(spark, sf), ["click"])))
+register("ser_5", f"""{_GRID_SQL}, sh AS (SELECT metric, x, combo, {_SHARE} AS value FROM grid)
+  SELECT metric, x, combo, AVG(value) OVER (PARTITION BY metric, combo ORDER BY x ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value FROM sh""")(
+    lambda spark, sf: SR.moving_average(SR.share_of_total(_grid(spark, sf)), 3))
+register("agg_8", f"{_SER_SQL} SELECT metric, combo, SUM(COALESCE(value, 0)) AS total FROM s GROUP BY 1, 2")(
+    lambda spark, sf: SR.series_totals(_series(spark, sf)))
+register("agg_9", f"{_SER_SQL} SELECT x, SUM(value) AS value FROM s WHERE metric = 'events' GROUP BY x")(
+    lambda spark, sf: SR.point_total(_series(spark, sf).where(F.col("metric") == "events")))
+_PCT = "CASE WHEN {n} IS NOT NULL AND {t} IS NOT NULL AND {t} <> 0 THEN CAST(FLOOR(({n} - {t}) / {t} * 100 + 0.5) AS BIGINT) END"
+register("ser_6", f"""{_GRID_SQL}
+  SELECT g.metric, g.combo, g.x, g.value,
+    {_PCT.format(n='g.value', t='p1.value')} AS short_pct, {_PCT.format(n='g.value', t='p7.value')} AS long_pct
+  FROM grid g
+  LEFT JOIN grid p1 ON p1.metric = g.metric AND p1.combo = g.combo AND p1.x = g.x - 1
+  LEFT JOIN grid p7 ON p7.metric = g.metric AND p7.combo = g.combo AND p7.x = g.x - 7""")(
+    lambda spark, sf: SR.deltas(_grid(spark, sf), "day"))
+register("ser_7", f"""{_SER_SQL}, t AS (SELECT x, SUM(value) AS value FROM s WHERE metric = 'events' GROUP BY x)
+  SELECT t.x, t.value, {_PCT.format(n='t.value', t='p1.value')} AS short_pct, {_PCT.format(n='t.value', t='p7.value')} AS long_pct
+  FROM t LEFT JOIN t p1 ON p1.x = t.x - 1 LEFT JOIN t p7 ON p7.x = t.x - 7""")(
+    lambda spark, sf: SR.total_deltas(_series(spark, sf).where(F.col("metric") == "events"), "day"))
+
+# weekly and monthly spines across a year end, on the sales chart
+SALES_M_REQ = DataRequest(from_date=D(1996, 11, 1), to_date=D(1997, 2, 28), granularity="week", dimensions=["returnflag"], metrics=["lines"])
+
+
+def _sales_weekly(spark, sf):
+    rows = S.serve(SALES, SALES_M_REQ, CH.materialize(spark, sf, SALES))
+    s = SR.to_series(rows, "ship_date", ["l_returnflag"], ["lines"])
+    return SR.deltas(SR.fill_gaps(s, D(1996, 11, 1), D(1997, 2, 28), "week"), "week")
+
+
+register("ser_6_week", f"""WITH r AS ({O.serve_sql(SALES, SALES_M_REQ)}),
+s AS (SELECT ship_date AS x, COALESCE(CAST(l_returnflag AS VARCHAR), '∅') AS combo, 'lines' AS metric, CAST(lines AS DOUBLE) AS value FROM r),
+k AS (SELECT DISTINCT metric, combo FROM s),
+sp AS (SELECT CAST(g AS DATE) AS x FROM generate_series(DATE '1996-10-28', DATE '1997-02-24', INTERVAL 7 DAY) t(g)),
+grid AS (SELECT k.metric, k.combo, sp.x, s.value FROM k CROSS JOIN sp LEFT JOIN s ON s.metric = k.metric AND s.combo = k.combo AND s.x = sp.x)
+SELECT g.metric, g.combo, g.x, g.value,
+  {_PCT.format(n='g.value', t='p1.value')} AS short_pct, {_PCT.format(n='g.value', t='p7.value')} AS long_pct
+FROM grid g
+LEFT JOIN grid p1 ON p1.metric = g.metric AND p1.combo = g.combo AND p1.x = g.x - 7
+LEFT JOIN grid p7 ON p7.metric = g.metric AND p7.combo = g.combo AND p7.x = g.x - 28""")(_sales_weekly)
+
+# top series: orders by month split by country (25 combos), cap 20
+TOP_REQ = DataRequest(granularity="month", dimensions=["country"], metrics=["orders", "amount"])
+_TOP_SER_SQL = f"""WITH r AS ({O.serve_sql(OBM, TOP_REQ)}),
+s AS (
+  SELECT order_date AS x, country, COALESCE(country, '∅') AS combo, 'orders' AS metric, CAST(orders AS DOUBLE) AS value FROM r
+  UNION ALL
+  SELECT order_date AS x, country, COALESCE(country, '∅') AS combo, 'amount' AS metric, CAST(amount AS DOUBLE) AS value FROM r
+),
+tot AS (SELECT combo, SUM(COALESCE(value, 0)) AS total FROM s WHERE metric = 'orders' GROUP BY combo),
+keep AS (SELECT combo FROM tot ORDER BY total DESC, {O.natural_sql('combo')}, combo LIMIT 20)"""
+
+
+def _top_input(spark, sf):
+    rows = S.serve(OBM, TOP_REQ, CH.materialize(spark, sf, OBM))
+    return SR.to_series(rows, "order_date", ["country"], ["orders", "amount"])
+
+
+register("win_3", f"{_TOP_SER_SQL} SELECT * FROM s WHERE combo IN (SELECT combo FROM keep)")(
+    lambda spark, sf: SR.top_series(_top_input(spark, sf), 20, by_metric="orders"))
+register("ser_3", f"""{_TOP_SER_SQL} SELECT CAST(COUNT(DISTINCT combo) AS BIGINT) AS present,
+  CAST(LEAST(COUNT(DISTINCT combo), 20) AS BIGINT) AS kept, CAST(GREATEST(COUNT(DISTINCT combo) - 20, 0) AS BIGINT) AS dropped FROM s""")(
+    lambda spark, sf: SR.cap_series(_top_input(spark, sf), 20, by_metric="orders")[1])
+register("srt_4", f"""{_TOP_SER_SQL}, st AS (SELECT metric, combo, SUM(COALESCE(value, 0)) AS total FROM s GROUP BY 1, 2),
+  rk AS (SELECT metric, combo, CAST(ROW_NUMBER() OVER (ORDER BY CASE metric WHEN 'orders' THEN 1 ELSE 2 END, total DESC, {O.natural_sql('combo')}, combo) AS INTEGER) AS series_rank FROM st)
+  SELECT s.*, rk.series_rank FROM s JOIN rk USING (metric, combo)""")(
+    lambda spark, sf: SR.order_series(_top_input(spark, sf), "metric", ["orders", "amount"]))
+register("ser_8", f"""SELECT CAST(COUNT(DISTINCT country) * COUNT(DISTINCT segment) * 2 AS BIGINT) AS combos,
+  COUNT(DISTINCT country) * COUNT(DISTINCT segment) * 2 <= 2000 AS allowed FROM ({O.cache_sql(OBM)}) b""")(
+    lambda spark, sf: SR.guard_combos(CH.materialize(spark, sf, OBM), ["country", "segment", "priority"], {"priority": 2}))
+register("ser_9", f"SELECT COUNT(install_date) > 0 AS is_date FROM ({O.cache_sql(COH)}) b")(
+    lambda spark, sf: SR.axis_is_date(CH.materialize(spark, sf, COH), "install_date"))
+
+COH_REQ = DataRequest(x_axis="install_date", dimensions=["days_since_install"], metrics=["retained_users"],
+                      from_date=D(2024, 1, 2), to_date=D(2024, 1, 25))
+
+
+def _clamped(spark, sf):
+    rows = S.serve(COH, COH_REQ, CH.materialize(spark, sf, COH))
+    s = SR.to_series(rows, "install_date", ["days_since_install"], ["retained_users"])
+    return SR.clamp_to_window(s, D(2024, 1, 2), D(2024, 1, 25))
+
+
+register("flt_5", f"""WITH r AS ({O.serve_sql(COH, COH_REQ)})
+  SELECT install_date AS x, days_since_install, COALESCE(CAST(days_since_install AS VARCHAR), '∅') AS combo,
+         'retained_users' AS metric, CAST(retained_users AS DOUBLE) AS value
+  FROM r WHERE install_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-25'""")(_clamped)
+
+
+# ---------------------------------------------------------------- values (SRT-2/3, AGG-7, SET-1)
+from ..operators import values as V  # noqa: E402
+from ..spec import Dim  # noqa: E402
+
+OBM_NATURAL = OBM.with_(name="orders_by_market", dims=tuple(Dim(d.name, d.column) for d in OBM.dims))
+
+register("srt_3", O.dim_values_sql(OBM, order_metric="orders"))(
+    lambda spark, sf: V.dim_values(OBM, CH.materialize(spark, sf, OBM)))
+register("srt_2", O.dim_values_sql(OBM_NATURAL, dims=["country", "priority"]))(
+    lambda spark, sf: V.dim_values(OBM_NATURAL, CH.materialize(spark, sf, OBM), dims=["country", "priority"]))
+register("srt_3_cohort", O.dim_values_sql(COH))(
+    lambda spark, sf: V.dim_values(COH, CH.materialize(spark, sf, COH)))
+register("srt_3_range", O.dim_values_sql(OBM, dims=["country"], order_metric="orders").replace(
+    f"FROM ({O.DUCK_CHARTS['orders_by_market']}) _src)", f"FROM ({O.DUCK_CHARTS['orders_by_market']}) _src WHERE order_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31')"))(
+    lambda spark, sf: V.dim_values(OBM, CH.materialize(spark, sf, OBM), D(1998, 1, 1), D(1998, 3, 31), dims=["country"]))
+register("srt_3_extent", f"SELECT MIN(_day) AS date_min, MAX(_day) AS date_max FROM ({O.cache_sql(OBM)}) b")(
+    lambda spark, sf: V.date_extent(OBM, CH.materialize(spark, sf, OBM)))
+register("agg_7", f"SELECT country AS value, SUM(TRY_CAST(orders AS DOUBLE)) AS total FROM ({O.cache_sql(OBM)}) b GROUP BY 1")(
+    lambda spark, sf: V.dim_totals(OBM, CH.materialize(spark, sf, OBM), "country"))
+_SET1 = f"""WITH a AS ({O.dim_values_sql(OBM, dims=['country', 'segment'], order_metric='orders')}),
+b AS ({O.dim_values_sql(COH, dims=['days_since_install'])}),
+u AS (SELECT dimension, value, 0 AS c, position FROM a UNION ALL SELECT dimension, value, 1 AS c, position FROM b),
+f AS (SELECT dimension, value, MIN(c * 100000 + position) AS first FROM u GROUP BY 1, 2)
+SELECT dimension, value, CAST(ROW_NUMBER() OVER (PARTITION BY dimension ORDER BY
+  CASE WHEN dimension = 'country' THEN first END, CASE WHEN dimension <> 'country' THEN {O.natural_sql('value')} END, value) AS INTEGER) AS position
+FROM f"""
+register("set_1", _SET1)(
+    lambda spark, sf: V.filter_values([(OBM, CH.materialize(spark, sf, OBM)), (COH, CH.materialize(spark, sf, COH))],
+                                      ["country", "segment", "days_since_install"]))
