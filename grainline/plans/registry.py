@@ -257,3 +257,133 @@ FROM f"""
 register("set_1", _SET1)(
     lambda spark, sf: V.filter_values([(OBM, CH.materialize(spark, sf, OBM)), (COH, CH.materialize(spark, sf, COH))],
                                       ["country", "segment", "days_since_install"]))
+
+
+# ---------------------------------------------------------------- dashboards (DSH-*, SET-2)
+from . import dashboard as DB  # noqa: E402
+from ..spec import DerivedDim  # noqa: E402
+
+TODAY = D(2024, 2, 1)
+W_VALUE = DB.ChartWidget("w_value", A, ("value", "dau"), filters={"event_type": ["click"]})
+W_SPLIT = DB.ChartWidget("w_split", A, ("events",))
+W_COHORT = DB.ChartWidget("w_cohort", COH, ("installs",), offset_days=0)
+W_EMPTY = DB.ChartWidget("w_empty", A, ("value",), filters={"event_type": ["purchase"]})
+T_DAU = DB.NumberTile("t_dau", A, "dau")
+DASH = DB.Dashboard("activity", (W_VALUE, W_SPLIT, W_COHORT, W_EMPTY, T_DAU), filters=("event_type",))
+STATE = DB.DashboardState(today=TODAY, from_date=D(2024, 1, 10), filters={"event_type": ["click", "view"]},
+                          split_by=("event_type", "segment"))
+
+
+def _widget(w, state=STATE):
+    def run(spark, sf):
+        return DB.chart_widget(DASH, w, CH.materialize(spark, sf, w.chart), state)
+    return run
+
+
+register("dsh_2", O.serve_sql(A, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 1, 30), dimensions=["event_type"],
+                                             metrics=["value", "dau"], filters={"event_type": ["click"]})))(_widget(W_VALUE))
+register("dsh_3", O.serve_sql(A, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 1, 30), dimensions=["event_type"],
+                                             metrics=["events"], filters={"event_type": ["click", "view"]})))(_widget(W_SPLIT))
+register("dsh_4", O.serve_sql(COH, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 2, 1), x_axis="install_date",
+                                               dimensions=[], metrics=["installs"])))(
+    _widget(W_COHORT, DB.DashboardState(today=TODAY, from_date=D(2024, 1, 10), filters={"event_type": ["click"]})))
+register("set_2", "SELECT * FROM (" + O.serve_sql(A, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 1, 30), dimensions=["event_type"],
+                                                                  metrics=["value"])) + ") e WHERE FALSE")(_widget(W_EMPTY))
+_TILE_ROWS = O.serve_sql(A, DataRequest(from_date=D(2024, 1, 23), to_date=D(2024, 1, 30), dimensions=[], metrics=["dau"],
+                                        filters={"event_type": ["click", "view"]}))
+register("dsh_5", f"""WITH r AS ({_TILE_ROWS}),
+p AS (SELECT MAX(CASE WHEN event_date = DATE '2024-01-30' THEN CAST(dau AS DOUBLE) END) AS value,
+             MAX(CASE WHEN event_date = DATE '2024-01-29' THEN CAST(dau AS DOUBLE) END) AS d1,
+             MAX(CASE WHEN event_date = DATE '2024-01-23' THEN CAST(dau AS DOUBLE) END) AS d7 FROM r)
+SELECT DATE '2024-01-30' AS as_of_date, value,
+  CASE WHEN value IS NOT NULL AND d1 IS NOT NULL THEN value - d1 END AS previous_day_abs,
+  CASE WHEN value IS NOT NULL AND d1 IS NOT NULL AND d1 <> 0 THEN (value / d1 - 1) * 100 END AS previous_day_pct,
+  CASE WHEN value IS NOT NULL AND d7 IS NOT NULL THEN value - d7 END AS last_week_abs,
+  CASE WHEN value IS NOT NULL AND d7 IS NOT NULL AND d7 <> 0 THEN (value / d7 - 1) * 100 END AS last_week_pct
+FROM p""")(lambda spark, sf: DB.number_tile(DASH, T_DAU, CH.materialize(spark, sf, A), STATE))
+
+
+# ---------------------------------------------------------------- audits (DQ-1/2, JOIN-5)
+from ..operators import audit as AU  # noqa: E402
+from ..functions.dates import time_bucket  # noqa: E402
+
+_DQ1_A = O.serve_sql(A, DataRequest(granularity="week", dimensions=[], metrics=["dau"]))
+
+
+def _dq1(spark, sf):
+    cache = CH.materialize(spark, sf, A)
+    served = S.serve(A, DataRequest(granularity="week", dimensions=[], metrics=["dau"]), cache)
+    naive = cache.groupBy(time_bucket(F.col("_day"), "week").alias("event_date")).agg(F.sum("dau").alias("dau"))
+    return AU.reconcile(served, naive, ["event_date"], ["dau"])
+
+
+register("dq_1", f"""WITH a AS ({_DQ1_A}),
+b AS (SELECT CAST(date_trunc('week', _day) AS DATE) AS event_date, SUM(dau) AS dau FROM ({O.cache_sql(A)}) c GROUP BY 1)
+SELECT COALESCE(a.event_date, b.event_date) AS event_date, a.event_date IS NOT NULL AS in_a, b.event_date IS NOT NULL AS in_b,
+       CAST(a.dau AS DOUBLE) AS a_dau, CAST(b.dau AS DOUBLE) AS b_dau
+FROM a FULL JOIN b ON a.event_date IS NOT DISTINCT FROM b.event_date
+WHERE a.event_date IS NULL OR b.event_date IS NULL OR a.dau IS DISTINCT FROM b.dau""")(_dq1)
+
+A_BAD = A.with_(metrics=tuple(m if m.name != "events" else type(m)("events", column="events", independent_of=("event_type",))
+                              for m in A.metrics))
+register("dq_2", f"""SELECT 'events' AS metric, _day AS day, '{{}}' AS grain, COUNT(*) AS rows,
+  CAST(COUNT_IF(events IS NULL) AS BIGINT) AS nulls, MIN(CAST(events AS DOUBLE)) AS min_value, MAX(CAST(events AS DOUBLE)) AS max_value
+FROM ({O.cache_sql(A)}) b GROUP BY _day
+HAVING MIN(events) <> MAX(events) OR (COUNT_IF(events IS NULL) > 0 AND COUNT_IF(events IS NULL) < COUNT(*))""")(
+    lambda spark, sf: AU.audit_independence(A_BAD, CH.materialize(spark, sf, A)))
+
+
+# ---------------------------------------------------------------- sources, cache, refresh (SRC, SCH, REF)
+from ..session import register_tables  # noqa: E402
+from ..sources import cache as C  # noqa: E402
+from ..sources.query import source_query  # noqa: E402
+from . import refresh as RF  # noqa: E402
+from ..functions.dates import date_windows  # noqa: E402
+
+
+@register("src_1", f"SELECT * FROM ({O.DUCK_CHARTS['activity']}) s WHERE event_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")
+def _src_1(spark, sf):
+    register_tables(spark, sf)
+    return source_query(spark, A, D(2024, 1, 8), D(2024, 1, 14))
+
+
+@register("sch_2", f"SELECT * FROM ({O.DUCK_CHARTS['cohort']}) s")
+def _sch_2(spark, sf):
+    register_tables(spark, sf)
+    return C.normalize_types(source_query(spark, COH, *CH.ALL_TIME), COH)
+
+
+register("src_3", f"SELECT *, event_date AS _day FROM ({O.DUCK_CHARTS['activity']}) s")(
+    lambda spark, sf: CH.materialize(spark, sf, A))
+register("ref_12", f"SELECT *, ship_date AS _day FROM ({O.DUCK_CHARTS['sales']}) s")(
+    lambda spark, sf: CH.materialize(spark, sf, SALES))
+
+
+def _root(spark, sf):
+    CH.materialize(spark, sf, A)
+    return CH.cache_root(spark, sf)
+
+
+register("ref_2", "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events")(
+    lambda spark, sf: C.present_days(spark, _root(spark, sf), A))
+register("ref_10", "SELECT MIN(CAST(ts AS DATE)) AS date_min, MAX(CAST(ts AS DATE)) AS date_max FROM events")(
+    lambda spark, sf: C.data_extent(spark, _root(spark, sf), A))
+register("ref_3", """WITH sp AS (SELECT CAST(g AS DATE) AS day FROM generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) t(g))
+SELECT day FROM sp WHERE day NOT IN (SELECT DISTINCT CAST(ts AS DATE) FROM events) OR day >= DATE '2024-02-02'""")(
+    lambda spark, sf: RF.missing_days(spark, _root(spark, sf), A, D(2023, 12, 25), D(2024, 2, 5), today=D(2024, 2, 6)))
+
+
+@register("ref_1", """WITH b AS (SELECT MIN(CAST(ts AS DATE)) AS from_date, MAX(CAST(ts AS DATE)) AS to_date FROM events)
+SELECT from_date, to_date, CAST(g AS DATE) AS window_start, LEAST(CAST(g AS DATE) + 6, to_date) AS window_end
+FROM b, generate_series(from_date, to_date, INTERVAL 7 DAY) t(g)""")
+def _ref_1(spark, sf):
+    register_tables(spark, sf)
+    bounds = spark.table("events").agg(F.min(F.to_date("ts")).alias("from_date"), F.max(F.to_date("ts")).alias("to_date"))
+    return date_windows(spark, bounds, 7)
+
+
+OBM_REMAP = OBM.with_(derived=(OBM.derived[0], DerivedDim("priority_tier", "priority", (("Tier-1", ("1-URGENT", "2-HIGH", "3-MEDIUM")),), "Tier-2")))
+register("drv_2", O.serve_sql(OBM_REMAP, DataRequest(granularity="month", dimensions=["priority_tier"], metrics=["orders"])))(
+    lambda spark, sf: S.serve(OBM_REMAP, DataRequest(granularity="month", dimensions=["priority_tier"], metrics=["orders"]),
+                              CH.materialize(spark, sf, OBM)))
+serve_query("frm_3", A, DataRequest(granularity="week", dimensions=["event_type"], metrics=["value_per_user"]))
