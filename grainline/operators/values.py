@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.derived import effective_dims
 from ..functions.natural import natural_key
@@ -54,26 +55,39 @@ def dim_values(spec: ChartSpec, cache: DataFrame, from_date=None, to_date=None,
     eff = [d for d in effective_dims(spec, cache.columns) if dims is None or d.name in dims]
     base = _date_filtered(spec, cache, from_date, to_date)
     m = order_metric(spec)
+    nk_type = "array<struct<kind:int,num:decimal(38,0),txt:string>>"
     parts = []
     for d in eff:
+        dtype = base.schema[d.col].dataType
         if d.value_order == "metric" and m is not None:
             part = base.groupBy(F.col(d.col).alias("_v")).agg(
                 F.sum(F.col(m.column).cast("string").try_cast("double")).alias("_tot")
             )
-            order = [F.col("_tot").desc_nulls_last(), F.col("_v").asc()]
+            head = [F.col("_tot").isNull().alias("n"), (-F.col("_tot")).alias("t"), F.lit(None).cast(nk_type).alias("k")]
         else:
             part = base.select(F.col(d.col).alias("_v")).distinct()
-            order = [natural_key(F.col("_v")).asc(), F.col("_v").asc()]
-        ranked = ordinal(part.where(F.col("_v").isNotNull()), order)
+            head = [F.lit(False).alias("n"), F.lit(0.0).alias("t"), natural_key(F.col("_v")).alias("k")]
+        # ties break on the value in its own type; one field is set per dimension
+        v = F.col("_v")
+        numeric = isinstance(dtype, T.NumericType)
+        temporal = isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        tie = [
+            (v.cast("double") if numeric else F.lit(None).cast("double")).alias("vn"),
+            (v.cast("timestamp_ntz") if temporal else F.lit(None).cast("timestamp_ntz")).alias("vd"),
+            (F.lit(None).cast("string") if numeric or temporal else v.cast("string")).alias("vs"),
+        ]
         parts.append(
-            ranked.select(F.lit(d.name).alias("dimension"), F.col("_v").cast("string").alias("value"), "position")
+            part.where(v.isNotNull()).select(
+                F.lit(d.name).alias("dimension"), v.cast("string").alias("value"), F.struct(*head, *tie).alias("_key")
+            )
         )
     if not parts:
         return base.sparkSession.createDataFrame([], "dimension string, value string, position int")
-    out = parts[0]
+    allv = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        allv = allv.unionByName(p)
+    # one distributed ordinal over every dimension at once (grouped by dimension)
+    return ordinal(allv, [F.col("_key")], group=["dimension"]).select("dimension", "value", "position")
 
 
 def date_extent(spec: ChartSpec, cache: DataFrame) -> DataFrame:

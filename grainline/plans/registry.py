@@ -387,3 +387,54 @@ register("drv_2", O.serve_sql(OBM_REMAP, DataRequest(granularity="month", dimens
     lambda spark, sf: S.serve(OBM_REMAP, DataRequest(granularity="month", dimensions=["priority_tier"], metrics=["orders"]),
                               CH.materialize(spark, sf, OBM)))
 serve_query("frm_3", A, DataRequest(granularity="week", dimensions=["event_type"], metrics=["value_per_user"]))
+
+
+# ---------------------------------------------------------------- same jobs under their inventory aliases
+for alias, key in {"join_2": "ref_3", "join_3": "ser_2", "join_4": "ser_6", "join_5": "dq_1", "ser_4": "win_2",
+                   "srt_5": "win_3", "scl_2": "ser_1", "agg_5_pivot": "agg_5"}.items():
+    REGISTRY[alias] = REGISTRY[key]
+
+# ---------------------------------------------------------------- PRJ-4: ISO-text time column, served straight from the source
+A_TEXT = A.with_(name="activity_text", query=f"SELECT CAST(event_date AS STRING) AS event_date, event_type, value, events, dau FROM ({A.query}) s")
+
+
+@register("prj_4", O.serve_sql(A, DataRequest(granularity="week", dimensions=[], metrics=["events", "dau"])))
+def _prj_4(spark, sf):
+    register_tables(spark, sf)
+    return S.serve(A_TEXT, DataRequest(granularity="week", dimensions=[], metrics=["events", "dau"]),
+                   source_query(spark, A_TEXT, *CH.ALL_TIME))
+
+
+# ---------------------------------------------------------------- REF-7 restatement, REF-8 rebuild on a changed definition
+@register("ref_7", f"SELECT *, event_date AS _day FROM ({O.DUCK_CHARTS['activity']}) s")
+def _ref_7(spark, sf):
+    root = _root(spark, sf)
+    res = RF.restate(spark, root, A, D(2024, 1, 10), D(2024, 1, 12), today=D(2024, 2, 1), record=False)
+    if res.status != "success":
+        raise RuntimeError(res.error_message)
+    return C.scan_cache(spark, root, A)
+
+
+REBUILD_V1 = CH.ACTIVITY_TYPES.with_(name="activity_rebuild")
+REBUILD_V2 = REBUILD_V1.with_(variables={"TYPES": ["purchase"]})
+
+
+@register("ref_8", f"SELECT *, event_date AS _day FROM ({O.DUCK_CHARTS['activity_types'].replace(chr(39) + 'click' + chr(39) + ', ' + chr(39) + 'view' + chr(39), chr(39) + 'purchase' + chr(39))}) s")
+def _ref_8(spark, sf):
+    register_tables(spark, sf)
+    root = CH.cache_root(spark, sf)
+    lo, hi = CH.source_extent(spark, A)
+    for spec in (REBUILD_V1, REBUILD_V2):
+        res = RF.refresh(spark, root, spec, lo, hi, today=hi + _dt.timedelta(days=1), record=False)
+        if res.status != "success":
+            raise RuntimeError(res.error_message)
+    return C.scan_cache(spark, root, REBUILD_V2)
+
+
+# ---------------------------------------------------------------- SNK-4: wide CSV export of the kept series, read back
+@register("snk_4")
+def _snk_4(spark, sf):
+    kept = SR.top_series(_top_input(spark, sf), 20, by_metric="orders").where(F.col("metric") == "orders")
+    path = CH.cache_root(spark, sf) + "/exports/orders_by_country"
+    C.export_csv(SR.to_wide(kept.drop("country")), path)
+    return spark.read.option("header", True).csv(path)
