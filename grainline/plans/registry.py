@@ -438,3 +438,59 @@ def _snk_4(spark, sf):
     path = CH.cache_root(spark, sf) + "/exports/orders_by_country"
     C.export_csv(SR.to_wide(kept.drop("country")), path)
     return spark.read.option("header", True).csv(path)
+
+
+# ---------------------------------------------------------------- run ledger (REF-14..16, WIN-4)
+from ..operators import ledger as L  # noqa: E402
+
+LEDGER_WINDOW = (D(2024, 1, 8), D(2024, 1, 14))
+_LEDGER_COUNT = (f"(SELECT COUNT(*) FROM ({O.DUCK_CHARTS['activity']}) s "
+                 f"WHERE event_date BETWEEN DATE '{LEDGER_WINDOW[0]}' AND DATE '{LEDGER_WINDOW[1]}')")
+
+
+def _recorded_run(spark, sf):
+    """A forced, recorded restatement of one week; returns (root, ledger rows of that run)."""
+    root = _root(spark, sf)
+    res = RF.restate(spark, root, A, *LEDGER_WINDOW, today=D(2024, 2, 1), record=True)
+    if res.status != "success":
+        raise RuntimeError(res.error_message)
+    return root, L.read_runs(spark, root).where(F.col("run_id") == F.lit(res.run_id))
+
+
+_RUN_COLS = ["chart", "from_date", "to_date", "status", "row_count", "batches_completed", "force"]
+_RUN_SQL = (f"SELECT 'activity' AS chart, DATE '{LEDGER_WINDOW[0]}' AS from_date, DATE '{LEDGER_WINDOW[1]}' AS to_date, "
+            f"'success' AS status, CAST({_LEDGER_COUNT} AS BIGINT) AS row_count, 7 AS batches_completed, TRUE AS force")
+
+
+@register("ref_14", _RUN_SQL)
+def _ref_14(spark, sf):
+    _, run = _recorded_run(spark, sf)
+    return L.current_runs(run).select(*_RUN_COLS)
+
+
+@register("win_4", _RUN_SQL)
+def _win_4(spark, sf):
+    root, _ = _recorded_run(spark, sf)
+    return L.latest_per_chart(L.current_runs(L.read_runs(spark, root))).where(F.col("chart") == "activity").select(*_RUN_COLS)
+
+
+@register("ref_15", f"SELECT 'activity' AS chart, 'failed' AS status, CAST(0 AS BIGINT) AS row_count "
+                    f"UNION ALL SELECT 'activity', 'success', CAST({_LEDGER_COUNT} AS BIGINT)")
+def _ref_15(spark, sf):
+    import datetime as dt
+
+    _, run = _recorded_run(spark, sf)
+    return L.mark_stale_runs(run, dt.datetime(2999, 1, 1), 120).select("chart", "status", "row_count")
+
+
+@register("ref_16", f"""SELECT 'activity' AS chart, MAX(CAST(ts AS DATE)) AS latest_day, 'success' AS last_status,
+  CAST({_LEDGER_COUNT} AS BIGINT) AS last_row_count, FALSE AS any_running FROM events""")
+def _ref_16(spark, sf):
+    root, _ = _recorded_run(spark, sf)
+    latest = C.data_extent(spark, root, A).select(F.lit("activity").alias("chart"), F.col("date_max").alias("latest_day"))
+    fresh = L.freshness(L.current_runs(L.read_runs(spark, root)), latest)
+    return fresh.where(F.col("chart") == "activity").select("chart", "latest_day", "last_status", "last_row_count", "any_running")
+
+
+for alias, key in {"snk_1": "src_3", "snk_2": "ref_7", "snk_3": "ref_8"}.items():
+    REGISTRY[alias] = REGISTRY[key]
