@@ -3,10 +3,12 @@ gathering a group into one task.
 
 ``row_number()`` over ``partitionBy(group)`` sends a whole group to one task;
 a high-cardinality group (every value of a user-id dimension, say) would then
-sort in a single task. Instead the frame is range-partitioned and sorted once
-(one shuffle), each row gets its index inside its sorted partition, and
-partition offsets come from a per-partition count - a table with one row per
-partition, so broadcasting it is bounded by the partition count.
+sort in a single task. Instead the frame is range-partitioned on
+(group, order) and sorted once; each row gets its index inside its sorted
+partition. A summary with one row per (partition, group) present in it -
+bounded by partitions + groups, since every sorted partition holds a
+contiguous run of groups - gives partition offsets and each group's first
+global index. Positions are then global index minus group start.
 """
 
 from __future__ import annotations
@@ -21,22 +23,26 @@ def ordinal(df: DataFrame, order: list[Column], group: list[str] | None = None,
     tagged = (
         df.sort(*keys)
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
+        # monotonically_increasing_id = (partition id << 33) + index inside the partition
+        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    )
+    summary = tagged.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
+    per_pid = summary.groupBy("_pid").agg(F.sum("_n").alias("_n"))
+    offsets = per_pid.select(
+        "_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")
     )
-    # index inside the partition: monotonically_increasing_id = (pid << 33) + row index
-    tagged = tagged.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    ).fillna({"_off": 0})
-    glob = tagged.join(F.broadcast(offsets), "_pid").withColumn("_g", F.col("_off") + F.col("_local"))
     if group:
-        starts = glob.groupBy(*group).agg(F.min("_g").alias("_g0"))
-        glob = glob.join(starts.withColumnsRenamed({g: f"_s_{g}" for g in group}), on=[
-            glob[g].eqNullSafe(F.col(f"_s_{g}")) for g in group
-        ]).drop(*[f"_s_{g}" for g in group])
-        pos = F.col("_g") - F.col("_g0") + 1
+        starts = (
+            summary.join(F.broadcast(offsets), "_pid")
+            .groupBy(*group)
+            .agg(F.min(F.col("_off") + F.col("_first")).alias("_g0"))
+        )
+        base = tagged.join(F.broadcast(offsets), "_pid")
+        renamed = starts.withColumnsRenamed({g: f"_s_{g}" for g in group})
+        cond = [base[g].eqNullSafe(renamed[f"_s_{g}"]) for g in group]
+        out = base.join(renamed, on=cond).drop(*[f"_s_{g}" for g in group])
+        pos = F.col("_off") + F.col("_local") - F.col("_g0") + 1
     else:
-        pos = F.col("_g") + 1
-    return glob.withColumn(name, pos.cast("int")).drop("_pid", "_mid", "_local", "_off", "_g", "_g0")
+        out = tagged.join(F.broadcast(offsets), "_pid")
+        pos = F.col("_off") + F.col("_local") + 1
+    return out.withColumn(name, pos.cast("int")).drop("_pid", "_local", "_off", "_g0")

@@ -51,43 +51,43 @@ def dim_values(spec: ChartSpec, cache: DataFrame, from_date=None, to_date=None,
     ``natural``: number-aware label order. ``metric``: order-metric total
     descending, NULL totals last, ties by value. The date bounds narrow the
     values; the extent (:func:`date_extent`) always covers the whole cache.
+
+    One scan: every row is exploded into its (dimension, value) pairs, one
+    aggregate (with map-side partial aggregation) yields each value with its
+    total, and one distributed ordinal numbers the values of every dimension.
     """
     eff = [d for d in effective_dims(spec, cache.columns) if dims is None or d.name in dims]
+    if not eff:
+        return cache.sparkSession.createDataFrame([], "dimension string, value string, position int")
     base = _date_filtered(spec, cache, from_date, to_date)
     m = order_metric(spec)
-    nk_type = "array<struct<kind:int,num:decimal(38,0),txt:string>>"
-    parts = []
+    metric = F.col(m.column).cast("string").try_cast("double") if m is not None else F.lit(None).cast("double")
+    pairs = []
     for d in eff:
-        dtype = base.schema[d.col].dataType
-        if d.value_order == "metric" and m is not None:
-            part = base.groupBy(F.col(d.col).alias("_v")).agg(
-                F.sum(F.col(m.column).cast("string").try_cast("double")).alias("_tot")
-            )
-            head = [F.col("_tot").isNull().alias("n"), (-F.col("_tot")).alias("t"), F.lit(None).cast(nk_type).alias("k")]
-        else:
-            part = base.select(F.col(d.col).alias("_v")).distinct()
-            head = [F.lit(False).alias("n"), F.lit(0.0).alias("t"), natural_key(F.col("_v")).alias("k")]
-        # ties break on the value in its own type; one field is set per dimension
-        v = F.col("_v")
+        v, dtype = F.col(d.col), base.schema[d.col].dataType
         numeric = isinstance(dtype, T.NumericType)
         temporal = isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
-        tie = [
+        # the value as text plus, for tie-breaking, in its own type (one field set per dimension)
+        pairs.append(F.struct(
+            F.lit(d.name).alias("dimension"),
+            v.cast("string").alias("value"),
             (v.cast("double") if numeric else F.lit(None).cast("double")).alias("vn"),
             (v.cast("timestamp_ntz") if temporal else F.lit(None).cast("timestamp_ntz")).alias("vd"),
             (F.lit(None).cast("string") if numeric or temporal else v.cast("string")).alias("vs"),
-        ]
-        parts.append(
-            part.where(v.isNotNull()).select(
-                F.lit(d.name).alias("dimension"), v.cast("string").alias("value"), F.struct(*head, *tie).alias("_key")
-            )
-        )
-    if not parts:
-        return base.sparkSession.createDataFrame([], "dimension string, value string, position int")
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
-    # one distributed ordinal over every dimension at once (grouped by dimension)
-    return ordinal(allv, [F.col("_key")], group=["dimension"]).select("dimension", "value", "position")
+        ))
+    exploded = base.select(F.explode(F.array(*pairs)).alias("p"), metric.alias("_m")).select("p.*", "_m")
+    totals = exploded.where(F.col("value").isNotNull()).groupBy("dimension", "value", "vn", "vd", "vs").agg(
+        F.sum("_m").alias("_tot")
+    )
+    metric_dims = [d.name for d in eff if d.value_order == "metric"] if m is not None else []
+    is_metric = F.col("dimension").isin(metric_dims) if metric_dims else F.lit(False)
+    key = F.struct(
+        F.when(is_metric, F.col("_tot").isNull()).alias("n"),
+        F.when(is_metric, -F.col("_tot")).alias("t"),
+        F.when(~is_metric, natural_key(F.col("value"))).alias("k"),
+        "vn", "vd", "vs",
+    )
+    return ordinal(totals, [key], group=["dimension"]).select("dimension", "value", "position")
 
 
 def date_extent(spec: ChartSpec, cache: DataFrame) -> DataFrame:

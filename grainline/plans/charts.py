@@ -208,10 +208,10 @@ def materialize(spark, sf_dir: str, spec: ChartSpec):
     from ..sources.cache import scan_cache
     from .refresh import refresh
 
-    register_tables(spark, sf_dir)
     root = cache_root(spark, sf_dir)
-    key = (root, spec.name)
+    key = (id(spark), root, spec.name)
     if key not in _MATERIALIZED:
+        register_tables(spark, sf_dir)  # source tables are read only by the refresh
         lo, hi = source_extent(spark, spec)
         result = refresh(spark, root, spec, lo, hi, today=hi + _dt.timedelta(days=1), record=False)
         if result.status != "success":
