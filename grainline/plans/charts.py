@@ -18,6 +18,10 @@ _EVENTS_WINDOW = (
     "AND ts < TIMESTAMP_NTZ'{END_DATE} 00:00:00' + INTERVAL 1 DAY"
 )
 
+# Distinct users per day at a coarser grain than the rows, in one pass: each
+# user's first (day, event_type) row is flagged (window partitions hold one
+# user's types of one day) and the flags are summed per day (partitions hold
+# one day's event types). The events scan and shuffle happen once.
 ACTIVITY = ChartSpec(
     name="activity",
     query=f"""
@@ -28,15 +32,17 @@ WITH du AS (
   WHERE {_EVENTS_WINDOW}
   GROUP BY CAST(ts AS DATE), event_type, user_id
 ),
-t AS (
-  SELECT event_date, event_type, SUM(value) AS value, SUM(events) AS events
-  FROM du GROUP BY event_date, event_type
+f AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY event_date, user_id ORDER BY event_type) = 1 AS first_seen
+  FROM du
 ),
-u AS (
-  SELECT event_date, COUNT(DISTINCT user_id) AS dau FROM du GROUP BY event_date
+t AS (
+  SELECT event_date, event_type, SUM(value) AS value, SUM(events) AS events, COUNT_IF(first_seen) AS new_users
+  FROM f GROUP BY event_date, event_type
 )
-SELECT t.event_date, t.event_type, t.value, t.events, u.dau
-FROM t JOIN u ON t.event_date = u.event_date
+SELECT event_date, event_type, value, events,
+       SUM(new_users) OVER (PARTITION BY event_date) AS dau
+FROM t
 """,
     time_column="event_date",
     dims=(Dim("event_type"),),
@@ -113,17 +119,23 @@ WITH o AS (
   JOIN region r ON n.n_regionkey = r.r_regionkey
   WHERE {_ORDERS_WINDOW}
 ),
-g AS (
-  SELECT order_date, region, country, segment, priority,
+oc AS (
+  SELECT order_date, region, country, segment, priority, custkey,
          COUNT(*) AS orders, SUM(totalprice) AS amount
-  FROM o GROUP BY order_date, region, country, segment, priority
+  FROM o GROUP BY order_date, region, country, segment, priority, custkey
 ),
-b AS (
-  SELECT order_date, region, country, COUNT(DISTINCT custkey) AS buyers
-  FROM o GROUP BY order_date, region, country
+f AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY order_date, region, country, custkey ORDER BY segment, priority) = 1 AS first_seen
+  FROM oc
+),
+g AS (
+  SELECT order_date, region, country, segment, priority,
+         SUM(orders) AS orders, SUM(amount) AS amount, COUNT_IF(first_seen) AS new_buyers
+  FROM f GROUP BY order_date, region, country, segment, priority
 )
-SELECT g.order_date, g.region, g.country, g.segment, g.priority, g.orders, g.amount, b.buyers
-FROM g JOIN b ON g.order_date = b.order_date AND g.region = b.region AND g.country = b.country
+SELECT order_date, region, country, segment, priority, orders, amount,
+       SUM(new_buyers) OVER (PARTITION BY order_date, region, country) AS buyers
+FROM g
 """,
     time_column="order_date",
     dims=(
