@@ -136,3 +136,39 @@ def test_ledger(spark, root):
     assert marked.status == "failed" and marked.error_message.startswith("stale")
     fresh = L.freshness(runs, spark.createDataFrame([("led", D(2026, 6, 1))], "chart string, latest_day date")).collect()[0]
     assert (fresh.last_status, fresh.any_running, fresh.latest_day) == ("success", False, D(2026, 6, 1))
+
+
+def test_write_strategy_and_run_range():
+    from grainline.plans.refresh import resolve_run_range, write_strategy
+
+    s = spec()
+    cutoff = D(2026, 6, 14)
+    assert write_strategy(s, D(2026, 6, 1), cutoff, force=True) == "replace"
+    assert write_strategy(spec(cur_date_behavior="batched"), D(2026, 6, 1), cutoff) == "replace"
+    assert write_strategy(s, D(2026, 6, 14), cutoff) == "replace"
+    assert write_strategy(s, D(2026, 6, 13), cutoff) == "append"
+    assert resolve_run_range(spec(default_backpop_days=7), None, None, D(2026, 6, 18)) == (D(2026, 6, 12), D(2026, 6, 18), 30)
+    assert resolve_run_range(s, D(2026, 6, 1), D(2026, 6, 2), D(2026, 6, 18), 5) == (D(2026, 6, 1), D(2026, 6, 2), 5)
+
+
+def test_absent_cache_serves_no_rows(spark, root):
+    from grainline import DataRequest, serve
+
+    s = spec(name="never")
+    empty = C.scan_cache(spark, root, s, schema=spark.createDataFrame([], SCHEMA).schema)
+    assert serve(s, DataRequest(), empty).count() == 0
+
+
+def test_changed_mapping_applies_to_cached_rows(spark, root):
+    from grainline import DataRequest, serve
+    from grainline.spec import COUNTRY_TIER, DerivedDim
+
+    source(spark, [(D(2026, 6, 1), "US", 1), (D(2026, 6, 1), "PH", 2), (D(2026, 6, 1), "CA", 3)])
+    s = spec(name="tiers")
+    refresh(spark, root, s, D(2026, 6, 1), D(2026, 6, 1), today=D(2026, 7, 1))
+    cache = C.scan_cache(spark, root, s)
+    before = {r.country: r.country_tier for r in serve(s, DataRequest(dimensions=["country", "country_tier"]), cache).collect()}
+    assert before == {"US": "Tier-1", "PH": "Tier-2", "CA": "Tier-1"}
+    remap = DerivedDim("country_tier", "country", (("Tier-1", ("US", "CA", "PH")),), COUNTRY_TIER.default)
+    after = {r.country: r.country_tier for r in serve(s.with_(derived=(remap,)), DataRequest(dimensions=["country", "country_tier"]), cache).collect()}
+    assert after == {"US": "Tier-1", "PH": "Tier-1", "CA": "Tier-1"}
