@@ -496,3 +496,11 @@ def _ref_16(spark, sf):
 
 for alias, key in {"snk_1": "src_3", "snk_2": "ref_7", "snk_3": "ref_8"}.items():
     REGISTRY[alias] = REGISTRY[key]
+
+
+# ---------------------------------------------------------------- AGG-6 wide cohort view
+from ..operators.cohort import cohort_view  # noqa: E402
+
+COHORT_REQ = DataRequest(x_axis="install_date", dimensions=["days_since_install"], metrics=["retained_users"])
+register("agg_6_wide", f"PIVOT ({O.serve_sql(COH, COHORT_REQ)}) ON days_since_install USING first(retained_users) GROUP BY install_date")(
+    lambda spark, sf: cohort_view(COH, COHORT_REQ, CH.materialize(spark, sf, COH), "retained_users"))
