@@ -106,3 +106,13 @@ def test_probe_schema_runs_no_job(spark):
     spark.createDataFrame([(dt.datetime(2024, 1, 1), 1, "a", 1.0)], "ts timestamp_ntz, user_id bigint, event_type string, value double").createOrReplaceTempView("events")
     schema = probe_schema(spark, ACTIVITY)
     assert [f.name for f in schema.fields] == ["event_date", "event_type", "value", "events", "dau"]
+
+
+def test_named_date_markers(spark):
+    from grainline.sources.query import source_query
+
+    spark.createDataFrame([(D(2026, 6, d), d) for d in range(1, 10)], "d date, v int").createOrReplaceTempView("marked")
+    spec = ChartSpec("m", "SELECT d, v FROM marked WHERE d BETWEEN :start_date AND :end_date", "d",
+                     metrics=(Metric("v", column="v"),))
+    got = sorted(r.v for r in source_query(spark, spec, D(2026, 6, 3), D(2026, 6, 5)).collect())
+    assert got == [3, 4, 5]
