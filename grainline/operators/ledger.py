@@ -27,14 +27,21 @@ def run_row(run_id, chart, from_date, to_date, batch_size, status, rows, batches
 
 
 def record_run(spark: SparkSession, root: str, row: tuple) -> None:
-    """REF-14: append one ledger row."""
-    spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(runs_path(root))
+    """REF-14: add one ledger row.
+
+    Each row is its own small write into its own folder, so runs of different
+    charts recording at the same time never share a staging directory.
+    """
+    run_id, status = row[0], row[5]
+    spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+        f"{runs_path(root)}/{run_id}-{status}"
+    )
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """Every ledger row (empty with the ledger schema when none was written)."""
     try:
-        return spark.read.schema(RUNS_SCHEMA).parquet(runs_path(root))
+        return spark.read.schema(RUNS_SCHEMA).option("recursiveFileLookup", "true").parquet(runs_path(root))
     except Exception:
         return spark.createDataFrame([], RUNS_SCHEMA)
 

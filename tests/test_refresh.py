@@ -172,3 +172,10 @@ def test_changed_mapping_applies_to_cached_rows(spark, root):
     remap = DerivedDim("country_tier", "country", (("Tier-1", ("US", "CA", "PH")),), COUNTRY_TIER.default)
     after = {r.country: r.country_tier for r in serve(s.with_(derived=(remap,)), DataRequest(dimensions=["country", "country_tier"]), cache).collect()}
     assert after == {"US": "Tier-1", "PH": "Tier-1", "CA": "Tier-1"}
+
+
+def test_refresh_all_concurrent(spark, root):
+    source(spark, [(D(2026, 6, 17), "US", 1), (D(2026, 6, 16), "UK", 2)])
+    specs = [spec(name=f"c{i}") for i in range(3)] + [spec(name="broken", query="SELECT nope FROM src")]
+    out = {r.chart: (r.status, r.row_count) for r in refresh_all(spark, root, specs, D(2026, 6, 18), max_workers=3).collect()}
+    assert out == {"c0": ("success", 2), "c1": ("success", 2), "c2": ("success", 2), "broken": ("failed", 0)}
