@@ -179,3 +179,22 @@ def test_refresh_all_concurrent(spark, root):
     specs = [spec(name=f"c{i}") for i in range(3)] + [spec(name="broken", query="SELECT nope FROM src")]
     out = {r.chart: (r.status, r.row_count) for r in refresh_all(spark, root, specs, D(2026, 6, 18), max_workers=3).collect()}
     assert out == {"c0": ("success", 2), "c1": ("success", 2), "c2": ("success", 2), "broken": ("failed", 0)}
+
+
+def test_null_day_rows(spark, root):
+    from grainline import DataRequest, serve
+
+    s = spec(name="nullday", cur_date_behavior="batched", cache_strategy="replace")
+    q = "SELECT event_date, country, dau FROM src WHERE event_date BETWEEN DATE '{START_DATE}' AND DATE '{END_DATE}' OR event_date IS NULL"
+    s = s.with_(query=q)
+    source(spark, [(D(2026, 6, 1), "US", 1), (None, "US", 5)])
+    refresh(spark, root, s, D(2026, 6, 1), D(2026, 6, 7), today=D(2026, 7, 1), batch_size=7)
+    source(spark, [(D(2026, 6, 1), "US", 2)])
+    refresh(spark, root, s, D(2026, 6, 1), D(2026, 6, 7), today=D(2026, 7, 1), batch_size=7)
+    cache = C.scan_cache(spark, root, s)
+    # the replace rewrote 06-01 and never touched the NULL-day rows
+    assert sorted((r.event_date is None, r.dau) for r in cache.collect()) == [(False, 2), (True, 5)]
+    unbounded = [(r.event_date, r.dau) for r in serve(s, DataRequest(dimensions=[]), cache).collect()]
+    assert unbounded == [(D(2026, 6, 1), 2), (None, 5)]
+    bounded = serve(s, DataRequest(from_date=D(2026, 6, 1), dimensions=[]), cache).collect()
+    assert [(r.event_date, r.dau) for r in bounded] == [(D(2026, 6, 1), 2)]
