@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..spec import ChartSpec, DerivedDim, Dim
 
+# The marker shown for a NULL dimension value and the combo separator.
 NULL_LABEL = "∅"
 COMBO_SEP = " · "
 

@@ -62,7 +62,8 @@ def current_runs(ledger: DataFrame) -> DataFrame:
 
 
 def mark_stale_runs(runs: DataFrame, now: _dt.datetime, max_age_minutes: int = 120) -> DataFrame:
-    """REF-15: ``running`` rows older than ``max_age_minutes`` become ``failed``."""
+    """REF-15: ``running`` rows older than ``max_age_minutes`` (fixed default:
+    120) become ``failed``."""
     stale = (F.col("status") == "running") & F.col("started_at").isNotNull() & (
         F.col("started_at") < F.lit(now - _dt.timedelta(minutes=max_age_minutes))
     )

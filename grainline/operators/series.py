@@ -23,7 +23,8 @@ from ..functions.natural import natural_key
 SERIES = ["metric", "combo"]
 X = "x"
 
-# The per-granularity period-over-period offsets (months, days).
+# The per-granularity period-over-period offsets (months, days),
+# the number of series kept on a chart and the limit on split combinations.
 DELTAS = {
     "day": {"short": (0, 1), "long": (0, 7)},
     "week": {"short": (0, 7), "long": (0, 28)},

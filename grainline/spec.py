@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass, field, replace
 
+# The time granularities a request may ask for.
 GRANULARITIES = ("day", "week", "month")
 
 
@@ -92,6 +93,8 @@ class ChartSpec:
     metrics: tuple[Metric, ...] = ()
     variables: dict = field(default_factory=dict, hash=False, compare=True)
     x_axis: str | None = None
+    # The chart defaults (strategy, backfill days, batch size,
+    # default range, end offset).
     cur_date_behavior: str = "daily"  # "daily" | "batched"
     cache_strategy: str = "append"  # "append" | "replace"
     default_backpop_days: int = 7
