@@ -73,3 +73,11 @@ def audit_independence(spec: ChartSpec, cache: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def audit_unique_grain(spec: ChartSpec, cache: DataFrame) -> DataFrame:
+    """The precondition of serving (T1) and of ``ChartSpec.unique_grain``:
+    (day, every dimension) groups that hold more than one row."""
+    base = prepare_base(spec, cache)
+    cols = [d.col for d in effective_dims(spec, cache.columns)]
+    return base.groupBy(F.col(DAY).alias("day"), *cols).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)

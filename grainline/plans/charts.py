@@ -53,6 +53,7 @@ FROM t
         Metric("value_per_user", formula="value / dau", decimals=2),
     ),
     day_separable=True,
+    unique_grain=True,  # GROUP BY event_date, event_type
     default_backpop_days=30,
 )
 
@@ -91,7 +92,7 @@ GROUP BY CAST(l_shipdate AS DATE), l_returnflag, l_linestatus
     cache_strategy="replace",
     backpop_batch_size=365,
     day_separable=True,
-    unique_grain=True,
+    unique_grain=True,  # GROUP BY every dimension
 )
 
 _ORDERS_WINDOW = (
@@ -152,6 +153,7 @@ FROM g
     ),
     derived=(COUNTRY_TIER, PRIORITY_TIER),
     day_separable=True,
+    unique_grain=True,  # GROUP BY every dimension
 )
 
 COHORT = ChartSpec(
@@ -182,6 +184,7 @@ FROM j GROUP BY event_date, install_date, days_since_install
         Metric("retention", formula="retained_users / installs", decimals=3),
     ),
     x_axis="install_date",
+    unique_grain=True,  # GROUP BY every dimension
 )
 
 CHARTS = {c.name: c for c in (ACTIVITY, ACTIVITY_TYPES, SALES, ORDERS_BY_MARKET, COHORT)}

@@ -162,3 +162,10 @@ def test_audits(spark, tile_chart):
     b = spark.createDataFrame([(1, 1.0 + 1e-9), (2, None), (4, 4.0)], "k int, v double")
     diff = {r.k: (r.in_a, r.in_b) for r in AU.reconcile(a, b, ["k"], ["v"]).collect()}
     assert diff == {3: (True, False), 4: (False, True)}
+
+
+def test_unique_grain_audit(spark, tile_chart):
+    spec, df = tile_chart
+    assert AU.audit_unique_grain(spec, df).count() == 0
+    dup = df.union(df.limit(1))
+    assert AU.audit_unique_grain(spec, dup).collect()[0].rows == 2
