@@ -208,7 +208,7 @@ def cache_root(spark, sf_dir: str) -> str:
     from ..session import shared_root
 
     tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return f"{shared_root(spark).rstrip('/')}/grainline/{tag}"
+    return f"{shared_root(spark).rstrip('/')}/grainline/v1/{tag}"
 
 
 def source_extent(spark, spec: ChartSpec):

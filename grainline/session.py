@@ -43,14 +43,21 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
+    """The cluster's shared folder: the base of ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a fresh
-    temporary folder is created and set as the checkpoint dir.
+    Read from the session. ``getCheckpointDir()`` adds a per-application
+    subfolder, so its parent is used: caches written there outlive the
+    application, and the next run only re-fetches the trailing window. Only
+    when no checkpoint folder is configured (local tests) a fresh temporary
+    folder is created and set.
     """
     sc = spark.sparkContext
-    root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="grainline-"))
-        root = sc.getCheckpointDir()
-    return root
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    current = sc.getCheckpointDir()
+    if current:
+        return current.rstrip("/").rsplit("/", 1)[0]
+    base = tempfile.mkdtemp(prefix="grainline-")
+    sc.setCheckpointDir(base)
+    return base
