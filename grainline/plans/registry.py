@@ -504,3 +504,26 @@ from ..operators.cohort import cohort_view  # noqa: E402
 COHORT_REQ = DataRequest(x_axis="install_date", dimensions=["days_since_install"], metrics=["retained_users"])
 register("agg_6_wide", f"PIVOT ({O.serve_sql(COH, COHORT_REQ)}) ON days_since_install USING first(retained_users) GROUP BY install_date")(
     lambda spark, sf: cohort_view(COH, COHORT_REQ, CH.materialize(spark, sf, COH), "retained_users"))
+
+
+# ---------------------------------------------------------------- SER-6 by month (previous month, same month last year)
+SALES_MONTH_REQ = DataRequest(from_date=D(1996, 1, 1), to_date=D(1998, 12, 31), granularity="month",
+                              dimensions=["linestatus"], metrics=["revenue"])
+
+
+def _sales_monthly(spark, sf):
+    rows = S.serve(SALES, SALES_MONTH_REQ, CH.materialize(spark, sf, SALES))
+    s = SR.to_series(rows, "ship_date", ["l_linestatus"], ["revenue"])
+    return SR.deltas(SR.fill_gaps(s, D(1996, 1, 1), D(1998, 12, 31), "month"), "month")
+
+
+register("ser_6_month", f"""WITH r AS ({O.serve_sql(SALES, SALES_MONTH_REQ)}),
+s AS (SELECT ship_date AS x, COALESCE(CAST(l_linestatus AS VARCHAR), '∅') AS combo, 'revenue' AS metric, CAST(revenue AS DOUBLE) AS value FROM r),
+k AS (SELECT DISTINCT metric, combo FROM s),
+sp AS (SELECT CAST(g AS DATE) AS x FROM generate_series(DATE '1996-01-01', DATE '1998-12-01', INTERVAL 1 MONTH) t(g)),
+grid AS (SELECT k.metric, k.combo, sp.x, s.value FROM k CROSS JOIN sp LEFT JOIN s ON s.metric = k.metric AND s.combo = k.combo AND s.x = sp.x)
+SELECT g.metric, g.combo, g.x, g.value,
+  {_PCT.format(n='g.value', t='p1.value')} AS short_pct, {_PCT.format(n='g.value', t='p12.value')} AS long_pct
+FROM grid g
+LEFT JOIN grid p1 ON p1.metric = g.metric AND p1.combo = g.combo AND p1.x = CAST(g.x - INTERVAL 1 MONTH AS DATE)
+LEFT JOIN grid p12 ON p12.metric = g.metric AND p12.combo = g.combo AND p12.x = CAST(g.x - INTERVAL 12 MONTH AS DATE)""")(_sales_monthly)
