@@ -228,3 +228,18 @@ def to_wide(series: DataFrame, combos: list[str] | None = None) -> DataFrame:
     label = F.when(F.col("combo") == "", F.col("metric")).otherwise(F.concat_ws(" · ", "metric", "combo"))
     s = series.withColumn("_label", label)
     return s.groupBy(X).pivot("_label", combos).agg(F.first("value")).orderBy(X)
+
+
+def view_transforms(series: DataFrame, hidden_combos: list[str] | None = None, percent: bool = False,
+                    ma_window: int | None = None, ordered_axis: bool = True) -> DataFrame:
+    """The chart's display transforms in their order: hidden series are dropped
+    first (FLT-6), then share of total (SER-4), then the moving average (SER-5).
+    Both transforms need an ordered axis (time, or a date pivot); on a
+    categorical axis they are skipped and only the hiding applies."""
+    out = hide_series(series, hidden_combos or [])
+    if ordered_axis:
+        if percent:
+            out = share_of_total(out)
+        if ma_window:
+            out = moving_average(out, ma_window)
+    return out

@@ -169,3 +169,13 @@ def test_unique_grain_audit(spark, tile_chart):
     assert AU.audit_unique_grain(spec, df).count() == 0
     dup = df.union(df.limit(1))
     assert AU.audit_unique_grain(spec, dup).collect()[0].rows == 2
+
+
+def test_view_transforms_order_and_categorical_skip(spark):
+    s = long(spark, [(D(2026, 1, 1), "m", "a", 1.0), (D(2026, 1, 1), "m", "b", 3.0), (D(2026, 1, 1), "m", "c", 4.0),
+                     (D(2026, 1, 2), "m", "a", 3.0), (D(2026, 1, 2), "m", "b", 1.0), (D(2026, 1, 2), "m", "c", 4.0)])
+    got = {(r.x, r.combo): r.value for r in SR.view_transforms(s, ["c"], percent=True, ma_window=2).collect()}
+    assert got[(D(2026, 1, 1), "a")] == 25.0 and got[(D(2026, 1, 2), "a")] == 50.0  # (25 + 75) / 2
+    assert (D(2026, 1, 1), "c") not in got
+    raw = {(r.x, r.combo): r.value for r in SR.view_transforms(s, ["c"], percent=True, ma_window=2, ordered_axis=False).collect()}
+    assert raw[(D(2026, 1, 2), "a")] == 3.0
