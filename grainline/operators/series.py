@@ -73,6 +73,23 @@ def fill_gaps(series: DataFrame, start: _dt.date, end: _dt.date, granularity: st
     return spine.join(points, [*SERIES, X], "left")
 
 
+def fill_axis(series: DataFrame) -> DataFrame:
+    """Every series at every x the rows hold (the union of their x values),
+    NULL where a series has no point: the grid a dashboard widget draws.
+
+    The axis is numbered once (distributed ordinal); each series expands to
+    the positions 1..n with ``sequence`` and the positions are equi-joined to
+    their x values, so no cross join is planned. The output is the grid itself.
+    """
+    from ..functions.ordinal import ordinal
+
+    axis = ordinal(series.select(X).distinct(), [F.col(X)], name="_pos")
+    n = axis.agg(F.max("_pos").alias("_n"))
+    keys = series.select(*SERIES).distinct().join(F.broadcast(n), F.lit(True))  # n is one row
+    grid = keys.select(*SERIES, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_pos")).join(axis, "_pos").drop("_pos")
+    return grid.join(series.select(*SERIES, X, "value"), [*SERIES, X], "left")
+
+
 def series_totals(series: DataFrame) -> DataFrame:
     """AGG-8: per (metric, combo) total, NULL counted as 0."""
     return series.groupBy(*SERIES).agg(F.sum(F.coalesce(F.col("value"), F.lit(0.0))).alias("total"))

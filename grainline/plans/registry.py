@@ -527,3 +527,21 @@ SELECT g.metric, g.combo, g.x, g.value,
 FROM grid g
 LEFT JOIN grid p1 ON p1.metric = g.metric AND p1.combo = g.combo AND p1.x = CAST(g.x - INTERVAL 1 MONTH AS DATE)
 LEFT JOIN grid p12 ON p12.metric = g.metric AND p12.combo = g.combo AND p12.x = CAST(g.x - INTERVAL 12 MONTH AS DATE)""")(_sales_monthly)
+
+
+# ---------------------------------------------------------------- WIN-1 on a dashboard widget: over the dates returned
+WIDGET_MA_REQ = DataRequest(from_date=D(1997, 1, 1), to_date=D(1997, 3, 31), dimensions=["region"], metrics=["orders"],
+                            filters={"priority": ["1-URGENT"]})
+
+
+def _widget_ma(spark, sf):
+    rows = S.serve(OBM, WIDGET_MA_REQ, CH.materialize(spark, sf, OBM))
+    return SR.moving_average(SR.fill_axis(SR.to_series(rows, "order_date", ["region"], ["orders"])), 7)
+
+
+register("win_1_widget", f"""WITH r AS ({O.serve_sql(OBM, WIDGET_MA_REQ)}),
+s AS (SELECT order_date AS x, COALESCE(region, '∅') AS combo, 'orders' AS metric, CAST(orders AS DOUBLE) AS value FROM r),
+grid AS (SELECT k.metric, k.combo, a.x, s.value FROM (SELECT DISTINCT metric, combo FROM s) k
+         CROSS JOIN (SELECT DISTINCT x FROM s) a LEFT JOIN s ON s.metric = k.metric AND s.combo = k.combo AND s.x = a.x)
+SELECT metric, combo, x, AVG(value) OVER (PARTITION BY metric, combo ORDER BY x ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS value
+FROM grid""")(_widget_ma)
