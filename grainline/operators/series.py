@@ -236,15 +236,19 @@ def axis_is_date(cache: DataFrame, col: str) -> DataFrame:
     )
 
 
-def to_wide(series: DataFrame, combos: list[str] | None = None) -> DataFrame:
-    """The sink form: x plus one column per series (``metric · combo``).
+def to_wide(series: DataFrame, combos: list[str] | None = None, multi_metric: bool = True,
+            x_name: str = "date") -> DataFrame:
+    """The sink form: the x column plus one column per series, labelled as the
+    chart labels them - the combo alone when one metric is plotted,
+    ``metric · combo`` when several are, the metric name without a split.
 
     Call after :func:`cap_series`; ``combos`` (the kept labels) avoids the
     extra job that discovers pivot values.
     """
-    label = F.when(F.col("combo") == "", F.col("metric")).otherwise(F.concat_ws(" · ", "metric", "combo"))
+    label = F.when(F.col("combo") == "", F.col("metric"))
+    label = label.otherwise(F.concat_ws(" · ", "metric", "combo") if multi_metric else F.col("combo"))
     s = series.withColumn("_label", label)
-    return s.groupBy(X).pivot("_label", combos).agg(F.first("value")).orderBy(X)
+    return s.groupBy(F.col(X).alias(x_name)).pivot("_label", combos).agg(F.first("value")).orderBy(x_name)
 
 
 def view_transforms(series: DataFrame, hidden_combos: list[str] | None = None, percent: bool = False,

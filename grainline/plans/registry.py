@@ -437,7 +437,7 @@ def _ref_8(spark, sf):
 def _snk_4(spark, sf):
     kept = SR.top_series(_top_input(spark, sf), 20, by_metric="orders").where(F.col("metric") == "orders")
     path = CH.cache_root(spark, sf) + "/exports/orders_by_country"
-    C.export_csv(SR.to_wide(kept.drop("country")), path)
+    C.export_csv(SR.to_wide(kept.drop("country"), multi_metric=False), path)
     return spark.read.option("header", True).csv(path)
 
 

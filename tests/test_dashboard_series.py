@@ -179,3 +179,18 @@ def test_view_transforms_order_and_categorical_skip(spark):
     assert (D(2026, 1, 1), "c") not in got
     raw = {(r.x, r.combo): r.value for r in SR.view_transforms(s, ["c"], percent=True, ma_window=2, ordered_axis=False).collect()}
     assert raw[(D(2026, 1, 2), "a")] == 3.0
+
+
+def test_export_csv(spark, tmp_path):
+    from grainline.sources.cache import export_csv
+
+    s = long(spark, [(D(2026, 1, 1), "m", "US · ios", 1.5), (D(2026, 1, 2), "m", "US · ios", None),
+                     (D(2026, 1, 1), "m", 'a,"b"', 2.0)])
+    path = str(tmp_path / "out")
+    export_csv(SR.to_wide(s, multi_metric=False), path)
+    import glob
+    text = "".join(open(f).read() for f in sorted(glob.glob(path + "/*.csv")))
+    assert text.splitlines()[0] == 'date,US · ios,"a,""b"""'
+    back = spark.read.option("header", True).csv(path).orderBy("date").collect()
+    assert [r["date"] for r in back] == ["2026-01-01", "2026-01-02"]
+    assert back[1]["US · ios"] is None and back[0]["US · ios"] == "1.5"
