@@ -433,7 +433,10 @@ def _ref_8(spark, sf):
 
 
 # ---------------------------------------------------------------- SNK-4: wide CSV export of the kept series, read back
-@register("snk_4")
+@register("snk_4", f"""{_TOP_SER_SQL},
+kept AS (SELECT CAST(x AS VARCHAR) AS x, combo, CAST(value AS VARCHAR) AS v FROM s
+         WHERE metric = 'orders' AND combo IN (SELECT combo FROM keep))
+SELECT * RENAME (x AS date) FROM (PIVOT kept ON combo USING first(v) GROUP BY x) p""")
 def _snk_4(spark, sf):
     kept = SR.top_series(_top_input(spark, sf), 20, by_metric="orders").where(F.col("metric") == "orders")
     path = CH.cache_root(spark, sf) + "/exports/orders_by_country"
