@@ -548,3 +548,64 @@ grid AS (SELECT k.metric, k.combo, a.x, s.value FROM (SELECT DISTINCT metric, co
          CROSS JOIN (SELECT DISTINCT x FROM s) a LEFT JOIN s ON s.metric = k.metric AND s.combo = k.combo AND s.x = a.x)
 SELECT metric, combo, x, AVG(value) OVER (PARTITION BY metric, combo ORDER BY x ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS value
 FROM grid""")(_widget_ma)
+
+
+# ---------------------------------------------------------------- SCH-4, REF-5, REF-6, REF-9 on the driver tables
+@register("sch_4", f"""SELECT event_date, event_type, value, events, CAST(NULL AS BIGINT) AS dau, event_date AS _day
+FROM ({O.DUCK_CHARTS['activity']}) s WHERE event_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""")
+def _sch_4(spark, sf):
+    root = _root(spark, sf)
+    register_tables(spark, sf)
+    stored = C.stored_schema(C.read_meta(spark, root, A))
+    batch = C.with_day(source_query(spark, A, D(2024, 1, 8), D(2024, 1, 14)).drop("dau"), A)
+    return C.align_columns(batch, stored)
+
+
+@register("ref_5", """WITH b AS (SELECT MIN(CAST(ts AS DATE)) AS from_date, MAX(CAST(ts AS DATE)) AS to_date FROM events)
+SELECT from_date, to_date, CAST(g AS DATE) AS window_start, LEAST(CAST(g AS DATE) + 6, to_date) AS window_end,
+       CASE WHEN CAST(g AS DATE) >= DATE '2024-01-27' THEN 'replace' ELSE 'append' END AS strategy
+FROM b, generate_series(from_date, to_date, INTERVAL 7 DAY) t(g)""")
+def _ref_5(spark, sf):
+    register_tables(spark, sf)
+    bounds = spark.table("events").agg(F.min(F.to_date("ts")).alias("from_date"), F.max(F.to_date("ts")).alias("to_date"))
+    from ..functions.dates import refresh_cutoff
+    cutoff = refresh_cutoff(D(2024, 1, 31), RF.REFRESH_WINDOW_DAYS)
+    return date_windows(spark, bounds, 7).withColumn("strategy", RF.strategy_column(A, F.col("window_start"), cutoff))
+
+
+@register("ref_6", f"SELECT *, event_date AS _day FROM ({O.DUCK_CHARTS['activity']}) s")
+def _ref_6(spark, sf):
+    # a non-forced refresh whose trailing-window days come back empty keeps what is cached
+    root = _root(spark, sf)
+    register_tables(spark, sf)
+    res = RF.refresh(spark, root, A, D(2024, 1, 29), D(2024, 2, 2), today=D(2024, 2, 2), record=False)
+    if res.status != "success":
+        raise RuntimeError(res.error_message)
+    return C.scan_cache(spark, root, A)
+
+
+A_TEXT_METRIC = A.with_(
+    name="activity_heal",
+    metrics=tuple(m for m in A.metrics if m.name not in ("dau", "value_per_user")),
+    query=A.query.replace("SUM(new_users) OVER (PARTITION BY event_date) AS dau",
+                          "CAST(SUM(new_users) OVER (PARTITION BY event_date) AS STRING) AS dau"),
+)
+A_HEALED = A.with_(name="activity_heal", query=A_TEXT_METRIC.query)
+
+
+@register("ref_9", f"SELECT event_date, event_type, value, events, CAST(dau AS DOUBLE) AS dau, event_date AS _day "
+                   f"FROM ({O.DUCK_CHARTS['activity']}) s")
+def _ref_9(spark, sf):
+    """A cache whose dau column was stored as text (dau not declared then) is
+    healed when dau is declared: dropped and rebuilt over its whole extent."""
+    register_tables(spark, sf)
+    root = CH.cache_root(spark, sf)
+    lo, hi = CH.source_extent(spark, A)
+    C.drop_cache(spark, root, A_TEXT_METRIC)
+    first = RF.refresh(spark, root, A_TEXT_METRIC, lo, hi, today=hi + _dt.timedelta(days=1), record=False)
+    if C.poisoned_metrics(spark, root, A_HEALED) != ["dau"]:
+        raise RuntimeError("expected a poisoned dau column")
+    healed = RF.refresh(spark, root, A_HEALED, hi, hi, today=hi + _dt.timedelta(days=1), record=False)
+    if first.status != "success" or healed.status != "success" or healed.from_date != lo:
+        raise RuntimeError(f"heal did not rebuild the extent: {healed}")
+    return C.scan_cache(spark, root, A_HEALED)
