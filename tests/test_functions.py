@@ -116,3 +116,24 @@ def test_named_date_markers(spark):
                      metrics=(Metric("v", column="v"),))
     got = sorted(r.v for r in source_query(spark, spec, D(2026, 6, 3), D(2026, 6, 5)).collect())
     assert got == [3, 4, 5]
+
+
+def test_ordinal_matches_row_number_across_partitions(spark):
+    from pyspark.sql import Window
+
+    from grainline.functions.ordinal import ordinal
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(50000).select(
+            F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 < 9, F.lit("warm")).otherwise(F.lit(None)).alias("g"),
+            (F.rand(7) * 1e6).cast("long").alias("k"), F.col("id"))
+        mine = ordinal(df, [F.col("k"), F.col("id")], group=["g"]).select("id", "position")
+        ref = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")).alias("rn"))
+        assert mine.join(ref, "id").where(F.col("position") != F.col("rn")).count() == 0
+        assert mine.count() == 50000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
