@@ -202,13 +202,23 @@ EXTENT_SQL = {
 _MATERIALIZED: dict[tuple[str, str], object] = {}
 
 
+_ROOT_OVERRIDE: list[str] = []
+
+
+def set_cache_root(path: str | None) -> None:
+    """Use ``path`` instead of the shared folder for the caches of this process
+    (the bench points it at a fresh run folder so refresh timings are cold)."""
+    _ROOT_OVERRIDE[:] = [path] if path else []
+
+
 def cache_root(spark, sf_dir: str) -> str:
     import hashlib
 
     from ..session import shared_root
 
     tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return f"{shared_root(spark).rstrip('/')}/grainline/v1/{tag}"
+    base = _ROOT_OVERRIDE[0] if _ROOT_OVERRIDE else f"{shared_root(spark).rstrip('/')}/grainline/v2"
+    return f"{base}/{tag}"
 
 
 def source_extent(spark, spec: ChartSpec):
