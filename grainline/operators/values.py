@@ -45,20 +45,10 @@ def dim_totals(spec: ChartSpec, cache: DataFrame, dim: str, from_date=None, to_d
     )
 
 
-def dim_values(spec: ChartSpec, cache: DataFrame, from_date=None, to_date=None, dims=None) -> DataFrame:
-    """SRT-3: distinct non-NULL values per dimension, positioned in the dim's own order.
-
-    ``natural``: number-aware label order. ``metric``: order-metric total
-    descending, NULL totals last, ties by value. The date bounds narrow the
-    values; the extent (:func:`date_extent`) always covers the whole cache.
-
-    One scan: every row is exploded into its (dimension, value) pairs, one
-    aggregate (with map-side partial aggregation) yields each value with its
-    total, and one distributed ordinal numbers the values of every dimension.
-    """
-    eff = [d for d in effective_dims(spec, cache.columns) if dims is None or d.name in dims]
-    if not eff:
-        return cache.sparkSession.createDataFrame([], "dimension string, value string, position int")
+def _value_totals(spec: ChartSpec, cache: DataFrame, eff, from_date=None, to_date=None) -> DataFrame:
+    """One scan: every row exploded into its (dimension, value) pairs, then one
+    aggregate (map-side partial) giving each value its order-metric total and
+    its value in its own type (one of vn / vd / vs is set per dimension)."""
     base = _date_filtered(spec, cache, from_date, to_date)
     m = order_metric(spec)
     metric = F.col(m.column).cast("string").try_cast("double") if m is not None else F.lit(None).cast("double")
@@ -67,7 +57,6 @@ def dim_values(spec: ChartSpec, cache: DataFrame, from_date=None, to_date=None,
         v, dtype = F.col(d.col), base.schema[d.col].dataType
         numeric = isinstance(dtype, T.NumericType)
         temporal = isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
-        # the value as text plus, for tie-breaking, in its own type (one field set per dimension)
         pairs.append(F.struct(
             F.lit(d.name).alias("dimension"),
             v.cast("string").alias("value"),
@@ -76,18 +65,39 @@ def dim_values(spec: ChartSpec, cache: DataFrame, from_date=None, to_date=None,
             (F.lit(None).cast("string") if numeric or temporal else v.cast("string")).alias("vs"),
         ))
     exploded = base.select(F.explode(F.array(*pairs)).alias("p"), metric.alias("_m")).select("p.*", "_m")
-    totals = exploded.where(F.col("value").isNotNull()).groupBy("dimension", "value", "vn", "vd", "vs").agg(
+    return exploded.where(F.col("value").isNotNull()).groupBy("dimension", "value", "vn", "vd", "vs").agg(
         F.sum("_m").alias("_tot")
     )
-    metric_dims = [d.name for d in eff if d.value_order == "metric"] if m is not None else []
+
+
+def _order_key(metric_dims: list[str]):
+    """Sort key of a value inside its dimension: total descending (NULL last)
+    for ``metric`` dims, the natural key otherwise; ties by the typed value."""
     is_metric = F.col("dimension").isin(metric_dims) if metric_dims else F.lit(False)
-    key = F.struct(
+    return F.struct(
         F.when(is_metric, F.col("_tot").isNull()).alias("n"),
         F.when(is_metric, -F.col("_tot")).alias("t"),
         F.when(~is_metric, natural_key(F.col("value"))).alias("k"),
         "vn", "vd", "vs",
     )
-    return ordinal(totals, [key], group=["dimension"]).select("dimension", "value", "position")
+
+
+def dim_values(spec: ChartSpec, cache: DataFrame, from_date=None, to_date=None, dims=None) -> DataFrame:
+    """SRT-3: distinct non-NULL values per dimension, positioned in the dim's own order.
+
+    ``natural``: number-aware label order. ``metric``: order-metric total
+    descending, NULL totals last, ties by value. The date bounds narrow the
+    values; the extent (:func:`date_extent`) always covers the whole cache.
+
+    One scan and one aggregate (:func:`_value_totals`), then one distributed
+    ordinal numbers the values of every dimension.
+    """
+    eff = [d for d in effective_dims(spec, cache.columns) if dims is None or d.name in dims]
+    if not eff:
+        return cache.sparkSession.createDataFrame([], "dimension string, value string, position int")
+    totals = _value_totals(spec, cache, eff, from_date, to_date)
+    metric_dims = [d.name for d in eff if d.value_order == "metric"] if order_metric(spec) is not None else []
+    return ordinal(totals, [_order_key(metric_dims)], group=["dimension"]).select("dimension", "value", "position")
 
 
 def date_extent(spec: ChartSpec, cache: DataFrame) -> DataFrame:
@@ -99,27 +109,35 @@ def date_extent(spec: ChartSpec, cache: DataFrame) -> DataFrame:
 def filter_values(charts: list[tuple[ChartSpec, DataFrame]], wanted: list[str]) -> DataFrame:
     """SET-1: per wanted dim, the union of values across the distinct charts that
     have it. ``natural`` dims are re-sorted over the union; ``metric`` dims keep
-    first-seen order (chart order, then each chart's own ranking)."""
+    first-seen order (chart order, then each chart's own ranking).
+
+    A value's first-seen place is the smallest (chart index, that chart's sort
+    key) over the charts holding it, so one aggregate and one ordinal suffice.
+    The first chart carrying a dimension decides its value order.
+    """
     order_of: dict[str, str] = {}
     parts = []
     for i, (spec, cache) in enumerate(charts):
         have = {d.name: d for d in effective_dims(spec, cache.columns)}
-        dims = [w for w in wanted if w in have]
-        for w in dims:
-            order_of.setdefault(w, have[w].value_order)
-        if dims:
-            parts.append(dim_values(spec, cache, dims=dims).withColumn("_chart", F.lit(i)))
+        eff = [have[w] for w in wanted if w in have]
+        if not eff:
+            continue
+        for d in eff:
+            order_of.setdefault(d.name, d.value_order if order_metric(spec) is not None else "natural")
+        chart_metric_dims = [d.name for d in eff if d.value_order == "metric"] if order_metric(spec) is not None else []
+        totals = _value_totals(spec, cache, eff)
+        parts.append(totals.select("dimension", "value", F.struct(F.lit(i).alias("c"), _order_key(chart_metric_dims).alias("o")).alias("_seen")))
     if not parts:
         raise ValueError("no chart carries any of the wanted dimensions")
     allv = parts[0]
     for p in parts[1:]:
         allv = allv.unionByName(p)
-    first = allv.groupBy("dimension", "value").agg(F.min(F.struct("_chart", "position")).alias("_first"))
+    first = allv.groupBy("dimension", "value").agg(F.min("_seen").alias("_first"))
     metric_dims = [d for d, o in order_of.items() if o == "metric"]
     is_metric = F.col("dimension").isin(metric_dims) if metric_dims else F.lit(False)
     key = F.struct(
         F.when(is_metric, F.col("_first")).alias("f"),
         F.when(~is_metric, natural_key(F.col("value"))).alias("k"),
+        F.col("value").alias("v"),
     )
-    ranked = ordinal(first.withColumn("_key", key), [F.col("_key"), F.col("value")], group=["dimension"])
-    return ranked.select("dimension", "value", "position")
+    return ordinal(first, [key], group=["dimension"]).select("dimension", "value", "position")
