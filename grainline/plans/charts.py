@@ -199,7 +199,8 @@ EXTENT_SQL = {
     "cohort": "SELECT MIN(CAST(ts AS DATE)) AS lo, MAX(CAST(ts AS DATE)) AS hi FROM events",
 }
 
-_MATERIALIZED: dict[tuple[str, str], object] = {}
+_MATERIALIZED: dict[tuple, object] = {}
+_REFRESH_LOCK = __import__("threading").Lock()  # one writer per cache within a process
 
 
 _ROOT_OVERRIDE: list[str] = []
@@ -235,11 +236,12 @@ def materialize(spark, sf_dir: str, spec: ChartSpec):
 
     root = cache_root(spark, sf_dir)
     key = (id(spark), root, spec.name)
-    if key not in _MATERIALIZED:
-        register_tables(spark, sf_dir)  # source tables are read only by the refresh
-        lo, hi = source_extent(spark, spec)
-        result = refresh(spark, root, spec, lo, hi, today=hi + _dt.timedelta(days=1), record=False)
-        if result.status != "success":
-            raise RuntimeError(f"refresh of '{spec.name}' failed: {result.error_message}")
-        _MATERIALIZED[key] = result
+    with _REFRESH_LOCK:
+        if key not in _MATERIALIZED:
+            register_tables(spark, sf_dir)  # source tables are read only by the refresh
+            lo, hi = source_extent(spark, spec)
+            result = refresh(spark, root, spec, lo, hi, today=hi + _dt.timedelta(days=1), record=False)
+            if result.status != "success":
+                raise RuntimeError(f"refresh of '{spec.name}' failed: {result.error_message}")
+            _MATERIALIZED[key] = result
     return scan_cache(spark, root, spec)
