@@ -15,15 +15,18 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str], r
 
     Full outer join on NULL-safe keys; a row is reported when it is on one side
     only, or a metric differs by more than ``rel_tol`` relative (NULL = NULL).
-    An empty result means equal row sets and values.
+    An empty result means equal row sets and values. ``keys`` must name the
+    columns that identify a row (a keyless join would pair every row).
     """
+    if not keys:
+        raise ValueError("reconcile needs the key columns that identify a row")
     la = a.select(*keys, *[F.col(m).cast("double").alias(f"a_{m}") for m in metrics]).withColumn("_in_a", F.lit(True))
     rb = b.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[F.col(m).cast("double").alias(f"b_{m}") for m in metrics]).withColumn("_in_b", F.lit(True))
     cond = None
     for k in keys:
         c = la[k].eqNullSafe(rb[f"_b_{k}"])
         cond = c if cond is None else cond & c
-    j = la.join(rb, on=cond if cond is not None else F.lit(True), how="full_outer")
+    j = la.join(rb, on=cond, how="full_outer")
     bad = ~(F.coalesce(F.col("_in_a"), F.lit(False)) & F.coalesce(F.col("_in_b"), F.lit(False)))
     for m in metrics:
         x, y = F.col(f"a_{m}"), F.col(f"b_{m}")

@@ -84,9 +84,9 @@ def fill_axis(series: DataFrame) -> DataFrame:
     from ..functions.ordinal import ordinal
 
     axis = ordinal(series.select(X).distinct(), [F.col(X)], name="_pos")
-    n = axis.agg(F.max("_pos").alias("_n"))
-    keys = series.select(*SERIES).distinct().join(F.broadcast(n), F.lit(True))  # n is one row
-    grid = keys.select(*SERIES, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_pos")).join(axis, "_pos").drop("_pos")
+    n = axis.agg(F.max("_pos")).scalar()  # the axis length, a scalar subquery
+    keys = series.select(*SERIES).distinct()
+    grid = keys.select(*SERIES, F.explode(F.sequence(F.lit(1), n)).alias("_pos")).join(axis, "_pos").drop("_pos")
     return grid.join(series.select(*SERIES, X, "value"), [*SERIES, X], "left")
 
 
@@ -194,9 +194,8 @@ def point_total(series: DataFrame, units: dict[str, str | None] | None = None) -
     at least two series share one unit (else no rows)."""
     if units is not None and len(set(units.values())) > 1:
         return series.sparkSession.createDataFrame([], series.select(X).schema.add("value", "double"))
-    n = series.agg(F.countDistinct(*SERIES).alias("_n"))
-    totals = series.groupBy(X).agg(F.sum("value").alias("value"))
-    return totals.join(F.broadcast(n), F.lit(True)).where(F.col("_n") >= 2).drop("_n")
+    n = series.agg(F.countDistinct(*SERIES)).scalar()  # number of series, a scalar subquery
+    return series.groupBy(X).agg(F.sum("value").alias("value")).where(n >= 2)
 
 
 def total_deltas(series: DataFrame, granularity: str = "day", units=None) -> DataFrame:
