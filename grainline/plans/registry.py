@@ -609,3 +609,11 @@ def _ref_9(spark, sf):
     if first.status != "success" or healed.status != "success" or healed.from_date != lo:
         raise RuntimeError(f"heal did not rebuild the extent: {healed}")
     return C.scan_cache(spark, root, A_HEALED)
+
+
+# ---------------------------------------------------------------- WIN-3 on a dashboard widget: each metric x combo series on its own total
+register("win_3_widget", f"""{_TOP_SER_SQL},
+st AS (SELECT metric, combo, SUM(COALESCE(value, 0)) AS total FROM s GROUP BY 1, 2),
+kw AS (SELECT metric, combo FROM st ORDER BY total DESC, metric, {O.natural_sql('combo')}, combo LIMIT 20)
+SELECT s.* FROM s JOIN kw ON s.metric = kw.metric AND s.combo = kw.combo""")(
+    lambda spark, sf: SR.top_series(_top_input(spark, sf), 20))
