@@ -100,3 +100,23 @@ def test_random_requests_match_oracle(golden_df, golden_rows, r):
                 assert (g[k] is None and w[k] is None) or math.isclose(g[k], w[k], rel_tol=1e-9), (k, g, w)
             else:
                 assert g[k] == w[k], (k, g, w)
+
+
+def py_natural(v: str):
+    """Chunk key: digit runs compare as numbers, text case-insensitively, digits first."""
+    import re
+
+    return [(0, int(p), "") if p.isdigit() else (1, 0, p.lower()) for p in re.split(r"(\d+)", v) if p != ""]
+
+
+labels = st.text(alphabet="aAbZ-_ 0123456789", min_size=1, max_size=12)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(labels, min_size=1, max_size=40, unique=True))
+def test_natural_key_matches_python(spark, vals):
+    from grainline.functions.natural import natural_key
+
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [r.v for r in df.orderBy(natural_key("v"), "v").collect()]
+    assert got == sorted(vals, key=lambda v: (py_natural(v), v))
