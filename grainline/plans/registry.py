@@ -617,3 +617,21 @@ st AS (SELECT metric, combo, SUM(COALESCE(value, 0)) AS total FROM s GROUP BY 1,
 kw AS (SELECT metric, combo FROM st ORDER BY total DESC, metric, {O.natural_sql('combo')}, combo LIMIT 20)
 SELECT s.* FROM s JOIN kw ON s.metric = kw.metric AND s.combo = kw.combo""")(
     lambda spark, sf: SR.top_series(_top_input(spark, sf), 20))
+
+
+# ---------------------------------------------------------------- REF-13 nightly run over several charts (forced, so the counts are fixed)
+NIGHTLY_TODAY = D(2024, 1, 31)
+
+
+@register("ref_13", f"""SELECT 'activity' AS chart, DATE '2024-01-01' AS from_date, DATE '2024-01-30' AS to_date, 'success' AS status,
+  (SELECT COUNT(*) FROM ({O.DUCK_CHARTS['activity']}) s WHERE event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30') AS row_count,
+  CAST(NULL AS VARCHAR) AS error_message
+UNION ALL
+SELECT 'cohort', DATE '2024-01-24', DATE '2024-01-30', 'success',
+  (SELECT COUNT(*) FROM ({O.DUCK_CHARTS['cohort']}) s WHERE event_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'),
+  CAST(NULL AS VARCHAR)""")
+def _ref_13(spark, sf):
+    root = _root(spark, sf)
+    CH.materialize(spark, sf, COH)
+    register_tables(spark, sf)
+    return RF.refresh_all(spark, root, [A, COH], NIGHTLY_TODAY, max_workers=2, force=True, record=False)
