@@ -14,9 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import oracle as O
+from ..functions.dates import date_windows, time_bucket
+from ..operators import audit as AU
+from ..operators import ledger as L
 from ..operators import serve as S
-from ..spec import ChartSpec, DataRequest
+from ..operators import series as SR
+from ..operators import values as V
+from ..operators.cohort import cohort_view
+from ..session import register_tables
+from ..sources import cache as C
+from ..sources.query import source_query
+from ..spec import ChartSpec, DataRequest, DerivedDim, Dim
 from . import charts as CH
+from . import dashboard as DB
+from . import refresh as RF
 
 D = _dt.date
 
@@ -102,7 +113,6 @@ def _agg_3(spark, sf):
 
 
 # ---------------------------------------------------------------- series
-from ..operators import series as SR  # noqa: E402
 
 SER_REQ = DataRequest(granularity="day", dimensions=["event_type"], metrics=["value", "events"])
 SER_WINDOW = (D(2023, 12, 28), D(2024, 2, 3))
@@ -229,8 +239,6 @@ register("flt_5", f"""WITH r AS ({O.serve_sql(COH, COH_REQ)})
 
 
 # ---------------------------------------------------------------- values (SRT-2/3, AGG-7, SET-1)
-from ..operators import values as V  # noqa: E402
-from ..spec import Dim  # noqa: E402
 
 OBM_NATURAL = OBM.with_(name="orders_by_market", dims=tuple(Dim(d.name, d.column) for d in OBM.dims))
 
@@ -260,8 +268,6 @@ register("set_1", _SET1)(
 
 
 # ---------------------------------------------------------------- dashboards (DSH-*, SET-2)
-from . import dashboard as DB  # noqa: E402
-from ..spec import DerivedDim  # noqa: E402
 
 TODAY = D(2024, 2, 1)
 W_VALUE = DB.ChartWidget("w_value", A, ("value", "dau"), filters={"event_type": ["click"]})
@@ -304,8 +310,6 @@ FROM p""")(lambda spark, sf: DB.number_tile(DASH, T_DAU, CH.materialize(spark, s
 
 
 # ---------------------------------------------------------------- audits (DQ-1/2, JOIN-5)
-from ..operators import audit as AU  # noqa: E402
-from ..functions.dates import time_bucket  # noqa: E402
 
 _DQ1_A = O.serve_sql(A, DataRequest(granularity="week", dimensions=[], metrics=["dau"]))
 
@@ -334,11 +338,6 @@ HAVING MIN(events) <> MAX(events) OR (COUNT_IF(events IS NULL) > 0 AND COUNT_IF(
 
 
 # ---------------------------------------------------------------- sources, cache, refresh (SRC, SCH, REF)
-from ..session import register_tables  # noqa: E402
-from ..sources import cache as C  # noqa: E402
-from ..sources.query import source_query  # noqa: E402
-from . import refresh as RF  # noqa: E402
-from ..functions.dates import date_windows  # noqa: E402
 
 
 @register("src_1", f"SELECT * FROM ({O.DUCK_CHARTS['activity']}) s WHERE event_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")
@@ -445,7 +444,6 @@ def _snk_4(spark, sf):
 
 
 # ---------------------------------------------------------------- run ledger (REF-14..16, WIN-4)
-from ..operators import ledger as L  # noqa: E402
 
 LEDGER_WINDOW = (D(2024, 1, 8), D(2024, 1, 14))
 _LEDGER_COUNT = (f"(SELECT COUNT(*) FROM ({O.DUCK_CHARTS['activity']}) s "
@@ -502,7 +500,6 @@ for alias, key in {"snk_1": "src_3", "snk_2": "ref_7", "snk_3": "ref_8"}.items()
 
 
 # ---------------------------------------------------------------- AGG-6 wide cohort view
-from ..operators.cohort import cohort_view  # noqa: E402
 
 COHORT_REQ = DataRequest(x_axis="install_date", dimensions=["days_since_install"], metrics=["retained_users"])
 register("agg_6_wide", f"PIVOT ({O.serve_sql(COH, COHORT_REQ)}) ON days_since_install USING first(retained_users) GROUP BY install_date")(
