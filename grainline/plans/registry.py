@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import oracle as O
-from ..functions.dates import date_windows, time_bucket
+from ..functions.dates import date_windows, refresh_cutoff, time_bucket
 from ..operators import audit as AU
 from ..operators import ledger as L
 from ..operators import serve as S
@@ -480,10 +480,8 @@ def _win_4(spark, sf):
 @register("ref_15", f"SELECT 'activity' AS chart, 'failed' AS status, CAST(0 AS BIGINT) AS row_count "
                     f"UNION ALL SELECT 'activity', 'success', CAST({_LEDGER_COUNT} AS BIGINT)")
 def _ref_15(spark, sf):
-    import datetime as dt
-
     _, run = _recorded_run(spark, sf)
-    return L.mark_stale_runs(run, dt.datetime(2999, 1, 1), 120).select("chart", "status", "row_count")
+    return L.mark_stale_runs(run, _dt.datetime(2999, 1, 1), 120).select("chart", "status", "row_count")
 
 
 @register("ref_16", f"""SELECT 'activity' AS chart, MAX(CAST(ts AS DATE)) AS latest_day, 'success' AS last_status,
@@ -565,7 +563,6 @@ FROM b, generate_series(from_date, to_date, INTERVAL 7 DAY) t(g)""")
 def _ref_5(spark, sf):
     register_tables(spark, sf)
     bounds = spark.table("events").agg(F.min(F.to_date("ts")).alias("from_date"), F.max(F.to_date("ts")).alias("to_date"))
-    from ..functions.dates import refresh_cutoff
     cutoff = refresh_cutoff(D(2024, 1, 31), RF.REFRESH_WINDOW_DAYS)
     return date_windows(spark, bounds, 7).withColumn("strategy", RF.strategy_column(A, F.col("window_start"), cutoff))
 
