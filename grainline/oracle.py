@@ -10,6 +10,8 @@ by signature and skips the keyset), so agreement means something.
 
 from __future__ import annotations
 
+import ast
+
 from .functions.derived import effective_dims
 from .spec import ChartSpec, DataRequest, DerivedDim
 
@@ -119,8 +121,6 @@ def _where(spec: ChartSpec, req: DataRequest, dim_col: dict, exclude=frozenset()
 
 
 def _formula_sql(text: str) -> str:
-    import ast
-
     def ev(n):
         if isinstance(n, ast.Expression):
             return ev(n.body)
@@ -157,7 +157,6 @@ def serve_sql(spec: ChartSpec, req: DataRequest) -> str:
     for m in metrics:
         mm = spec.metric(m)
         if mm.is_formula:
-            import ast
             names = {n.id for n in ast.walk(ast.parse(mm.formula, mode="eval")) if isinstance(n, ast.Name)}
             base_needed += [b.name for b in spec.base_metrics if b.name in names]
         else:

@@ -8,8 +8,13 @@ Date tokens bound per window keep the scan pushed down to parquet.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
+import threading
 
-from ..spec import ChartSpec, DerivedDim, Dim, Metric, COUNTRY_TIER
+from ..session import register_tables, shared_root
+from ..sources.cache import scan_cache
+from ..spec import COUNTRY_TIER, ChartSpec, DerivedDim, Dim, Metric
+from .refresh import refresh
 
 ALL_TIME = (_dt.date(1900, 1, 1), _dt.date(2999, 12, 31))
 
@@ -200,7 +205,7 @@ EXTENT_SQL = {
 }
 
 _MATERIALIZED: dict[tuple, object] = {}
-_REFRESH_LOCK = __import__("threading").Lock()  # one writer per cache within a process
+_REFRESH_LOCK = threading.Lock()  # one writer per cache within a process
 
 
 _ROOT_OVERRIDE: list[str] = []
@@ -213,10 +218,6 @@ def set_cache_root(path: str | None) -> None:
 
 
 def cache_root(spark, sf_dir: str) -> str:
-    import hashlib
-
-    from ..session import shared_root
-
     tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
     base = _ROOT_OVERRIDE[0] if _ROOT_OVERRIDE else f"{shared_root(spark).rstrip('/')}/grainline/v2"
     return f"{base}/{tag}"
@@ -230,10 +231,6 @@ def source_extent(spark, spec: ChartSpec):
 def materialize(spark, sf_dir: str, spec: ChartSpec):
     """Refresh ``spec`` over its source's whole day extent into the shared
     folder (once per session) and return the cache scan."""
-    from ..session import register_tables
-    from ..sources.cache import scan_cache
-    from .refresh import refresh
-
     root = cache_root(spark, sf_dir)
     key = (id(spark), root, spec.name)
     with _REFRESH_LOCK:
