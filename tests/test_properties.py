@@ -120,3 +120,27 @@ def test_natural_key_matches_python(spark, vals):
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     got = [r.v for r in df.orderBy(natural_key("v"), "v").collect()]
     assert got == sorted(vals, key=lambda v: (py_natural(v), v))
+
+
+points = st.dictionaries(st.integers(0, 40), st.one_of(st.none(), st.integers(-20, 20).map(float)), min_size=1, max_size=25)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(points)
+def test_deltas_match_exact_date_lookup(spark, pts):
+    from grainline.operators.series import deltas
+
+    start = dt.date(2026, 1, 1)
+    rows = [(start + dt.timedelta(days=d), "m", "a", v) for d, v in pts.items()]
+    df = spark.createDataFrame(rows, "x date, metric string, combo string, value double")
+    got = {r.x: (r.short_pct, r.long_pct) for r in deltas(df, "day").collect()}
+    by_day = {start + dt.timedelta(days=d): v for d, v in pts.items()}
+
+    def pct(now, then):
+        if now is None or then is None or then == 0:
+            return None
+        return math.floor((now - then) / then * 100 + 0.5)
+
+    for day, v in by_day.items():
+        want = (pct(v, by_day.get(day - dt.timedelta(days=1))), pct(v, by_day.get(day - dt.timedelta(days=7))))
+        assert got[day] == want, (day, got[day], want)
