@@ -144,3 +144,30 @@ def test_deltas_match_exact_date_lookup(spark, pts):
     for day, v in by_day.items():
         want = (pct(v, by_day.get(day - dt.timedelta(days=1))), pct(v, by_day.get(day - dt.timedelta(days=7))))
         assert got[day] == want, (day, got[day], want)
+
+
+grid_values = st.lists(st.lists(st.one_of(st.none(), st.integers(-5, 20).map(float)), min_size=3, max_size=3), min_size=1, max_size=12)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(grid_values, st.integers(1, 4))
+def test_share_and_average_match_python(spark, grid, n):
+    from grainline.operators.series import moving_average, share_of_total
+
+    start = dt.date(2026, 1, 1)
+    combos = ["a", "b", "c"]
+    rows = [(start + dt.timedelta(days=i), "m", c, row[j]) for i, row in enumerate(grid) for j, c in enumerate(combos)]
+    df = spark.createDataFrame(rows, "x date, metric string, combo string, value double")
+    share = {(r.x, r.combo): r.value for r in share_of_total(df).collect()}
+    avg = {(r.x, r.combo): r.value for r in moving_average(df, n).collect()}
+    for i, row in enumerate(grid):
+        day = start + dt.timedelta(days=i)
+        total = sum(v for v in row if v is not None)
+        for j, c in enumerate(combos):
+            v = row[j]
+            want_share = v / total * 100 if v is not None and total > 0 else 0.0
+            assert math.isclose(share[(day, c)], want_share, abs_tol=1e-9)
+            window = [grid[k][j] for k in range(max(0, i - n + 1), i + 1) if grid[k][j] is not None]
+            want_avg = sum(window) / len(window) if window else None
+            got = avg[(day, c)]
+            assert (got is None and want_avg is None) or math.isclose(got, want_avg, abs_tol=1e-9)
