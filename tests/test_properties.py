@@ -171,3 +171,22 @@ def test_share_and_average_match_python(spark, grid, n):
             want_avg = sum(window) / len(window) if window else None
             got = avg[(day, c)]
             assert (got is None and want_avg is None) or math.isclose(got, want_avg, abs_tol=1e-9)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.dates(dt.date(2024, 11, 1), dt.date(2026, 2, 1)), st.integers(0, 120), st.sampled_from(["day", "week", "month"]))
+def test_fill_gaps_spine_matches_python(spark, start, span, gran):
+    from grainline.functions.dates import bucket_start
+    from grainline.operators.series import fill_gaps
+
+    end = start + dt.timedelta(days=span)
+    df = spark.createDataFrame([(bucket_start(start, gran), "m", "a", 1.0)], "x date, metric string, combo string, value double")
+    got = [r.x for r in fill_gaps(df, start, end, gran).orderBy("x").collect()]
+    want, cur = [], bucket_start(start, gran)
+    while cur <= bucket_start(end, gran):
+        want.append(cur)
+        if gran == "month":
+            cur = (cur.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
+        else:
+            cur += dt.timedelta(days=7 if gran == "week" else 1)
+    assert got == want
