@@ -185,3 +185,17 @@ def test_week_month_buckets(sample):
     assert wk[0]["event_date"] == D(2026, 6, 8)  # Monday
     mo = rows(serve(spec, DataRequest(granularity="month", dimensions=[]), df))
     assert mo[0]["event_date"] == D(2026, 6, 1) and mo[0]["dau"] == 2500 + 200 + 1650 + 820 + 195
+
+
+def test_derived_dim_counts_as_its_own_dim(spark):
+    # T4: dau is independent of country but not of the derived country_tier,
+    # so it is de-duplicated within a tier and summed across tiers
+    df = spark.createDataFrame([(D(2026, 6, 1), "US", 100), (D(2026, 6, 1), "GB", 100), (D(2026, 6, 1), "PH", 100)],
+                               "event_date date, country string, dau bigint")
+    spec = ChartSpec("t4", "", "event_date", dims=(Dim("country"),),
+                     metrics=(Metric("dau", column="dau", independent_of=("country",)),))
+    assert [r.dau for r in serve(spec, DataRequest(dimensions=[]), df).collect()] == [200]
+    by_tier = {r.country_tier: r.dau for r in serve(spec, DataRequest(dimensions=["country_tier"]), df).collect()}
+    assert by_tier == {"Tier-1": 100, "Tier-2": 100}
+    both = spec.with_(metrics=(Metric("dau", column="dau", independent_of=("country", "country_tier")),))
+    assert [r.dau for r in serve(both, DataRequest(dimensions=[]), df).collect()] == [100]
