@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from grainline.llm import sharding, url_filter
+from grainline.llm import bpe, decontam, sharding, url_filter
 from grainline.llm.common import table
 
 
+def word_bpe_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -14,5 +20,14 @@ def op8_hilbert_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op8_hilbert_sharding)}
+def op7_fm_decontamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contamination_report(decontam.find_contamination(docs, items, ["doc_id"]))
+
+
+def op10_bpe(spark, sf_dir):
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), word_bpe_file(), ["doc_id"]))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op7_fm_decontamination, op8_hilbert_sharding, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
