@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainline.llm import bpe, decontam, sharding, url_filter
+from grainline.llm import bpe, decontam, sharding, topk, url_filter
 from grainline.llm.common import table
 
 
@@ -12,6 +12,10 @@ def word_bpe_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_exact_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20)
+
+
 def op2_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -29,5 +33,18 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), word_bpe_file(), ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op7_fm_decontamination, op8_hilbert_sharding, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op7_fm_decontamination, op8_hilbert_sharding, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+            FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 20
+    """,
+}
