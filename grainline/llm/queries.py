@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainline.llm import bpe, decontam, neardup, sharding, topk, url_filter
+from grainline.llm import bpe, decontam, neardup, sharding, topk, toxicity, url_filter
 from grainline.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op8_hilbert_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_super_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -37,7 +41,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), word_bpe_file(), ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op4_super_minhash, op7_fm_decontamination, op8_hilbert_sharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op7_fm_decontamination, op8_hilbert_sharding, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (
