@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from grainline.llm import bpe, decontam, neardup, sharding, topk, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from grainline.llm import bpe, decontam, line_dedup, neardup, sharding, topk, toxicity, url_filter
 from grainline.llm.common import table
 
 
@@ -32,6 +34,12 @@ def op4_super_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op5_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", kept.alias("kept_sha256"))
+
+
 def op7_fm_decontamination(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.contamination_report(decontam.find_contamination(docs, items, ["doc_id"]))
@@ -41,8 +49,39 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), word_bpe_file(), ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op7_fm_decontamination, op8_hilbert_sharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op7_fm_decontamination, op8_hilbert_sharding, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": r"""
+        WITH docs AS (
+            SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE
+                string_split(regexp_replace(text, '\n([ \t\r]*[^ \t\r\n])', chr(1) || '\1', 'g'), chr(1)) END AS parts
+            FROM documents
+        ), lines AS (
+            SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS seq FROM docs
+        ), ids AS (
+            SELECT doc_id, part, seq, trim(part, chr(32) || chr(9) || chr(13) || chr(10)) AS line,
+                   lead(line) OVER (PARTITION BY doc_id ORDER BY seq) AS line2
+            FROM lines
+        ), marks AS (
+            SELECT *,
+                   line <> '' AND len(regexp_extract_all(line, '[^ \t\r\n]+')) >= 20
+                   AND row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) > 1 AS one,
+                   line <> '' AND line2 IS NOT NULL
+                   AND row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, seq) > 1 AS two
+            FROM ids
+        ), cut AS (
+            SELECT *, one OR two OR coalesce(lag(two) OVER w, FALSE) AS gone FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY seq)
+        ), runs AS (
+            SELECT *, gone AND NOT coalesce(lag(gone) OVER w, FALSE) AS opens FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY seq)
+        ), per_doc AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_runs,
+                   coalesce(string_agg(part, chr(10) ORDER BY seq) FILTER (NOT gone), '') AS kept
+            FROM runs GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+               coalesce(n_runs, 0)::BIGINT AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+    """,
     "op1_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
