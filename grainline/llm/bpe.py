@@ -11,17 +11,33 @@ those of a public tokenizer file (JSON of the ``tokenizers`` library).
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
+from struct import pack
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
-CACHE_CHUNKS = 400_000
+SLICE_BYTES = 8 << 20
+CACHE_CHUNKS = 500_000
+#: Chunks of printable ASCII and Latin-1 letters are stable under NFC, and
+#: their pieces under the tokenizer's pattern are found without the library.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_characters() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves,
+    the others follow from code point 256 on."""
+    own = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
+    return [chr(b) if own[b] else chr(256 + sum(not o for o in own[:b])) for b in range(256)]
 MAX_FILE_BYTES = 64 << 20
 
 
@@ -34,88 +50,105 @@ class PairIndexBpe:
         library = Tokenizer.from_str(file_text)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.vocab = model["vocab"]
-        self.suffix = model["end_of_word_suffix"] or ""
+        suffix = model["end_of_word_suffix"] or ""
+        self.plain = PATTERN in file_text.replace("\\\\", "\\") and [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        characters = byte_characters()
+        self.byte_of = {c: b for b, c in enumerate(characters)}
+        self.inner = [self.vocab.get(c, -1) for c in characters]
+        self.last = [self.vocab.get(c + suffix, -1) for c in characters]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.word_of = {i: w for w, i in [*self.vocab.items(), *self.added.items()]}
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))).encode()) if self.added else None
         self.width = max(self.word_of) + 1
-        self.rank_of, self.product = {}, []
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank_of.setdefault(self.vocab[a] * self.width + self.vocab[b], rank)
-            self.product.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
-
-    def symbols(self, piece: str) -> list[int]:
-        """A piece's first symbols; characters outside the vocabulary have none."""
-        names = [*piece[:-1], piece[-1] + self.suffix]
-        return [self.vocab[x] for x in names if x in self.vocab]
-
-    def merge(self, pieces: list[list[int]]) -> list[list[int]]:
-        """Every piece's symbols after all merges."""
-        sym: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        for p in pieces:
-            at = len(sym)
-            starts.append(at)
-            sym += p
-            after += range(at + 1, at + len(p) + 1)
-            before += range(at - 1, at + len(p) - 1)
-            if p:
-                after[-1] = before[at] = -1
-        width, rank_of, product = self.width, self.rank_of.get, self.product
-        places: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (r := rank_of(sym[i] * width + sym[j])) is not None:
-                places.setdefault(r, []).append(i)
-        active = list(places)
-        heapq.heapify(active)
+        merges = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        self.left, self.right, self.product = (
+            np.array([self.vocab[x] for x in side], np.int64) for side in zip(*((a, b, a + b) for a, b in merges)))
+        made = np.full(self.width, -1)
+        made[self.product] = np.arange(len(merges))
+        if len(np.unique(self.product)) < len(merges) or (np.maximum(made[self.left], made[self.right]) >= np.arange(len(merges))).any():
+            raise ValueError("a merge stands before the merges that make its parts")
+        code = self.left * self.width + self.right
+        self.code_rank = np.argsort(code)
+        self.codes = code[self.code_rank]
+
+    def symbols(self, piece: bytes) -> list[int]:
+        """A piece's first symbols; bytes outside the vocabulary have none."""
+        out = [self.inner[b] for b in piece]
+        out[-1] = self.last[piece[-1]]
+        return out if min(out) >= 0 else [x for x in out if x >= 0]
+
+    def pieces(self, chunk: str) -> list[bytes]:
+        """A chunk's pieces as bytes."""
+        if self.plain and PLAIN.fullmatch(chunk):
+            low = chunk.lower()
+            return [low.encode()] if low.isalpha() else [p.encode() for p in PLAIN_PIECE.findall(low)]
+        cut = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))
+        return [bytes(self.byte_of[c] for c in p) for p, _ in cut if p]
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of symbols, -1 for none."""
+        code = a * self.width + b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.code_rank[at], -1)
+
+    def merge(self, pieces: list[list[int]]) -> list[np.ndarray]:
+        """Every piece's symbols after all merges.
+
+        A merge makes pairs of later ranks only (checked when the file is
+        read), so all positions of the least active rank are merged at once.
+        """
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        sym = np.fromiter((x for p in pieces for x in p), np.int64, int(sizes.sum()))
+        after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        some = sizes > 0
+        after[(begin + sizes - 1)[some]] = -1
+        before[begin[some]] = -1
+        places: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def index(at: np.ndarray) -> None:
+            """Add the pairs that begin at the positions to their lists."""
+            rank = self.ranks(sym[at], sym[after[at]])
+            at, rank = at[rank >= 0], rank[rank >= 0]
+            if not len(at):
+                return
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, part in zip(rank[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts)):
+                if r in places:
+                    places[r].append(part)
+                else:
+                    places[r] = [part]
+                    heapq.heappush(active, r)
+
+        index(np.flatnonzero(after >= 0))
         while active:
             rank = heapq.heappop(active)
-            left, right, new = product[rank]
-            todo = sorted(places.pop(rank, ()))
-            for n, i in enumerate(todo):
-                j = after[i]
-                if sym[i] != left or j < 0 or sym[j] != right:
-                    continue  # a merge before this one took a symbol of the pair
-                sym[i], sym[j] = new, -1
-                k, p = after[j], before[i]
-                after[i] = k
-                least = rank
-                if k >= 0:
-                    before[k] = i
-                    if (r := rank_of(new * width + sym[k])) is not None:
-                        if r not in places:
-                            places[r] = []
-                            heapq.heappush(active, r)
-                        places[r].append(i)
-                        least = min(least, r)
-                if p >= 0 and (r := rank_of(sym[p] * width + new)) is not None:
-                    if r not in places:
-                        places[r] = []
-                        heapq.heappush(active, r)
-                    places[r].append(p)
-                    least = min(least, r)
-                if least < rank:  # a new pair goes first
-                    places[rank] = todo[n + 1:]
-                    heapq.heappush(active, rank)
-                    break
-        out = []
-        for p, at in zip(pieces, starts):
-            ids = []
-            i = at if p else -1
-            while i >= 0:
-                ids.append(sym[i])
-                i = after[i]
-            out.append(ids)
-        return out
-
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of strings that hold no special token."""
-        cut = [[self.symbols(p) for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(c)) if p] for c in chunks]
-        merged = iter(self.merge([p for c in cut for p in c]))
-        return [[i for _ in c for i in next(merged)] for c in cut]
+            left, right, new = self.left[rank], self.right[rank], self.product[rank]
+            i = np.unique(np.concatenate(places.pop(rank)))
+            i = i[(sym[i] == left) & (after[i] >= 0)]
+            i = i[sym[after[i]] == right]  # others lost a symbol to an earlier merge
+            if left == right and len(i):
+                # of overlapping pairs in a run, every other one from the left
+                first = np.concatenate([[True], i[1:] != after[i[:-1]]])
+                head = np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+                i = i[(np.arange(len(i)) - head) % 2 == 0]
+            if not len(i):
+                continue
+            j = after[i]
+            k = after[j]
+            sym[i], sym[j], after[i] = new, -1, k
+            before[k[k >= 0]] = i[k >= 0]
+            p = before[i]
+            index(np.unique(np.concatenate([i[k >= 0], p[p >= 0]])))
+        alive = sym >= 0
+        ends = np.concatenate([[0], np.cumsum(alive)])
+        return np.split(sym[alive], ends[begin[1:]]) if len(pieces) else []
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        return [ids.tolist() for ids in self.merge([self.symbols(p) for p in pieces])]
 
 
 def split_chunks(special: re.Pattern | None, text: bytes) -> list[bytes]:
@@ -132,25 +165,33 @@ def split_chunks(special: re.Pattern | None, text: bytes) -> list[bytes]:
 
 def _encoder(shipped, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
+        gc.disable()  # millions of small objects, none of them in a cycle
         bpe = PairIndexBpe(shipped.value)
-        coded: dict[bytes, tuple[bytes, str]] = {}
+        of_chunk: tuple[dict, dict] = {}, {}
+        of_piece: tuple[dict, dict] = {}, {}
+        fixed = {w.encode(): (pack("<I", i), w) for w, i in bpe.added.items()}
+
+        def learn(new: list[bytes]) -> None:
+            cut = [bpe.pieces(c.decode()) for c in new]
+            pieces = list(set(chain.from_iterable(cut)).difference(of_piece[0]))
+            for p, ids in zip(pieces, bpe.encode_pieces(pieces)):
+                of_piece[0][p] = pack("<%dI" % len(ids), *ids)
+                of_piece[1][p] = " ".join([bpe.word_of[i] for i in ids])
+            for c, ps in zip(new, cut):
+                of_chunk[0][c] = of_piece[0][ps[0]] if len(ps) == 1 else b"".join([of_piece[0][p] for p in ps])
+                of_chunk[1][c] = of_piece[1][ps[0]] if len(ps) == 1 else " ".join(filter(None, [of_piece[1][p] for p in ps]))
 
         def flush(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
             cut = [split_chunks(bpe.special, t or b"") for t in texts]
-            if len(coded) > CACHE_CHUNKS:
-                coded.clear()
-            if not coded:
-                coded.update({w.encode(): (np.array([i], "<u4").tobytes(), w) for w, i in bpe.added.items()})
-            new = list({c for d in cut for c in d if c not in coded})
-            for c, ids in zip(new, bpe.encode_chunks([c.decode() for c in new])):
-                coded[c] = (np.array(ids, "<u4").tobytes(), " ".join([bpe.word_of[i] for i in ids]))
-            packed, shown = [], []
-            for d in cut:
-                both = [coded[c] for c in d]
-                packed.append(b"".join([x for x, _ in both]))
-                shown.append(" ".join([y for _, y in both if y]))
+            if len(of_chunk[0]) > CACHE_CHUNKS:
+                for known in (*of_chunk, *of_piece):
+                    known.clear()
+            if not of_chunk[0]:
+                for w, (ids, word) in fixed.items():
+                    of_chunk[0][w], of_chunk[1][w] = ids, word
+            learn(list(set(chain.from_iterable(cut)).difference(of_chunk[0])))
+            packed = [b"".join(map(of_chunk[0].__getitem__, d)) for d in cut]
+            shown = [" ".join(filter(None, map(of_chunk[1].__getitem__, d))) for d in cut]
             columns = [*rows.columns, pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(shown, pa.string())]
             return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
