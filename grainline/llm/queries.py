@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainline.llm import bpe, decontam, line_dedup, neardup, sharding, topk, toxicity, url_filter
+from grainline.llm import bpe, decontam, hmm, line_dedup, neardup, sharding, topk, toxicity, url_filter
 from grainline.llm.common import table
 
 
@@ -45,11 +45,16 @@ def op7_fm_decontamination(spark, sf_dir):
     return decontam.contamination_report(decontam.find_contamination(docs, items, ["doc_id"]))
 
 
+def op9_hmm_scoring(spark, sf_dir):
+    held_out = toxicity.remainder(F.col("doc_id")) == 1
+    return hmm.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), word_bpe_file(), ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op7_fm_decontamination, op8_hilbert_sharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": r"""
         WITH docs AS (
