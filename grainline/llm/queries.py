@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainline.llm import bpe, decontam, hmm, line_dedup, neardup, sharding, topk, toxicity, url_filter
+from grainline.llm import bpe, decontam, hmm, line_dedup, neardup, sharding, suffix_dedup, topk, toxicity, url_filter
 from grainline.llm.common import table
 
 
@@ -40,6 +40,12 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", kept.alias("kept_sha256"))
 
 
+def op6_bwt_dedup(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_fm_decontamination(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.contamination_report(decontam.find_contamination(docs, items, ["doc_id"]))
@@ -54,7 +60,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), word_bpe_file(), ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op6_bwt_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": r"""
         WITH docs AS (
