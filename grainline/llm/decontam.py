@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainline.llm.common import ceil_div
@@ -303,10 +303,18 @@ def find_contamination(
     return rows.drop("__text")
 
 
+def n_hit() -> Column:
+    """Words inside occurrences, from ``hits``."""
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + (h["end"] - h["start"]))
+
+
+def contaminated() -> Column:
+    """At least one word in twenty stands in an occurrence."""
+    return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
+
+
 def contamination_report(found: DataFrame) -> DataFrame:
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + (h["end"] - h["start"]))
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
