@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,40 +46,11 @@ def refresh_cutoff(today: _dt.date, window_days: int = 5) -> _dt.date:
 
 
 def expand_windows(from_date: _dt.date, to_date: _dt.date, size: int) -> list[tuple[_dt.date, _dt.date]]:
-    """Contiguous inclusive ``size``-day windows, last one short (REF-1, driver form).
-
-    The number of windows is (range length / size): a plan-sized list that
-    drives one Spark write per chunk, never data.
-    """
+    """REF-1: inclusive windows of ``size`` days that tile the range; the last
+    may be short. A list as long as the plan, never data."""
     if size < 1:
         raise ValueError("window size must be >= 1")
-    out = []
-    cur = from_date
-    while cur <= to_date:
-        end = min(cur + _dt.timedelta(days=size - 1), to_date)
-        out.append((cur, end))
-        cur = end + _dt.timedelta(days=1)
-    return out
-
-
-def date_windows(spark: SparkSession, bounds: DataFrame, size: int) -> DataFrame:
-    """REF-1 as a DataFrame: ``bounds`` holds ``from_date``/``to_date`` per row;
-    each row expands into its windows (``window_start``, ``window_end``)."""
-    if size < 1:
-        raise ValueError("window size must be >= 1")
-    starts = F.sequence(F.col("from_date"), F.col("to_date"), F.expr(f"INTERVAL {size} DAYS"))
-    return (
-        bounds.where(F.col("from_date") <= F.col("to_date"))
-        .select("*", F.explode(starts).alias("window_start"))
-        .withColumn(
-            "window_end",
-            F.least(F.date_add("window_start", size - 1), F.col("to_date")),
-        )
-    )
-
-
-def day_spine(spark: SparkSession, from_date, to_date) -> DataFrame:
-    """One row per day in [from, to] (generated, length = range in days)."""
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(from_date).cast("date"), F.lit(to_date).cast("date"))).alias("_day")
-    )
+    step = _dt.timedelta(days=size)
+    count = -(-((to_date - from_date).days + 1) // size)
+    starts = [from_date + i * step for i in range(count)]
+    return [(a, min(a + step - _dt.timedelta(days=1), to_date)) for a in starts]

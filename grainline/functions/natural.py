@@ -3,7 +3,7 @@
 A label is split into digit and non-digit chunks; digit chunks compare as
 numbers, text chunks case-insensitively, and at the same position a digit
 chunk sorts before a text chunk. So ``D2-D7 < D8-D14 < D15-D30`` and
-``2 < 10``. The key is an ``array<struct<kind, num, txt>>``; Spark orders
+``2 < 10``. The key is an ``array<struct<kind, len, txt>>``; Spark orders
 arrays element-wise with a shorter prefix first, which is exactly the
 chunk-list comparison, so no UDF is needed.
 """
@@ -20,10 +20,12 @@ def natural_key(col: Column | str) -> Column:
 
     def chunk(p: Column) -> Column:
         is_num = p.rlike(r"^\d+$")
+        digits = F.regexp_replace(p, "^0+", "")
         return F.struct(
             F.when(is_num, F.lit(0)).otherwise(F.lit(1)).alias("kind"),
-            F.when(is_num, p.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("num"),
-            F.when(is_num, F.lit("")).otherwise(F.lower(p)).alias("txt"),
+            # digits compare by their number of digits, then digit by digit: any length
+            F.when(is_num, F.length(digits)).otherwise(F.lit(0)).alias("len"),
+            F.when(is_num, digits).otherwise(F.lower(p)).alias("txt"),
         )
 
     return F.transform(chunks, chunk)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.derived import effective_dims
 from ..operators.serve import DAY, prepare_base
@@ -14,14 +15,15 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str], r
     """DQ-1 / JOIN-5: rows that differ between two results.
 
     Full outer join on NULL-safe keys; a row is reported when it is on one side
-    only, or a metric differs by more than ``rel_tol`` relative (NULL = NULL).
+    only, or a metric differs (NULL = NULL): whole numbers at all, others by
+    more than ``rel_tol`` relative.
     An empty result means equal row sets and values. ``keys`` must name the
     columns that identify a row (a keyless join would pair every row).
     """
     if not keys:
         raise ValueError("reconcile needs the key columns that identify a row")
-    la = a.select(*keys, *[F.col(m).cast("double").alias(f"a_{m}") for m in metrics]).withColumn("_in_a", F.lit(True))
-    rb = b.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[F.col(m).cast("double").alias(f"b_{m}") for m in metrics]).withColumn("_in_b", F.lit(True))
+    la = a.select(*keys, *[F.col(m).alias(f"a_{m}") for m in metrics]).withColumn("_in_a", F.lit(True))
+    rb = b.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[F.col(m).alias(f"b_{m}") for m in metrics]).withColumn("_in_b", F.lit(True))
     cond = None
     for k in keys:
         c = la[k].eqNullSafe(rb[f"_b_{k}"])
@@ -30,16 +32,17 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str], r
     bad = ~(F.coalesce(F.col("_in_a"), F.lit(False)) & F.coalesce(F.col("_in_b"), F.lit(False)))
     for m in metrics:
         x, y = F.col(f"a_{m}"), F.col(f"b_{m}")
-        differ = F.when(x.isNull() & y.isNull(), F.lit(False)).when(x.isNull() | y.isNull(), F.lit(True)).otherwise(
-            F.abs(x - y) > F.lit(rel_tol) * F.greatest(F.abs(x), F.abs(y), F.lit(1e-12))
-        )
+        exact = all(isinstance(f.schema[m].dataType, T.IntegralType) for f in (a, b))
+        xd, yd = x.cast("double"), y.cast("double")
+        apart = x != y if exact else F.abs(xd - yd) > F.lit(rel_tol) * F.greatest(F.abs(xd), F.abs(yd), F.lit(1e-12))
+        differ = F.when(x.isNull() & y.isNull(), F.lit(False)).when(x.isNull() | y.isNull(), F.lit(True)).otherwise(apart)
         bad = bad | differ
     out = j.where(bad)
     return out.select(
         *[F.coalesce(F.col(k), F.col(f"_b_{k}")).alias(k) for k in keys],
         F.coalesce(F.col("_in_a"), F.lit(False)).alias("in_a"),
         F.coalesce(F.col("_in_b"), F.lit(False)).alias("in_b"),
-        *[c for m in metrics for c in (F.col(f"a_{m}"), F.col(f"b_{m}"))],
+        *[F.col(c).cast("double").alias(c) for m in metrics for c in (f"a_{m}", f"b_{m}")],
     )
 
 
@@ -49,25 +52,28 @@ def audit_independence(spec: ChartSpec, cache: DataFrame) -> DataFrame:
     non-NULL mix. Such a declaration is false and MAX would hide it."""
     base = prepare_base(spec, cache)
     dims = effective_dims(spec, cache.columns)
-    parts = []
+    by_grain: dict[tuple, list] = {}
     for m in spec.metrics:
-        if m.is_formula or not m.independent_of:
-            continue
-        grain = [d.col for d in dims if d.name not in set(m.independent_of)]
+        if not m.is_formula and m.independent_of:
+            grain = tuple(d.col for d in dims if d.name not in set(m.independent_of))
+            by_grain.setdefault(grain, []).append(m)
+    parts = []
+    for grain, metrics in by_grain.items():  # one scan for all metrics of a grain
         g = base.groupBy(DAY, *grain).agg(
             F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.col(m.column).isNull()).alias("nulls"),
-            F.min(F.col(m.column).cast("double")).alias("min_value"),
-            F.max(F.col(m.column).cast("double")).alias("max_value"),
+            *[f(F.col(m.column)).alias(f"{n}_{i}") for i, m in enumerate(metrics)
+              for n, f in (("lo", F.min), ("hi", F.max), ("none", lambda c: F.count_if(c.isNull())))],
         )
-        bad = (F.col("min_value") != F.col("max_value")) | ((F.col("nulls") > 0) & (F.col("nulls") < F.col("rows")))
         key = F.to_json(F.struct(*[F.col(c) for c in grain])) if grain else F.lit("{}")
-        parts.append(
-            g.where(bad).select(
-                F.lit(m.name).alias("metric"), F.col(DAY).alias("day"), key.alias("grain"),
-                "rows", "nulls", "min_value", "max_value",
-            )
-        )
+        found = F.array(*[
+            F.struct(
+                F.lit(m.name).alias("metric"), F.col(f"none_{i}").alias("nulls"),
+                F.col(f"lo_{i}").cast("double").alias("min_value"), F.col(f"hi_{i}").cast("double").alias("max_value"),
+                ((F.col(f"lo_{i}") != F.col(f"hi_{i}")) | ((F.col(f"none_{i}") > 0) & (F.col(f"none_{i}") < F.col("rows")))).alias("bad"),
+            ) for i, m in enumerate(metrics)
+        ])
+        each = g.select(F.col(DAY).alias("day"), key.alias("grain"), "rows", F.explode(found).alias("f")).where("f.bad")
+        parts.append(each.select("f.metric", "day", "grain", "rows", "f.nulls", "f.min_value", "f.max_value"))
     if not parts:
         return cache.sparkSession.createDataFrame(
             [], "metric string, day date, grain string, rows bigint, nulls bigint, min_value double, max_value double"

@@ -8,27 +8,22 @@ from pyspark.sql import functions as F
 
 from ..spec import ChartSpec, DataRequest
 from .serve import resolve, serve_plan
-from .series import COMBO_GUARD
-from .values import dim_values
 
 
-def cohort_view(spec: ChartSpec, req: DataRequest, cache: DataFrame, metric: str, max_columns: int = COMBO_GUARD) -> DataFrame:
-    """Serve ``req`` (x-axis = a dimension, exactly one split dimension), then
-    ``groupBy(x).pivot(split, values)``.
-
-    The pivot values are the split dimension's values in its own order; they
-    are counted first and refused above ``max_columns`` (the split guard), so
-    the list brought to the driver for the pivot is bounded.
-    """
+def cohort_rows(spec: ChartSpec, req: DataRequest, cache: DataFrame, metric: str) -> tuple[DataFrame, str, str]:
+    """The cohort view in long form, for any number of split values: the served
+    rows (x-axis = a dimension, exactly one split dimension) with the split as
+    text, and the names of the two columns."""
     plan = resolve(spec, req, cache.columns)
     if plan.x_axis is None or len(plan.requested_dims) != 2:
         raise ValueError("cohort_view needs an x-axis dimension and exactly one split dimension")
-    x_col, split = plan.col(plan.requested_dims[0]), plan.requested_dims[1]
-    split_col = plan.col(split)
-    values_df = dim_values(spec, cache, req.from_date, req.to_date, dims=[split])
-    n = values_df.count()
-    if n > max_columns:
-        raise ValueError(f"split '{split}' has {n} values, more than {max_columns} columns")
-    values = [r.value for r in values_df.orderBy("position").collect()]
+    x_col, split_col = plan.col(plan.requested_dims[0]), plan.col(plan.requested_dims[1])
     rows = serve_plan(plan, cache, ordered=False).withColumn(split_col, F.col(split_col).cast("string"))
-    return rows.groupBy(x_col).pivot(split_col, values).agg(F.first(metric)).orderBy(F.col(x_col).asc_nulls_last())
+    return rows.select(x_col, split_col, metric), x_col, split_col
+
+
+def cohort_view(spec: ChartSpec, req: DataRequest, cache: DataFrame, metric: str, split_values: list[str]) -> DataFrame:
+    """The wide form: one column for each of the wanted ``split_values``."""
+    rows, x_col, split_col = cohort_rows(spec, req, cache, metric)
+    wide = rows.groupBy(x_col).pivot(split_col, split_values).agg(F.first(metric))
+    return wide.orderBy(F.col(x_col).asc_nulls_last())

@@ -40,10 +40,10 @@ def record_run(spark: SparkSession, root: str, row: tuple) -> None:
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """Every ledger row (empty with the ledger schema when none was written)."""
-    try:
-        return spark.read.schema(RUNS_SCHEMA).option("recursiveFileLookup", "true").parquet(runs_path(root))
-    except Exception:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(runs_path(root))
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], RUNS_SCHEMA)
+    return spark.read.schema(RUNS_SCHEMA).option("recursiveFileLookup", "true").parquet(runs_path(root))
 
 
 def current_runs(ledger: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def mark_stale_runs(runs: DataFrame, now: _dt.datetime, max_age_minutes: int = 1
     stale = (F.col("status") == "running") & F.col("started_at").isNotNull() & (
         F.col("started_at") < F.lit(now - _dt.timedelta(minutes=max_age_minutes))
     )
-    msg = "stale: run did not complete (process likely terminated)"
+    msg = f"no end recorded within {max_age_minutes} minutes"
     return runs.withColumns(
         {
             "status": F.when(stale, F.lit("failed")).otherwise(F.col("status")),

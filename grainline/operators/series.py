@@ -25,15 +25,12 @@ from ..functions.ordinal import ordinal
 SERIES = ["metric", "combo"]
 X = "x"
 
-# The per-granularity period-over-period offsets (months, days),
-# the number of series kept on a chart and the limit on split combinations.
+# The per-granularity period-over-period offsets (months, days).
 DELTAS = {
     "day": {"short": (0, 1), "long": (0, 7)},
     "week": {"short": (0, 7), "long": (0, 28)},
     "month": {"short": (1, 0), "long": (12, 0)},
 }
-SERIES_CAP = 20
-COMBO_GUARD = 2000
 
 
 def to_series(rows: DataFrame, x_col: str, split_cols: list[str], metrics: list[str]) -> DataFrame:
@@ -95,25 +92,25 @@ def series_totals(series: DataFrame) -> DataFrame:
     return series.groupBy(*SERIES).agg(F.sum(F.coalesce(F.col("value"), F.lit(0.0))).alias("total"))
 
 
-def top_series(series: DataFrame, cap: int = SERIES_CAP, by_metric: str | None = None) -> DataFrame:
+def top_series(series: DataFrame, cap: int, by_metric: str | None = None) -> DataFrame:
     """WIN-3 / SRT-5: keep the ``cap`` biggest series.
 
     ``by_metric`` set (chart page): combos are ranked by that metric's total and
     every metric of a kept combo stays. Unset (dashboard widgets): each
     (metric, combo) series is ranked by its own total. Ties break by natural
     combo order. The top-k is a distributed ``orderBy().limit()``; the kept
-    keys (at most ``cap`` rows) are joined back with a broadcast.
+    keys are joined back.
     """
     totals = series_totals(series)
     if by_metric is not None:
         ranked = totals.where(F.col("metric") == by_metric).select("combo", "total")
         keep = ranked.orderBy(F.col("total").desc(), natural_key(F.col("combo")), F.col("combo")).limit(cap).select("combo")
-        return series.join(F.broadcast(keep), "combo", "left_semi")
+        return series.join(keep, "combo", "left_semi")
     keep = totals.orderBy(F.col("total").desc(), F.col("metric"), natural_key(F.col("combo")), F.col("combo")).limit(cap).select(*SERIES)
-    return series.join(F.broadcast(keep), SERIES, "left_semi")
+    return series.join(keep, SERIES, "left_semi")
 
 
-def cap_series(series: DataFrame, cap: int = SERIES_CAP, by_metric: str | None = None) -> tuple[DataFrame, DataFrame]:
+def cap_series(series: DataFrame, cap: int, by_metric: str | None = None) -> tuple[DataFrame, DataFrame]:
     """SER-3: top series plus a one-row report (present, kept, dropped)."""
     kept = top_series(series, cap, by_metric)
     unit = F.col("combo") if by_metric is not None else F.concat_ws("\u0000", *SERIES)
@@ -133,7 +130,7 @@ def order_series(series: DataFrame, value_order: str = "natural", metric_order:
     if metric_order:
         order.append(F.array_position(F.array(*[F.lit(m) for m in metric_order]), F.col("metric")))
     if value_order == "metric":
-        order.append(F.col("total").desc())
+        order.append(-F.col("total"))
     order += [natural_key(F.col("combo")), F.col("combo"), F.col("metric")]
     ranked = ordinal(totals, order, name="series_rank").select(*SERIES, "series_rank")
     return series.join(ranked, SERIES, "left")
@@ -199,8 +196,8 @@ def total_deltas(series: DataFrame, granularity: str = "day", units=None) -> Dat
     return deltas(point_total(series, units), granularity, keys=[])
 
 
-def guard_combos(cache: DataFrame, split_cols: list[str], selected: dict[str, int] | None = None,
-                 limit: int = COMBO_GUARD, exact: bool = True) -> DataFrame:
+def guard_combos(cache: DataFrame, split_cols: list[str], limit: int, selected: dict[str, int] | None = None,
+                 exact: bool = True) -> DataFrame:
     """SER-8: one row (combos, allowed): the product over split dims of each dim's
     value count (its selected count when 0 < selected < all) against ``limit``."""
     selected = selected or {}
@@ -229,19 +226,18 @@ def axis_is_date(cache: DataFrame, col: str) -> DataFrame:
     )
 
 
-def to_wide(series: DataFrame, combos: list[str] | None = None, multi_metric: bool = True,
+def to_wide(series: DataFrame, labels: list[str], multi_metric: bool = True,
             x_name: str = "date") -> DataFrame:
     """The sink form: the x column plus one column per series, labelled as the
     chart labels them - the combo alone when one metric is plotted,
     ``metric · combo`` when several are, the metric name without a split.
 
-    Call after :func:`cap_series`; ``combos`` (the kept labels) avoids the
-    extra job that discovers pivot values.
+    ``labels`` names the columns: the labels of the series to write.
     """
     label = F.when(F.col("combo") == "", F.col("metric"))
     label = label.otherwise(F.concat_ws(" · ", "metric", "combo") if multi_metric else F.col("combo"))
     s = series.withColumn("_label", label)
-    return s.groupBy(F.col(X).alias(x_name)).pivot("_label", combos).agg(F.first("value")).orderBy(x_name)
+    return s.groupBy(F.col(X).alias(x_name)).pivot("_label", labels).agg(F.first("value")).orderBy(x_name)
 
 
 def view_transforms(series: DataFrame, hidden_combos: list[str] | None = None, percent: bool = False,

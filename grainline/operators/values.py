@@ -32,6 +32,12 @@ def order_metric(spec: ChartSpec):
     return next((m for m in spec.metrics if m.column), None)
 
 
+def _as_number(base: DataFrame, column: str):
+    """A metric column as DOUBLE; text that is no number is NULL."""
+    c = F.col(column)
+    return c.cast("double") if isinstance(base.schema[column].dataType, T.NumericType) else c.cast("string").try_cast("double")
+
+
 def dim_totals(spec: ChartSpec, cache: DataFrame, dim: str, from_date=None, to_date=None) -> DataFrame:
     """AGG-7: plain SUM of the order metric per value of ``dim`` (text -> NULL).
 
@@ -40,9 +46,7 @@ def dim_totals(spec: ChartSpec, cache: DataFrame, dim: str, from_date=None, to_d
     d = {x.name: x for x in effective_dims(spec, cache.columns)}[dim]
     m = order_metric(spec)
     base = _date_filtered(spec, cache, from_date, to_date)
-    return base.groupBy(F.col(d.col).alias("value")).agg(
-        F.sum(F.col(m.column).cast("string").try_cast("double")).alias("total")
-    )
+    return base.groupBy(F.col(d.col).alias("value")).agg(F.sum(_as_number(base, m.column)).alias("total"))
 
 
 def _value_totals(spec: ChartSpec, cache: DataFrame, eff, from_date=None, to_date=None) -> DataFrame:
@@ -51,7 +55,7 @@ def _value_totals(spec: ChartSpec, cache: DataFrame, eff, from_date=None, to_dat
     its value in its own type (one of vn / vd / vs is set per dimension)."""
     base = _date_filtered(spec, cache, from_date, to_date)
     m = order_metric(spec)
-    metric = F.col(m.column).cast("string").try_cast("double") if m is not None else F.lit(None).cast("double")
+    metric = _as_number(base, m.column) if m is not None else F.lit(None).cast("double")
     pairs = []
     for d in eff:
         v, dtype = F.col(d.col), base.schema[d.col].dataType

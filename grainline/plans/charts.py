@@ -8,11 +8,10 @@ Date tokens bound per window keep the scan pushed down to parquet.
 from __future__ import annotations
 
 import datetime as _dt
-import hashlib
 import threading
 
-from ..session import register_tables, shared_root
-from ..sources.cache import scan_cache
+from ..session import register_tables, shared_root, source_version
+from ..sources.cache import cache_exists, scan_cache
 from ..spec import COUNTRY_TIER, ChartSpec, DerivedDim, Dim, Metric
 from .refresh import refresh
 
@@ -189,6 +188,7 @@ FROM j GROUP BY event_date, install_date, days_since_install
         Metric("retention", formula="retained_users / installs", decimals=3),
     ),
     x_axis="install_date",
+    day_separable=True,  # first_day does not depend on the window
     unique_grain=True,  # GROUP BY every dimension
 )
 
@@ -204,7 +204,6 @@ EXTENT_SQL = {
     "cohort": "SELECT MIN(CAST(ts AS DATE)) AS lo, MAX(CAST(ts AS DATE)) AS hi FROM events",
 }
 
-_MATERIALIZED: dict[tuple, object] = {}
 _REFRESH_LOCK = threading.Lock()  # one writer per cache within a process
 
 
@@ -218,9 +217,10 @@ def set_cache_root(path: str | None) -> None:
 
 
 def cache_root(spark, sf_dir: str) -> str:
-    tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    base = _ROOT_OVERRIDE[0] if _ROOT_OVERRIDE else f"{shared_root(spark).rstrip('/')}/grainline/v2"
-    return f"{base}/{tag}"
+    """The caches' folder: one for each application and version of the source
+    files, so that a cache never answers for other files than it was made from."""
+    base = _ROOT_OVERRIDE[0] if _ROOT_OVERRIDE else f"{shared_root(spark).rstrip('/')}/grainline"
+    return f"{base}/{spark.sparkContext.applicationId}/{source_version(spark, sf_dir)}"
 
 
 def source_extent(spark, spec: ChartSpec):
@@ -230,15 +230,14 @@ def source_extent(spark, spec: ChartSpec):
 
 def materialize(spark, sf_dir: str, spec: ChartSpec):
     """Refresh ``spec`` over its source's whole day extent into the shared
-    folder (once per session) and return the cache scan."""
+    folder, unless this application did so for the same source files, and
+    return the cache scan."""
     root = cache_root(spark, sf_dir)
-    key = (id(spark), root, spec.name)
     with _REFRESH_LOCK:
-        if key not in _MATERIALIZED:
+        if not cache_exists(spark, root, spec):
             register_tables(spark, sf_dir)  # source tables are read only by the refresh
             lo, hi = source_extent(spark, spec)
             result = refresh(spark, root, spec, lo, hi, today=hi + _dt.timedelta(days=1), record=False)
             if result.status != "success":
                 raise RuntimeError(f"refresh of '{spec.name}' failed: {result.error_message}")
-            _MATERIALIZED[key] = result
     return scan_cache(spark, root, spec)

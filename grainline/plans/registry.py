@@ -8,13 +8,15 @@ Every query reads the driver's tables: chart caches are refreshed from them
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import oracle as O
-from ..functions.dates import date_windows, refresh_cutoff, time_bucket
+from ..functions.dates import expand_windows, refresh_cutoff, time_bucket
+from ..functions.ordinal import ordinal
 from ..operators import audit as AU
 from ..operators import ledger as L
 from ..operators import serve as S
@@ -24,7 +26,7 @@ from ..operators.cohort import cohort_view
 from ..session import register_tables
 from ..sources import cache as C
 from ..sources.query import source_query
-from ..spec import ChartSpec, DataRequest, DerivedDim, Dim
+from ..spec import ChartSpec, DataRequest, DerivedDim, Dim, Metric
 from . import charts as CH
 from . import dashboard as DB
 from . import refresh as RF
@@ -64,11 +66,10 @@ serve_query(
     "agg_4_tiers",
     OBM,
     DataRequest(
-        from_date=D(1996, 1, 1), to_date=D(1996, 12, 31), granularity="week",
-        dimensions=["country_tier", "priority_tier"], metrics=["orders", "buyers", "amount_per_buyer"],
+        granularity="week", dimensions=["country_tier", "priority_tier"], metrics=["orders", "buyers", "amount_per_buyer"],
     ),
 )
-serve_query("agg_5", OBM, DataRequest(from_date=D(1997, 1, 1), to_date=D(1997, 12, 31), x_axis="segment",
+serve_query("agg_5", OBM, DataRequest(x_axis="segment",
                                       dimensions=[], metrics=["orders", "buyers", "amount_per_buyer"]))
 serve_query("agg_5_empty_key", OBM, DataRequest(x_axis="priority", dimensions=[], metrics=["buyers", "orders"]))
 serve_query("agg_6", COH, DataRequest(x_axis="install_date", dimensions=["days_since_install"],
@@ -83,7 +84,17 @@ serve_query("flt_4", COH, DataRequest(dimensions=["days_since_install"], metrics
 serve_query("prj_1", SALES, DataRequest(granularity="month", dimensions=[], metrics=["revenue", "quantity", "price_per_unit"]))
 serve_query("prj_2", SALES, DataRequest(x_axis="returnflag", dimensions=["linestatus"], metrics=["lines", "revenue"]))
 serve_query("prj_3", A, DataRequest(granularity="month", dimensions=[], metrics=["dau", "value"]))
-serve_query("srt_1", SALES, DataRequest(from_date=D(1996, 3, 1), to_date=D(1996, 3, 31), metrics=["lines"]))
+SRT_REQ = DataRequest(metrics=["lines"])
+
+
+@register("srt_1", f"""SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY ship_date, l_returnflag, l_linestatus) AS INTEGER) AS position
+FROM ({O.serve_sql(SALES, SRT_REQ)}) r""")
+def _srt_1(spark, sf):
+    # the place that a row has in the served order
+    served = S.serve(SALES, SRT_REQ, CH.materialize(spark, sf, SALES)).withColumn("_at", F.monotonically_increasing_id())
+    return ordinal(served, [F.col("_at")]).drop("_at")
+
+
 serve_query("drv_1", OBM, DataRequest(granularity="month", dimensions=["priority_tier"], metrics=["orders", "amount"]))
 serve_query("frm_2", OBM, DataRequest(granularity="month", dimensions=["region"], metrics=["amount_per_buyer"]))
 serve_query("src_2", CH.ACTIVITY_TYPES, DataRequest(granularity="week", dimensions=["event_type"]))
@@ -170,19 +181,20 @@ register("ser_7", f"""{_SER_SQL}, t AS (SELECT x, SUM(value) AS value FROM s WHE
     lambda spark, sf: SR.total_deltas(_series(spark, sf).where(F.col("metric") == "events"), "day"))
 
 # weekly and monthly spines across a year end, on the sales chart
-SALES_M_REQ = DataRequest(from_date=D(1996, 11, 1), to_date=D(1997, 2, 28), granularity="week", dimensions=["returnflag"], metrics=["lines"])
+SALES_SPAN = (D(1992, 1, 1), D(1999, 12, 31))
+SALES_M_REQ = DataRequest(granularity="week", dimensions=["returnflag"], metrics=["lines"])
 
 
 def _sales_weekly(spark, sf):
     rows = S.serve(SALES, SALES_M_REQ, CH.materialize(spark, sf, SALES))
     s = SR.to_series(rows, "ship_date", ["l_returnflag"], ["lines"])
-    return SR.deltas(SR.fill_gaps(s, D(1996, 11, 1), D(1997, 2, 28), "week"), "week")
+    return SR.deltas(SR.fill_gaps(s, *SALES_SPAN, "week"), "week")
 
 
 register("ser_6_week", f"""WITH r AS ({O.serve_sql(SALES, SALES_M_REQ)}),
 s AS (SELECT ship_date AS x, COALESCE(CAST(l_returnflag AS VARCHAR), '∅') AS combo, 'lines' AS metric, CAST(lines AS DOUBLE) AS value FROM r),
 k AS (SELECT DISTINCT metric, combo FROM s),
-sp AS (SELECT CAST(g AS DATE) AS x FROM generate_series(DATE '1996-10-28', DATE '1997-02-24', INTERVAL 7 DAY) t(g)),
+sp AS (SELECT CAST(g AS DATE) AS x FROM generate_series(DATE '1991-12-30', DATE '1999-12-27', INTERVAL 7 DAY) t(g)),
 grid AS (SELECT k.metric, k.combo, sp.x, s.value FROM k CROSS JOIN sp LEFT JOIN s ON s.metric = k.metric AND s.combo = k.combo AND s.x = sp.x)
 SELECT g.metric, g.combo, g.x, g.value,
   {_PCT.format(n='g.value', t='p1.value')} AS short_pct, {_PCT.format(n='g.value', t='p7.value')} AS long_pct
@@ -218,7 +230,7 @@ register("srt_4", f"""{_TOP_SER_SQL}, st AS (SELECT metric, combo, SUM(COALESCE(
     lambda spark, sf: SR.order_series(_top_input(spark, sf), "metric", ["orders", "amount"]))
 register("ser_8", f"""SELECT CAST(COUNT(DISTINCT country) * COUNT(DISTINCT segment) * 2 AS BIGINT) AS combos,
   COUNT(DISTINCT country) * COUNT(DISTINCT segment) * 2 <= 2000 AS allowed FROM ({O.cache_sql(OBM)}) b""")(
-    lambda spark, sf: SR.guard_combos(CH.materialize(spark, sf, OBM), ["country", "segment", "priority"], {"priority": 2}))
+    lambda spark, sf: SR.guard_combos(CH.materialize(spark, sf, OBM), ["country", "segment", "priority"], 2000, {"priority": 2}))
 register("ser_9", f"SELECT COUNT(install_date) > 0 AS is_date FROM ({O.cache_sql(COH)}) b")(
     lambda spark, sf: SR.axis_is_date(CH.materialize(spark, sf, COH), "install_date"))
 
@@ -258,7 +270,7 @@ register("agg_7", f"SELECT country AS value, SUM(TRY_CAST(orders AS DOUBLE)) AS
 _SET1 = f"""WITH a AS ({O.dim_values_sql(OBM, dims=['country', 'segment'], order_metric='orders')}),
 b AS ({O.dim_values_sql(COH, dims=['days_since_install'])}),
 u AS (SELECT dimension, value, 0 AS c, position FROM a UNION ALL SELECT dimension, value, 1 AS c, position FROM b),
-f AS (SELECT dimension, value, MIN(c * 100000 + position) AS first FROM u GROUP BY 1, 2)
+f AS (SELECT dimension, value, MIN(CAST(c AS BIGINT) * 1000000000000 + position) AS first FROM u GROUP BY 1, 2)
 SELECT dimension, value, CAST(ROW_NUMBER() OVER (PARTITION BY dimension ORDER BY
   CASE WHEN dimension = 'country' THEN first END, CASE WHEN dimension <> 'country' THEN {O.natural_sql('value')} END, value) AS INTEGER) AS position
 FROM f"""
@@ -293,8 +305,19 @@ register("dsh_3", O.serve_sql(A, DataRequest(from_date=D(2024, 1, 10), to_date=D
 register("dsh_4", O.serve_sql(COH, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 2, 1), x_axis="install_date",
                                                dimensions=[], metrics=["installs"])))(
     _widget(W_COHORT, DB.DashboardState(today=TODAY, from_date=D(2024, 1, 10), filters={"event_type": ["click"]})))
-register("set_2", "SELECT * FROM (" + O.serve_sql(A, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 1, 30), dimensions=["event_type"],
-                                                                  metrics=["value"])) + ") e WHERE FALSE")(_widget(W_EMPTY))
+W_BOTH = DB.ChartWidget("w_both", A, ("value", "events"), filters={"event_type": ["click", "purchase"]})
+
+
+@register("set_2", O.serve_sql(A, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 1, 30), dimensions=["event_type"],
+                                              metrics=["value", "events"], filters={"event_type": ["click"]})))
+def _set_2(spark, sf):
+    """A widget filtered by the viewer and by itself keeps the values in both;
+    one without any, and one whose global selection is empty, show no rows."""
+    none = DB.DashboardState(today=TODAY, from_date=D(2024, 1, 10), filters={"event_type": []}, split_by=("event_type",))
+    both, apart, empty = _widget(W_BOTH)(spark, sf), _widget(W_EMPTY)(spark, sf), _widget(W_BOTH, none)(spark, sf)
+    return both.unionByName(apart, allowMissingColumns=True).unionByName(empty)
+
+
 _TILE_ROWS = O.serve_sql(A, DataRequest(from_date=D(2024, 1, 23), to_date=D(2024, 1, 30), dimensions=[], metrics=["dau"],
                                         filters={"event_type": ["click", "view"]}))
 register("dsh_5", f"""WITH r AS ({_TILE_ROWS}),
@@ -364,12 +387,17 @@ def _root(spark, sf):
 
 
 register("ref_2", "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events")(
-    lambda spark, sf: C.present_days(spark, _root(spark, sf), A))
+    lambda spark, sf: spark.createDataFrame([(d,) for d in C.cached_days(spark, _root(spark, sf), A)], "day date"))
 register("ref_10", "SELECT MIN(CAST(ts AS DATE)) AS date_min, MAX(CAST(ts AS DATE)) AS date_max FROM events")(
     lambda spark, sf: C.data_extent(spark, _root(spark, sf), A))
-register("ref_3", """WITH sp AS (SELECT CAST(g AS DATE) AS day FROM generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) t(g))
-SELECT day FROM sp WHERE day NOT IN (SELECT DISTINCT CAST(ts AS DATE) FROM events) OR day >= DATE '2024-02-02'""")(
-    lambda spark, sf: RF.missing_days(spark, _root(spark, sf), A, D(2023, 12, 25), D(2024, 2, 5), today=D(2024, 2, 6)))
+
+
+@register("ref_3", """WITH sp AS (SELECT CAST(g AS DATE) AS day FROM generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) t(g))
+SELECT day FROM sp WHERE day NOT IN (SELECT DISTINCT CAST(ts AS DATE) FROM events) OR day >= DATE '2024-02-02'""")
+def _ref_3(spark, sf):
+    cached = C.cached_days(spark, _root(spark, sf), A)
+    days = RF.days_to_fetch(A, D(2023, 12, 25), D(2024, 2, 5), cached, refresh_cutoff(D(2024, 2, 6), RF.REFRESH_WINDOW_DAYS))
+    return spark.createDataFrame([(d,) for d in days], "day date")
 
 
 @register("ref_1", """WITH b AS (SELECT MIN(CAST(ts AS DATE)) AS from_date, MAX(CAST(ts AS DATE)) AS to_date FROM events)
@@ -377,8 +405,8 @@ SELECT from_date, to_date, CAST(g AS DATE) AS window_start, LEAST(CAST(g AS DATE
 FROM b, generate_series(from_date, to_date, INTERVAL 7 DAY) t(g)""")
 def _ref_1(spark, sf):
     register_tables(spark, sf)
-    bounds = spark.table("events").agg(F.min(F.to_date("ts")).alias("from_date"), F.max(F.to_date("ts")).alias("to_date"))
-    return date_windows(spark, bounds, 7)
+    lo, hi = CH.source_extent(spark, A)
+    return spark.createDataFrame([(lo, hi, *w) for w in expand_windows(lo, hi, 7)], "from_date date, to_date date, window_start date, window_end date")
 
 
 OBM_REMAP = OBM.with_(derived=(OBM.derived[0], DerivedDim("priority_tier", "priority", (("Tier-1", ("1-URGENT", "2-HIGH", "3-MEDIUM")),), "Tier-2")))
@@ -404,43 +432,129 @@ def _prj_4(spark, sf):
                    source_query(spark, A_TEXT, *CH.ALL_TIME))
 
 
-# ---------------------------------------------------------------- REF-7 restatement, REF-8 rebuild on a changed definition
-@register("ref_7", f"SELECT *, event_date AS _day FROM ({O.DUCK_CHARTS['activity']}) s")
-def _ref_7(spark, sf):
-    root = _root(spark, sf)
+# ---------------------------------------------------------------- SNK-1/2, REF-6/7: writes over a source that changes between runs
+_TYPES_SQL = """SELECT CAST(ts AS DATE) AS event_date, event_type, SUM(value) AS value, COUNT(*) AS events
+FROM {source} WHERE ts >= TIMESTAMP_NTZ'{{START_DATE}} 00:00:00' AND ts < TIMESTAMP_NTZ'{{END_DATE}} 00:00:00' + INTERVAL 1 DAY
+GROUP BY CAST(ts AS DATE), event_type"""
+_TYPES_DUCK = "SELECT CAST(ts AS DATE) AS event_date, event_type, SUM(value) AS value, COUNT(*) AS events FROM events GROUP BY ALL"
+_METRICS = (Metric("value", column="value"), Metric("events", column="events"))
+
+
+def _own_cache(spark, sf: str, key: str) -> str:
+    """A folder that only this run of a query writes to."""
     register_tables(spark, sf)
-    res = RF.restate(spark, root, A, D(2024, 1, 10), D(2024, 1, 12), today=D(2024, 2, 1), record=False)
-    if res.status != "success":
-        raise RuntimeError(res.error_message)
-    return C.scan_cache(spark, root, A)
+    return f"{CH.cache_root(spark, sf)}/{key}-{uuid.uuid4().hex}"
+
+
+def _types_chart(name: str, **kw) -> ChartSpec:
+    base = dict(query=_TYPES_SQL.format(source=name), time_column="event_date", dims=(Dim("event_type"),), metrics=_METRICS, day_separable=True)
+    return ChartSpec(name=name, **(base | kw))
+
+
+def _ran(result: RF.RefreshResult) -> None:
+    if result.status != "success":
+        raise RuntimeError(result.error_message)
+
+
+LOOK_BACK = ChartSpec(
+    name="look_back", time_column="event_date", dims=(Dim("event_type"), Dim("batch_day")), metrics=(Metric("events", column="events"),),
+    query="""SELECT CAST(ts AS DATE) AS event_date, event_type, '{START_DATE}' AS batch_day, COUNT(*) AS events FROM events
+WHERE ts >= TIMESTAMP_NTZ'{START_DATE} 00:00:00' - INTERVAL 1 DAY AND ts < TIMESTAMP_NTZ'{END_DATE} 00:00:00' + INTERVAL 1 DAY
+GROUP BY CAST(ts AS DATE), event_type""")
+
+
+@register("snk_1", """WITH t AS (SELECT CAST(ts AS DATE) AS event_date, event_type, COUNT(*) AS events FROM events GROUP BY ALL),
+b AS (SELECT CAST(g AS DATE) AS batch FROM (SELECT MIN(CAST(ts AS DATE)) AS lo, MAX(CAST(ts AS DATE)) AS hi FROM events) e, generate_series(lo, hi, INTERVAL 1 DAY) s(g))
+SELECT t.event_date, t.event_type, CAST(b.batch AS VARCHAR) AS batch_day, t.events, t.event_date AS _day
+FROM t JOIN b ON t.event_date = b.batch OR t.event_date = b.batch - 1""")
+def _snk_1(spark, sf):
+    """Append: a day's batch also holds rows of the day before, which are added
+    to what that day has, in the same run and in a later one."""
+    root = _own_cache(spark, sf, "snk_1")
+    lo, hi = CH.source_extent(spark, A)
+    middle = lo + (hi - lo) // 2
+    late = hi + _dt.timedelta(days=60)  # no day lies in the trailing window
+    _ran(RF.refresh(spark, root, LOOK_BACK, lo, middle, today=late, record=False))
+    _ran(RF.refresh(spark, root, LOOK_BACK, middle + _dt.timedelta(days=1), hi, today=late, record=False, windows_per_write=7))
+    return C.scan_cache(spark, root, LOOK_BACK)
+
+
+@register("snk_2", f"""WITH t AS ({_TYPES_DUCK}), m AS (SELECT MIN(event_date) + 9 AS a, MIN(event_date) + 12 AS b FROM t)
+SELECT t.*, event_date AS _day FROM t, m WHERE event_type <> 'click' OR event_date NOT BETWEEN a AND b
+UNION ALL SELECT NULL, 'no day', v, CAST(v AS BIGINT), NULL FROM (VALUES (1.0), (2.0)) n(v)""")
+def _snk_2(spark, sf):
+    """Replace: the window's days are cleared and written anew from a source
+    without clicks; other days stay, and rows without a day are only added."""
+    root = _own_cache(spark, sf, "snk_2")
+    chart = _types_chart("snk_2", cur_date_behavior="batched", cache_strategy="replace")
+    chart = chart.with_(query=chart.query + " UNION ALL SELECT CAST(NULL AS DATE), 'no day', CAST(n AS DOUBLE), n FROM snk_2_run")
+    lo, hi = CH.source_extent(spark, A)
+    events = spark.table("events")
+    for run, (source, window) in enumerate((
+        (events, (lo, hi)), (events.filter("event_type <> 'click'"), (lo + _dt.timedelta(days=9), lo + _dt.timedelta(days=12)))), 1):
+        source.createOrReplaceTempView("snk_2")
+        spark.range(run, run + 1).select(F.col("id").alias("n")).createOrReplaceTempView("snk_2_run")
+        _ran(RF.refresh(spark, root, chart, *window, today=hi, batch_size=40, record=False))
+    return C.scan_cache(spark, root, chart)
+
+
+@register("ref_6", f"""WITH t AS ({_TYPES_DUCK}), m AS (SELECT MAX(event_date) AS hi FROM t)
+SELECT t.*, event_date AS _day FROM t, m WHERE event_date < hi - 3 OR event_date > hi - 2 OR event_type = 'click'""")
+def _ref_6(spark, sf):
+    """A daily refresh replaces the days of the trailing window that it finds
+    (clicks only, the second time) and keeps those that come back empty."""
+    root, chart = _own_cache(spark, sf, "ref_6"), _types_chart("ref_6")
+    lo, hi = CH.source_extent(spark, A)
+    events = spark.table("events")
+    last = hi - _dt.timedelta(days=1)
+    for source in (events, events.filter((F.col("event_type") == "click") & (F.to_date("ts") < F.lit(last)))):
+        source.createOrReplaceTempView("ref_6")
+        _ran(RF.refresh(spark, root, chart, lo, hi, today=hi + _dt.timedelta(days=1), record=False))
+    return C.scan_cache(spark, root, chart)
+
+
+@register("ref_7", f"""WITH t AS ({_TYPES_DUCK}), m AS (SELECT MIN(event_date) + 9 AS a FROM t)
+SELECT t.*, event_date AS _day FROM t, m WHERE event_date NOT BETWEEN a AND a + 2 OR (event_date <> a + 1 AND event_type <> 'click')""")
+def _ref_7(spark, sf):
+    """A restatement of three days writes them anew and clears the one that is
+    now empty; it leaves the others alone."""
+    root, chart = _own_cache(spark, sf, "ref_7"), _types_chart("ref_7")
+    lo, hi = CH.source_extent(spark, A)
+    a = lo + _dt.timedelta(days=9)
+    events = spark.table("events")
+    events.createOrReplaceTempView("ref_7")
+    _ran(RF.refresh(spark, root, chart, lo, hi, today=hi + _dt.timedelta(days=60), record=False))
+    now_empty = F.to_date("ts") == F.lit(a + _dt.timedelta(days=1))
+    events.filter((F.col("event_type") != "click") & ~now_empty).createOrReplaceTempView("ref_7")
+    _ran(RF.restate(spark, root, chart, a, a + _dt.timedelta(days=2), today=hi + _dt.timedelta(days=60), record=False))
+    return C.scan_cache(spark, root, chart)
 
 
+# ---------------------------------------------------------------- REF-8 rebuild on a changed definition
 REBUILD_V1 = CH.ACTIVITY_TYPES.with_(name="activity_rebuild")
 REBUILD_V2 = REBUILD_V1.with_(variables={"TYPES": ["purchase"]})
 
 
 @register("ref_8", f"SELECT *, event_date AS _day FROM ({O.DUCK_CHARTS['activity_types'].replace(chr(39) + 'click' + chr(39) + ', ' + chr(39) + 'view' + chr(39), chr(39) + 'purchase' + chr(39))}) s")
 def _ref_8(spark, sf):
-    register_tables(spark, sf)
-    root = CH.cache_root(spark, sf)
+    root = _own_cache(spark, sf, "ref_8")
     lo, hi = CH.source_extent(spark, A)
     for spec in (REBUILD_V1, REBUILD_V2):
-        res = RF.refresh(spark, root, spec, lo, hi, today=hi + _dt.timedelta(days=1), record=False)
-        if res.status != "success":
-            raise RuntimeError(res.error_message)
+        _ran(RF.refresh(spark, root, spec, lo, hi, today=hi + _dt.timedelta(days=1), record=False))
     return C.scan_cache(spark, root, REBUILD_V2)
 
 
 # ---------------------------------------------------------------- SNK-4: wide CSV export of the kept series, read back
-@register("snk_4", f"""{_TOP_SER_SQL},
-kept AS (SELECT CAST(x AS VARCHAR) AS x, combo, CAST(value AS VARCHAR) AS v FROM s
-         WHERE metric = 'orders' AND combo IN (SELECT combo FROM keep))
-SELECT * RENAME (x AS date) FROM (PIVOT kept ON combo USING first(v) GROUP BY x) p""")
+@register("snk_4", f"""{_TOP_SER_SQL}
+SELECT CAST(x AS VARCHAR) AS date, combo AS series, value FROM s WHERE metric = 'orders' AND value IS NOT NULL AND combo IN (SELECT combo FROM keep)""")
 def _snk_4(spark, sf):
+    """The wide file read back, and turned long again."""
     kept = SR.top_series(_top_input(spark, sf), 20, by_metric="orders").where(F.col("metric") == "orders")
-    path = CH.cache_root(spark, sf) + "/exports/orders_by_country"
-    C.export_csv(SR.to_wide(kept.drop("country"), multi_metric=False), path)
-    return spark.read.option("header", True).csv(path)
+    labels = [r["combo"] for r in kept.select("combo").distinct().orderBy("combo").collect()]  # 20 at most
+    path = f"{CH.cache_root(spark, sf)}/exports/{uuid.uuid4().hex}"
+    C.export_csv(SR.to_wide(kept.drop("country"), labels, multi_metric=False), path)
+    wide = spark.read.option("header", True).csv(path)
+    return wide.unpivot(["date"], labels, "series", "value").where("value IS NOT NULL").withColumn("value", F.col("value").cast("double"))
 
 
 # ---------------------------------------------------------------- run ledger (REF-14..16, WIN-4)
@@ -451,12 +565,13 @@ _LEDGER_COUNT = (f"(SELECT COUNT(*) FROM ({O.DUCK_CHARTS['activity']}) s "
 
 
 def _recorded_run(spark, sf):
-    """A forced, recorded restatement of one week; returns (root, ledger rows of that run)."""
-    root = _root(spark, sf)
-    register_tables(spark, sf)
+    """A recorded restatement of one week in a cache of its own; returns (root,
+    ledger rows of that run)."""
+    root = _own_cache(spark, sf, "ledger")
+    lo, hi = CH.source_extent(spark, A)
+    _ran(RF.refresh(spark, root, A, lo, hi, today=hi + _dt.timedelta(days=1), record=False))
     res = RF.restate(spark, root, A, *LEDGER_WINDOW, today=D(2024, 2, 1), record=True)
-    if res.status != "success":
-        raise RuntimeError(res.error_message)
+    _ran(res)
     return root, L.read_runs(spark, root).where(F.col("run_id") == F.lit(res.run_id))
 
 
@@ -493,15 +608,16 @@ def _ref_16(spark, sf):
     return fresh.where(F.col("chart") == "activity").select("chart", "latest_day", "last_status", "last_row_count", "any_running")
 
 
-for alias, key in {"snk_1": "src_3", "snk_2": "ref_7", "snk_3": "ref_8"}.items():
-    REGISTRY[alias] = REGISTRY[key]
+REGISTRY["snk_3"] = REGISTRY["ref_8"]
 
 
 # ---------------------------------------------------------------- AGG-6 wide cohort view
 
 COHORT_REQ = DataRequest(x_axis="install_date", dimensions=["days_since_install"], metrics=["retained_users"])
-register("agg_6_wide", f"PIVOT ({O.serve_sql(COH, COHORT_REQ)}) ON days_since_install USING first(retained_users) GROUP BY install_date")(
-    lambda spark, sf: cohort_view(COH, COHORT_REQ, CH.materialize(spark, sf, COH), "retained_users"))
+SPLIT_DAYS = ["0", "1", "2", "7"]
+_WIDE = ", ".join(f'MAX(CASE WHEN days_since_install = {d} THEN retained_users END) AS "{d}"' for d in SPLIT_DAYS)
+register("agg_6_wide", f"SELECT install_date, {_WIDE} FROM ({O.serve_sql(COH, COHORT_REQ)}) r GROUP BY install_date")(
+    lambda spark, sf: cohort_view(COH, COHORT_REQ, CH.materialize(spark, sf, COH), "retained_users", SPLIT_DAYS))
 
 
 # ---------------------------------------------------------------- SER-6 by month (previous month, same month last year)
@@ -528,8 +644,7 @@ LEFT JOIN grid p12 ON p12.metric = g.metric AND p12.combo = g.combo AND p12.x =
 
 
 # ---------------------------------------------------------------- WIN-1 on a dashboard widget: over the dates returned
-WIDGET_MA_REQ = DataRequest(from_date=D(1997, 1, 1), to_date=D(1997, 3, 31), dimensions=["region"], metrics=["orders"],
-                            filters={"priority": ["1-URGENT"]})
+WIDGET_MA_REQ = DataRequest(dimensions=["region"], metrics=["orders"])
 
 
 def _widget_ma(spark, sf):
@@ -547,35 +662,32 @@ FROM grid""")(_widget_ma)
 
 # ---------------------------------------------------------------- SCH-4, REF-5, REF-6, REF-9 on the driver tables
 @register("sch_4", f"""SELECT event_date, event_type, value, events, CAST(NULL AS BIGINT) AS dau, event_date AS _day
-FROM ({O.DUCK_CHARTS['activity']}) s WHERE event_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""")
+FROM ({O.DUCK_CHARTS['activity']}) s""")
 def _sch_4(spark, sf):
     root = _root(spark, sf)
     register_tables(spark, sf)
     stored = C.stored_schema(C.read_meta(spark, root, A))
-    batch = C.with_day(source_query(spark, A, D(2024, 1, 8), D(2024, 1, 14)).drop("dau"), A)
+    batch = C.with_day(source_query(spark, A, *CH.ALL_TIME).drop("dau"), A)
     return C.align_columns(batch, stored)
 
 
-@register("ref_5", """WITH b AS (SELECT MIN(CAST(ts AS DATE)) AS from_date, MAX(CAST(ts AS DATE)) AS to_date FROM events)
-SELECT from_date, to_date, CAST(g AS DATE) AS window_start, LEAST(CAST(g AS DATE) + 6, to_date) AS window_end,
-       CASE WHEN CAST(g AS DATE) >= DATE '2024-01-27' THEN 'replace' ELSE 'append' END AS strategy
-FROM b, generate_series(from_date, to_date, INTERVAL 7 DAY) t(g)""")
+@register("ref_5", """WITH b AS (SELECT MIN(CAST(ts AS DATE)) AS lo, MAX(CAST(ts AS DATE)) AS hi FROM events)
+SELECT CAST(g AS DATE) AS window_start, CAST(g AS DATE) AS window_end,
+       CASE WHEN CAST(g AS DATE) >= hi - 3 THEN 'replace' ELSE 'append' END AS strategy, FALSE AS forced
+FROM b, generate_series(lo, hi, INTERVAL 1 DAY) t(g)
+UNION ALL SELECT CAST(g AS DATE), CAST(g AS DATE), 'replace', TRUE FROM b, generate_series(lo, hi, INTERVAL 1 DAY) t(g)""")
 def _ref_5(spark, sf):
+    """What a first and a forced refresh do with each day, as ``plan_writes``
+    hands it to the writer."""
     register_tables(spark, sf)
-    bounds = spark.table("events").agg(F.min(F.to_date("ts")).alias("from_date"), F.max(F.to_date("ts")).alias("to_date"))
-    cutoff = refresh_cutoff(D(2024, 1, 31), RF.REFRESH_WINDOW_DAYS)
-    return date_windows(spark, bounds, 7).withColumn("strategy", RF.strategy_column(A, F.col("window_start"), cutoff))
-
-
-@register("ref_6", f"SELECT *, event_date AS _day FROM ({O.DUCK_CHARTS['activity']}) s")
-def _ref_6(spark, sf):
-    # a non-forced refresh whose trailing-window days come back empty keeps what is cached
-    root = _root(spark, sf)
-    register_tables(spark, sf)
-    res = RF.refresh(spark, root, A, D(2024, 1, 29), D(2024, 2, 2), today=D(2024, 2, 2), record=False)
-    if res.status != "success":
-        raise RuntimeError(res.error_message)
-    return C.scan_cache(spark, root, A)
+    lo, hi = CH.source_extent(spark, A)
+    daily = A.with_(day_separable=False)
+    cutoff = refresh_cutoff(hi + _dt.timedelta(days=1), RF.REFRESH_WINDOW_DAYS)
+    rows = []
+    for forced in (False, True):
+        for w in RF.plan_writes(daily, lo, hi, 1, set(), cutoff, forced):
+            rows += [(a, b, "replace" if (a, b) in w.replace else "append", forced) for a, b in w.windows]
+    return spark.createDataFrame(rows, "window_start date, window_end date, strategy string, forced boolean")
 
 
 A_TEXT_METRIC = A.with_(
@@ -592,10 +704,8 @@ A_HEALED = A.with_(name="activity_heal", query=A_TEXT_METRIC.query)
 def _ref_9(spark, sf):
     """A cache whose dau column was stored as text (dau not declared then) is
     healed when dau is declared: dropped and rebuilt over its whole extent."""
-    register_tables(spark, sf)
-    root = CH.cache_root(spark, sf)
+    root = _own_cache(spark, sf, "ref_9")
     lo, hi = CH.source_extent(spark, A)
-    C.drop_cache(spark, root, A_TEXT_METRIC)
     first = RF.refresh(spark, root, A_TEXT_METRIC, lo, hi, today=hi + _dt.timedelta(days=1), record=False)
     if C.poisoned_metrics(spark, root, A_HEALED) != ["dau"]:
         raise RuntimeError("expected a poisoned dau column")
@@ -625,7 +735,5 @@ SELECT 'cohort', DATE '2024-01-24', DATE '2024-01-30', 'success',
   (SELECT COUNT(*) FROM ({O.DUCK_CHARTS['cohort']}) s WHERE event_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'),
   CAST(NULL AS VARCHAR)""")
 def _ref_13(spark, sf):
-    root = _root(spark, sf)
-    CH.materialize(spark, sf, COH)
-    register_tables(spark, sf)
+    root = _own_cache(spark, sf, "ref_13")
     return RF.refresh_all(spark, root, [A, COH], NIGHTLY_TODAY, max_workers=2, force=True, record=False)

@@ -3,7 +3,9 @@ the shared folder for written tables and checkpoints."""
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,10 +48,8 @@ def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder: the base of ``spark.checkpoint.dir``.
 
     Read from the session. ``getCheckpointDir()`` adds a per-application
-    subfolder, so its parent is used: caches written there outlive the
-    application, and the next run only re-fetches the trailing window. Only
-    when no checkpoint folder is configured (local tests) a fresh temporary
-    folder is created and set.
+    subfolder, so its parent is used. Only on a local master, where all tasks
+    see the machine's folders, a fresh temporary folder is made if none is set.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
@@ -58,6 +58,20 @@ def shared_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/").rsplit("/", 1)[0]
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = tempfile.mkdtemp(prefix="grainline-")
     sc.setCheckpointDir(base)
     return base
+
+
+def source_version(spark: SparkSession, sf_dir: str) -> str:
+    """Fingerprint of the files under a source folder: paths, sizes and times."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listFiles(path, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]

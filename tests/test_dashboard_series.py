@@ -187,7 +187,7 @@ def test_export_csv(spark, tmp_path):
     s = long(spark, [(D(2026, 1, 1), "m", "US · ios", 1.5), (D(2026, 1, 2), "m", "US · ios", None),
                      (D(2026, 1, 1), "m", 'a,"b"', 2.0)])
     path = str(tmp_path / "out")
-    export_csv(SR.to_wide(s, multi_metric=False), path)
+    export_csv(SR.to_wide(s, sorted({r["combo"] for r in s.select("combo").collect()}), multi_metric=False), path)
     import glob
     text = "".join(open(f).read() for f in sorted(glob.glob(path + "/*.csv")))
     assert text.splitlines()[0] == 'date,US · ios,"a,""b"""'

@@ -118,22 +118,26 @@ def test_named_date_markers(spark):
     assert got == [3, 4, 5]
 
 
-def test_ordinal_matches_row_number_across_partitions(spark):
+def test_ordinal_matches_row_number_with_an_extra_column(spark):
     from pyspark.sql import Window
 
     from grainline.functions.ordinal import ordinal
 
-    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        df = spark.range(50000).select(
-            F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 < 9, F.lit("warm")).otherwise(F.lit(None)).alias("g"),
-            (F.rand(7) * 1e6).cast("long").alias("k"), F.col("id"))
-        mine = ordinal(df, [F.col("k"), F.col("id")], group=["g"]).select("id", "position")
+    df = spark.range(300_000).select(
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 < 9, F.lit("warm")).otherwise(F.lit(None)).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_000))).alias("k"),
+        F.col("id"), F.concat(F.lit("extra "), F.col("id")).alias("extra"))
+    for buckets in (1, 64):
+        mine = ordinal(df, [F.col("k"), F.col("id")], group=["g"], buckets=buckets)
         ref = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")).alias("rn"))
-        assert mine.join(ref, "id").where(F.col("position") != F.col("rn")).count() == 0
-        assert mine.count() == 50000
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        both = mine.join(ref, "id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("position") != F.col("rn")).alias("bad")).first()
+        assert (both["n"], both["bad"], mine.columns) == (300_000, 0, [*df.columns, "position"])
+    assert ordinal(df.limit(0), [F.col("k")]).collect() == []
+
+
+def test_natural_key_orders_long_digit_runs(spark):
+    from grainline.functions.natural import natural_key
+
+    want = ["a2", "a010", "a" + "9" * 45, "a1" + "0" * 45, "b"]
+    df = spark.createDataFrame([(v,) for v in reversed(want)], "v string")
+    assert [r.v for r in df.orderBy(natural_key("v")).collect()] == want
