@@ -58,7 +58,7 @@ def test_chains_groups_and_odd_rows(make):
         near = list(base)
         near[rng.randrange(60)] = word()
         rows.append((300 - i, " ".join(near)))
-    rows += [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "one two"), (6, "one two"), (7, "ONE\x0btwo"), (8, "one\x1ctwo"),
+    rows += [(None, " ".join([*chain[:59], "q"])), (1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "one two"), (6, "one two"), (7, "ONE\x0btwo"), (8, "one\x1ctwo"),
              (None, "unlike any"), (None, "one two"), (9, "ä Ä"), (10, "ä ä"), (11, "x y " * 20_000)]
     assert run(make(rows, extra=True), 2) == brute(rows, 2)
     assert run(make([]), 2) == []
