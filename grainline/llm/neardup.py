@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainline.llm.common import written
@@ -21,6 +21,8 @@ from grainline.llm.components import connected_components
 
 #: 42 bands of 6 slots: a pair of similarity 0.8 shares no band once in 350,000.
 BANDS, ROWS = 42, 6
+#: Nodes of a bucket that are compared with its members, round by round.
+PIVOTS = (1, 4)
 BATCH_WORDS = 500_000
 STEP_ELEMENTS = 150_000
 GOLD = 0x9E3779B97F4A7C15
@@ -162,20 +164,63 @@ def _setter(k: int):
     return run
 
 
-def _unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (key, node, doc_id, n) of the buckets that still hold two or
-    more components, with their ``label``."""
-    if labels is None:
-        members = members.withColumn("label", F.col("node"))
-        several = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    else:
-        members = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        several = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Members (key, node, n, label) of the buckets that still hold two or more
+    components."""
+    several = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
     return members.join(several.select("key"), "key", "left_semi")
 
 
+def _alike(un: str, vn: str, percent: int) -> Column:
+    """Whether sets of such sizes can have the similarity."""
+    return 100 * F.least(un, vn) >= percent * F.greatest(un, vn)
+
+
+def _pivot_pairs(members: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each bucket's first nodes against its members of other components, and
+    those first nodes."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    first = members.withColumn("place", place).filter(F.col("place") <= pivots)
+    first = first.select("key", F.col("node").alias("u"), F.col("label").alias("ul"), F.col("n").alias("un"))
+    pairs = members.select("key", F.col("node").alias("v"), F.col("label").alias("vl"), F.col("n").alias("vn")).join(first, "key")
+    pairs = pairs.filter((F.col("ul") != F.col("vl")) & _alike("un", "vn", percent))
+    return pairs.select("u", "ul", "v", "vl").distinct(), first.select("key", F.col("u").alias("node"))
+
+
+def _remaining_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket across components that can still be similar.
+
+    Elements are ordered by how many of these nodes hold them, the rarest first.
+    A node's prefix is so long that similar sets share an element of their
+    prefixes; up to the last one shared there, the order is the same in both,
+    so the shared elements and the shorter rest bound the intersection. The
+    bound refutes pairs before they leave the join. Only members outside their
+    bucket's largest component are paired with all the others.
+    """
+    nodes = members.select("node").distinct()
+    elements = sets.join(nodes, "node", "left_semi").select("node", F.explode("elements").alias("e"))
+    ordered = elements.join(elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")), "e").groupBy("node").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("c", "e"))), lambda x: x["e"]).alias("es"))
+    length = F.expr(f"size(es) - ({percent} * size(es) + 99) div 100 + 1").cast("int")
+    members = members.join(ordered.select("node", F.slice("es", F.lit(1), length).alias("p")), "node")
+    largest = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+        F.max(F.struct("c", "label")).alias("most")).select("key", F.col("most.label").alias("main"))
+    members = written(members.join(largest, "key"), "remaining")
+    a = members.filter("label != main").select(
+        "key", F.col("node").alias("u"), F.col("label").alias("ul"), F.col("n").alias("un"), F.col("p").alias("up"))
+    b = members.select("key", "main", F.col("node").alias("v"), F.col("label").alias("vl"), F.col("n").alias("vn"), F.col("p").alias("vp"))
+    shared = F.array_intersect("up", "vp")
+    last = F.element_at(shared, -1)
+    rest = F.least(F.col("un") - F.array_position("up", last), F.col("vn") - F.array_position("vp", last))
+    bound = F.size(shared) + rest
+    apart = (F.col("ul") != F.col("vl")) & ((F.col("vl") == F.col("main")) | (F.col("u") < F.col("v"))) & _alike("un", "vn", percent)
+    near = F.when(apart & F.arrays_overlap("up", "vp"), 100 * bound >= percent * (F.col("un") + F.col("vn") - bound)).otherwise(False)
+    return a.join(b, (a["key"] == b["key"]) & near).select("u", "ul", "v", "vl").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have a similarity of ``percent`` or more."""
+    """Links (u, v) between the components of pairs whose full sets have a
+    similarity of ``percent`` or more."""
     a = sets.select(F.col("node").alias("u"), F.col("elements").alias("ue"))
     b = sets.select(F.col("node").alias("v"), F.col("elements").alias("ve"))
     both = F.size(F.array_intersect("ue", "ve")).cast("long")
@@ -183,10 +228,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs.join(b, "v").join(a, "u")
         .withColumn("both", both)
         .filter(100 * F.col("both") >= percent * (F.size("ue") + F.size("ve") - F.col("both")))
-        .select("u", "v")
+        .select(F.col("ul").alias("u"), F.col("vl").alias("v")).distinct()
     )
 
 
+def _relabelled(df: DataFrame, merged: DataFrame) -> DataFrame:
+    out = df.join(merged.select(F.col("node").alias("label"), "component"), "label", "left")
+    return out.withColumn("label", F.coalesce("component", "label")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles (size of the document's set of ``k``-word shingles),
     component_id (smallest doc_id of its group) and kept (doc_id is that).
@@ -199,44 +249,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     others; a row without a doc_id has a group of its own unless its text links
     it. An empty table gives no rows; other columns are not read.
 
-    Equal sets are one node from the start. In each bucket the first nodes
-    (one, then twice as many each round) are compared with all members of other
-    components and then leave the bucket; a bucket with a single component is
-    done. So every candidate pair across components is confirmed or refuted on
-    full sets, a group of n copies costs about n comparisons, and no cap drops a
-    bucket or a pair.
+    Equal sets are one node from the start. In each bucket a few first nodes
+    are compared with the members of other components; what that links is one
+    component, and a bucket with a single component is done. All pairs across
+    components that are left in a bucket, and that a bound on their sets does
+    not refute, are compared last. So every candidate pair is linked, confirmed
+    or refuted; a group of n copies costs about n comparisons, and no cap drops
+    a bucket or a pair.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
     signed = written(texts.mapInArrow(
         _signer(k, bands, rows), "doc_id long, n_shingles long, node binary, buckets array<long>"), "signed")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("buckets").alias("buckets"))
-    members = nodes.select("node", "doc_id", "n", F.explode("buckets").alias("key"))
-    members = written(_unsettled(members, None), "members")
-
-    active = members.select("node", "doc_id").distinct()
-    sets = texts.join(active.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
-        _setter(k), "node binary, elements array<long>")
-    sets = written(sets.join(active.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    links, labels, pivots = None, None, 1
-    while not members.isEmpty():
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        first = members.select("key", "node", "label", "n").withColumn("place", place).filter(F.col("place") <= pivots)
-        first = first.select("key", F.col("node").alias("u"), F.col("label").alias("ul"), F.col("n").alias("un"))
-        near_size = (100 * F.least("un", "n") >= percent * F.greatest("un", "n"))
-        pairs = members.join(first, "key").filter((F.col("label") != F.col("ul")) & near_size)
-        pairs = pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        new = written(_confirmed(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = written(connected_components(links), "labels")
-        left = members.join(first.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti")
-        members = written(_unsettled(left, labels), "members")
-        pivots *= 2
-    if labels is None:
-        group = signed.withColumn("group", F.col("node"))
-    else:
-        group = signed.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    members = nodes.select("node", "n", F.explode("buckets").alias("key")).withColumn("label", F.col("node"))
+    members = written(_unsettled(members), "members")
+    labels = written(members.select("node", "label").distinct(), "labels")
+
+    wanted = nodes.join(labels, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
+    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(_setter(k), "node binary, elements array<long>")
+    sets = written(sets.join(labels, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    for pivots in (*PIVOTS, None):
+        if members.isEmpty():
+            break
+        if pivots:
+            pairs, done = _pivot_pairs(members, pivots, percent)
+        else:
+            pairs, done = _remaining_pairs(members, sets, percent), None
+        merged = written(connected_components(_confirmed(pairs, sets, percent)), "merged")
+        labels = written(_relabelled(labels, merged), "labels")
+        if done is not None:
+            left = members.join(done, ["key", "node"], "left_anti")
+            members = written(_unsettled(_relabelled(left, merged)), "members")
+    group = signed.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
     least = group.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
     return (
         group.join(least, "group", "left")
