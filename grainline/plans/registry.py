@@ -23,11 +23,13 @@ from ..operators import serve as S
 from ..operators import series as SR
 from ..operators import values as V
 from ..operators.cohort import cohort_view
+from ..operators.schema import classify_columns
 from ..session import register_tables
 from ..sources import cache as C
 from ..sources.query import source_query
 from ..spec import ChartSpec, DataRequest, DerivedDim, Dim, Metric
 from . import charts as CH
+from . import chart_view as CV
 from . import dashboard as DB
 from . import refresh as RF
 
@@ -729,11 +731,151 @@ NIGHTLY_TODAY = D(2024, 1, 31)
 
 @register("ref_13", f"""SELECT 'activity' AS chart, DATE '2024-01-01' AS from_date, DATE '2024-01-30' AS to_date, 'success' AS status,
   (SELECT COUNT(*) FROM ({O.DUCK_CHARTS['activity']}) s WHERE event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30') AS row_count,
-  CAST(NULL AS VARCHAR) AS error_message
+  30 AS batches_completed, CAST(NULL AS VARCHAR) AS error_message
 UNION ALL
 SELECT 'cohort', DATE '2024-01-24', DATE '2024-01-30', 'success',
   (SELECT COUNT(*) FROM ({O.DUCK_CHARTS['cohort']}) s WHERE event_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'),
-  CAST(NULL AS VARCHAR)""")
+  7, CAST(NULL AS VARCHAR)""")
 def _ref_13(spark, sf):
     root = _own_cache(spark, sf, "ref_13")
-    return RF.refresh_all(spark, root, [A, COH], NIGHTLY_TODAY, max_workers=2, force=True, record=False)
+    return RF.refresh_all(spark, root, [A, COH, SALES.with_(refresh_interval="manual")], NIGHTLY_TODAY, max_workers=2, force=True, record=False)
+
+
+# ---------------------------------------------------------------- operators on definitions and schemas, as frames computed from the tables
+MARKED = A.with_(name="activity_marked", query=A.query.replace("TIMESTAMP_NTZ'{START_DATE} 00:00:00'", "CAST(:start_date AS TIMESTAMP_NTZ)")
+                 .replace("TIMESTAMP_NTZ'{END_DATE} 00:00:00'", "CAST(:end_date AS TIMESTAMP_NTZ)"))
+
+
+@register("src_4", f"SELECT * FROM ({O.DUCK_CHARTS['activity']}) s WHERE event_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27'")
+def _src_4(spark, sf):
+    """The source query with typed date parameters in place of text."""
+    register_tables(spark, sf)
+    return source_query(spark, MARKED, D(2024, 1, 3), D(2024, 1, 27))
+
+
+@register("sch_1", """SELECT table_name, column_name,
+  CASE WHEN data_type IN ('DATE', 'TIMESTAMP') AND rank = 1 THEN 'time' WHEN data_type IN ('DATE', 'TIMESTAMP', 'VARCHAR') THEN 'dimension' ELSE 'metric' END AS role
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY table_name, data_type IN ('DATE', 'TIMESTAMP') ORDER BY position) AS rank FROM (
+  SELECT 'orders' AS table_name, column_name, column_type AS data_type, ROW_NUMBER() OVER () AS position FROM (DESCRIBE orders)
+  UNION ALL SELECT 'lineitem', column_name, column_type, ROW_NUMBER() OVER () FROM (DESCRIBE lineitem)
+  UNION ALL SELECT 'events', column_name, column_type, ROW_NUMBER() OVER () FROM (DESCRIBE events)) d) c""")
+def _sch_1(spark, sf):
+    register_tables(spark, sf)
+    rows = []
+    for name in ("orders", "lineitem", "events"):
+        time, dims, metrics = classify_columns(spark.table(name).schema)
+        rows += [(name, c, role) for role, columns in (("time", [time] if time else []), ("dimension", dims), ("metric", metrics)) for c in columns]
+    return spark.createDataFrame(rows, "table_name string, column_name string, role string")
+
+
+@register("sch_3", "SELECT 'activity_heal' AS chart, 'dau' AS column_name")
+def _sch_3(spark, sf):
+    """A metric that the cache holds as text."""
+    root = _own_cache(spark, sf, "sch_3")
+    lo, hi = CH.source_extent(spark, A)
+    _ran(RF.refresh(spark, root, A_TEXT_METRIC, lo, hi, today=hi + _dt.timedelta(days=1), record=False))
+    rows = [(spec.name, c) for spec in (A_TEXT_METRIC, A_HEALED) for c in C.poisoned_metrics(spark, root, spec)]
+    return spark.createDataFrame(rows, "chart string, column_name string")
+
+
+@register("ref_4", """SELECT n AS window_days, CAST(hi - (GREATEST(n, 1) - 1) AS DATE) AS cutoff
+FROM (SELECT MAX(CAST(ts AS DATE)) AS hi FROM events) e, (VALUES (0), (1), (5), (40)) w(n)""")
+def _ref_4(spark, sf):
+    register_tables(spark, sf)
+    _, hi = CH.source_extent(spark, A)
+    return spark.createDataFrame([(n, refresh_cutoff(hi, n)) for n in (0, 1, 5, 40)], "window_days int, cutoff date")
+
+
+@register("ref_11", """SELECT chart, CAST(hi - (days - 1) AS DATE) AS from_date, hi AS to_date, size AS batch_size
+FROM (SELECT MAX(CAST(ts AS DATE)) AS hi FROM events) e, (VALUES ('activity', 30, 30), ('sales', 7, 365), ('cohort', 7, 30)) c(chart, days, size)""")
+def _ref_11(spark, sf):
+    register_tables(spark, sf)
+    _, hi = CH.source_extent(spark, A)
+    return spark.createDataFrame([(s.name, *RF.resolve_run_range(s, None, None, hi)) for s in (A, SALES, COH)],
+                                 "chart string, from_date date, to_date date, batch_size int")
+
+
+@register("dsh_1", """SELECT name, CAST(COALESCE(f, e - 29) AS DATE) AS from_date, e AS to_date FROM (
+  SELECT name, f, CAST(LEAST(COALESCE(t, hi), hi - o) AS DATE) AS e FROM (SELECT MAX(CAST(ts AS DATE)) AS hi FROM events) m,
+  (VALUES ('default', NULL, NULL, 2), ('widget', NULL, NULL, 0), ('viewer', NULL, NULL, 4), ('picked', DATE '2024-01-03', DATE '2024-01-09', 2)) w(name, f, t, o)) x""")
+def _dsh_1(spark, sf):
+    register_tables(spark, sf)
+    _, hi = CH.source_extent(spark, A)
+    cases = {"default": (None, None, None, None), "widget": (0, None, None, 4), "viewer": (None, None, None, 4),
+             "picked": (None, D(2024, 1, 3), D(2024, 1, 9), None)}
+    rows = [(name, *DB.resolve_window(DASH, *case, hi)) for name, case in cases.items()]
+    return spark.createDataFrame(rows, "name string, from_date date, to_date date")
+
+
+def _long_widget(df, widget: str, metrics: list[str]):
+    """A widget's rows as (widget, day, metric, value)."""
+    day = F.col("event_date") if "event_date" in df.columns else F.col("as_of_date")
+    values = df.select(F.lit(widget).alias("widget"), day.alias("day"), *[F.col(m).cast("double").alias(m) for m in metrics])
+    return values.unpivot(["widget", "day"], metrics, "metric", "value")
+
+
+_DSH7_STATE = DB.DashboardState(today=TODAY, from_date=D(2024, 1, 10), filters={"event_type": ["click", "view"]})
+_DSH7_ROWS = O.serve_sql(A, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 1, 30), dimensions=[], metrics=["events"],
+                                        filters={"event_type": ["click", "view"]}))
+_DSH7_CLICK = O.serve_sql(A, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 1, 30), dimensions=[], metrics=["value", "dau"],
+                                         filters={"event_type": ["click"]}))
+
+
+@register("dsh_7", f"""SELECT 'w_split' AS widget, event_date AS day, 'events' AS metric, CAST(events AS DOUBLE) AS value FROM ({_DSH7_ROWS}) a
+UNION ALL SELECT 'w_value', event_date, 'value', CAST(value AS DOUBLE) FROM ({_DSH7_CLICK}) b
+UNION ALL SELECT 'w_value', event_date, 'dau', CAST(dau AS DOUBLE) FROM ({_DSH7_CLICK}) c
+UNION ALL SELECT 't_dau', DATE '2024-01-30', 'value', MAX(CAST(dau AS DOUBLE)) FROM ({_TILE_ROWS}) t WHERE event_date = DATE '2024-01-30'""")
+def _dsh_7(spark, sf):
+    """All widgets of a dashboard under one state, as one long frame."""
+    board = DB.Dashboard("activity", (W_VALUE, W_SPLIT, W_EMPTY, T_DAU), filters=("event_type",))
+    data = DB.dashboard_data(board, {A.name: CH.materialize(spark, sf, A)}, _DSH7_STATE)
+    shown = {"w_value": ["value", "dau"], "w_split": ["events"], "w_empty": ["value"], "t_dau": ["value"]}
+    parts = [_long_widget(data[w], w, metrics) for w, metrics in shown.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _grain_audit(spec: ChartSpec):
+    """Groups with several rows: none by the declared dimensions, which lets
+    serving skip its inner MAX; some once the last dimension is left out."""
+    fewer = spec.with_(dims=spec.dims[:-1], metrics=(), derived=())
+
+    def run(spark, sf):
+        cache = CH.materialize(spark, sf, spec)
+        parts = [AU.audit_unique_grain(s, cache).select(F.lit(n).alias("dims"), "day", "rows") for n, s in (("all", spec.with_(derived=(), metrics=())), ("fewer", fewer))]
+        return parts[0].unionByName(parts[1])
+
+    return run
+
+
+VIEW_REQ = DataRequest(from_date=D(2024, 1, 2), to_date=D(2024, 1, 25), dimensions=["days_since_install"], metrics=["retained_users"])
+_VIEW_SQL = O.serve_sql(COH, DataRequest(from_date=D(2024, 1, 2), to_date=D(2024, 1, 25), x_axis="install_date",
+                                         dimensions=["days_since_install"], metrics=["retained_users"]))
+
+
+@register("chart_view", f"""WITH r AS ({_VIEW_SQL}),
+s AS (SELECT install_date AS x, CAST(days_since_install AS VARCHAR) AS combo, CAST(retained_users AS DOUBLE) AS value FROM r
+      WHERE install_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-25'),
+k AS (SELECT combo FROM s GROUP BY combo ORDER BY SUM(COALESCE(value, 0)) DESC, CAST(combo AS INTEGER) LIMIT 8),
+m AS (SELECT combo, x, AVG(value) OVER (PARTITION BY combo ORDER BY x ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value
+      FROM s WHERE combo IN (SELECT combo FROM k) AND combo <> '1'),
+rk AS (SELECT combo, CAST(ROW_NUMBER() OVER (ORDER BY CAST(combo AS INTEGER)) AS INTEGER) AS series_rank FROM (SELECT DISTINCT combo FROM m) d)
+SELECT 'retained_users' AS metric, m.combo, m.x, m.value, rk.series_rank FROM m JOIN rk USING (combo)""")
+def _chart_view(spark, sf):
+    """A chart's page on its saved axis: served, clamped, the largest 8 of its
+    series kept, one hidden, averaged and ranked; with an empty selection
+    nothing."""
+    cache = CH.materialize(spark, sf, COH)
+    shown, _ = CV.chart_view(COH, VIEW_REQ, cache, CV.ViewOptions(cap=8, hidden=("1",), moving_average=3))
+    nothing = DataRequest(from_date=D(2024, 1, 2), to_date=D(2024, 1, 25), dimensions=["days_since_install"], metrics=["retained_users"],
+                          filters={"days_since_install": []})
+    return shown.unionByName(CV.chart_view(COH, nothing, cache, CV.ViewOptions(cap=8))[0])
+
+
+for _spec in (A, SALES, OBM, COH):
+    _by = {n: ", ".join(["_day", *(d.col for d in dims)]) for n, dims in (("all", _spec.dims), ("fewer", _spec.dims[:-1]))}
+    register(f"dq_grain_{_spec.name}", " UNION ALL ".join(
+        f"SELECT '{n}' AS dims, _day AS day, COUNT(*) AS rows FROM ({O.cache_sql(_spec)}) b GROUP BY {by} HAVING COUNT(*) > 1"
+        for n, by in _by.items()))(_grain_audit(_spec))

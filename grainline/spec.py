@@ -102,6 +102,7 @@ class ChartSpec:
     default_date_range_days: int = 90
     default_end_offset_days: int = 2
     derived: tuple[DerivedDim, ...] = DEFAULT_DERIVED
+    refresh_interval: str = "daily"  # "daily" | "manual": whether the nightly run takes it
     # Opt-in: each output day depends only on that day's input, so consecutive
     # daily windows may be fetched as one range query instead of a union of days.
     day_separable: bool = False

@@ -1,4 +1,7 @@
-"""Serving semantics on the reference's fixtures (expected numbers are the reference's)."""
+"""Serving semantics on small fixtures.
+
+Fixed values: the fixture rows and the expected numbers.
+"""
 
 import datetime as dt
 
