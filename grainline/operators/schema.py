@@ -8,19 +8,19 @@ from pyspark.sql import types as T
 NUMERIC_DIMENSION_NAMES = {"game_id", "platform"}
 
 
+def _kind(field: T.StructField) -> str:
+    if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "time"
+    number = isinstance(field.dataType, T.NumericType) and field.name.lower() not in NUMERIC_DIMENSION_NAMES
+    return "metric" if number else "dimension"
+
+
 def classify_columns(schema: T.StructType) -> tuple[str | None, list[str], list[str]]:
-    """First date/timestamp column -> time; later ones and every non-numeric
-    column -> dimension; numeric columns -> metric unless an identifier name."""
-    time_col, dims, metrics = None, [], []
-    for f in schema.fields:
-        t = f.dataType
-        if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            if time_col is None:
-                time_col = f.name
-            else:
-                dims.append(f.name)
-        elif isinstance(t, T.NumericType) and f.name.lower() not in NUMERIC_DIMENSION_NAMES:
-            metrics.append(f.name)
-        else:
-            dims.append(f.name)
-    return time_col, dims, metrics
+    """The time column, dimensions and metrics of a schema: the first date or
+    timestamp is the time, numbers that are no identifiers are metrics, the rest
+    are dimensions."""
+    names: dict[str, list[str]] = {"time": [], "dimension": [], "metric": []}
+    for field in schema.fields:
+        kind = _kind(field)
+        names["dimension" if kind == "time" and names["time"] else kind].append(field.name)
+    return next(iter(names["time"]), None), names["dimension"], names["metric"]

@@ -1,5 +1,7 @@
-"""Number tiles and widgets (reference fixture numbers), series shaping,
-value lists and audits."""
+"""Number tiles and widgets, series shaping, value lists and audits.
+
+Fixed values: the fixture rows and expected numbers of the tiles and widgets.
+"""
 
 import datetime as dt
 
@@ -194,3 +196,44 @@ def test_export_csv(spark, tmp_path):
     back = spark.read.option("header", True).csv(path).orderBy("date").collect()
     assert [r["date"] for r in back] == ["2026-01-01", "2026-01-02"]
     assert back[1]["US · ios"] is None and back[0]["US · ios"] == "1.5"
+
+
+def test_filter_values_must_be_of_the_type(spark):
+    from grainline.operators.serve import _typed
+    from pyspark.sql import types as T
+
+    assert _typed(["true", "F", True, 0], T.BooleanType(), "b") == [True, False, True, False]
+    assert _typed(["2026-01-02", D(2026, 1, 2)], T.DateType(), "d") == [D(2026, 1, 2)] * 2
+    for value, dtype in (("banana", T.BooleanType()), ("2026-01-02 or later", T.DateType()), (1.5, T.LongType()), ("x", T.DoubleType())):
+        with pytest.raises(ValueError):
+            _typed([value], dtype, "d")
+
+
+def test_reconcile_compares_whole_numbers_exactly(spark):
+    big = 2**53
+    a = spark.createDataFrame([(1, big), (2, 5)], "k int, m bigint")
+    b = spark.createDataFrame([(1, big + 1), (2, 5)], "k int, m bigint")
+    assert [r["k"] for r in AU.reconcile(a, b, ["k"], ["m"]).collect()] == [1]
+
+
+def test_list_variables_are_quoted():
+    from grainline.sources.template import UnresolvedVariableError, bind_template
+
+    got = bind_template("n IN ({NAMES}) AND d = '{END_DATE}' {lower}", {"NAMES": ["O'Brien", "a\\b"]}, D(2026, 1, 1), D(2026, 1, 2))
+    assert got == "n IN ('O\\'Brien', 'a\\\\b') AND d = '2026-01-02' {lower}"
+    with pytest.raises(UnresolvedVariableError):
+        bind_template("{NOPE}", None, D(2026, 1, 1), D(2026, 1, 2))
+
+
+def test_widgets_name_only_what_the_chart_has():
+    from grainline import ChartSpec, Dim, Metric
+    from grainline.plans.dashboard import ChartWidget, check_widget
+
+    chart = ChartSpec("c", "", "day", dims=(Dim("a"), Dim("b")), metrics=(Metric("m", column="m"), Metric("n", column="n")))
+    columns = ["day", "a", "b", "m", "n"]
+    check_widget(chart, ChartWidget("w", chart, ("m",), group_by=("a",), x_axis="b"), columns)
+    check_widget(chart, ChartWidget("w", chart, ("m", "n"), x_axis="time"), columns, max_metrics=2)
+    for bad in (dict(metrics=("x",)), dict(metrics=("m", "m")), dict(metrics=()), dict(metrics=("m",), x_axis="z"),
+                dict(metrics=("m",), filters={"z": ["1"]}), dict(metrics=("m", "n"))):
+        with pytest.raises(ValueError):
+            check_widget(chart, ChartWidget("w", chart, **bad), columns, max_metrics=1 if bad.get("metrics") == ("m", "n") else 5)
