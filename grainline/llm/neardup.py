@@ -23,6 +23,8 @@ from grainline.llm.components import connected_components
 BANDS, ROWS = 42, 6
 #: Nodes of a bucket that are compared with its members, round by round.
 PIVOTS = (1, 4)
+#: An element is rare if at most so many of the nodes left hold it.
+RARE = 8
 BATCH_WORDS = 500_000
 STEP_ELEMENTS = 150_000
 GOLD = 0x9E3779B97F4A7C15
@@ -190,17 +192,21 @@ def _pivot_pairs(members: DataFrame, pivots: int, percent: int) -> tuple[DataFra
 def _remaining_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket across components that can still be similar.
 
-    Elements are ordered by how many of these nodes hold them, the rarest first.
-    A node's prefix is so long that similar sets share an element of their
+    Elements that few of these nodes hold come first, the rarest before others,
+    then the rest by hash. A node's prefix is so long that similar sets share an element of their
     prefixes; up to the last one shared there, the order is the same in both,
     so the shared elements and the shorter rest bound the intersection. The
     bound refutes pairs before they leave the join. Only members outside their
     bucket's largest component are paired with all the others.
     """
     nodes = members.select("node").distinct()
-    elements = sets.join(nodes, "node", "left_semi").select("node", F.explode("elements").alias("e"))
-    ordered = elements.join(elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")), "e").groupBy("node").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("c", "e"))), lambda x: x["e"]).alias("es"))
+    held = sets.join(nodes, "node", "left_semi")
+    elements = held.select("node", F.explode("elements").alias("e"))
+    rare = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
+    own = elements.join(rare, "e").groupBy("node").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("c", "e"))), lambda x: x["e"]).alias("own"))
+    first = F.coalesce("own", F.array().cast("array<long>"))
+    ordered = held.join(own, "node", "left").select("node", F.concat(first, F.array_except("elements", first)).alias("es"))
     length = F.expr(f"size(es) - ({percent} * size(es) + 99) div 100 + 1").cast("int")
     members = members.join(ordered.select("node", F.slice("es", F.lit(1), length).alias("p")), "node")
     largest = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
