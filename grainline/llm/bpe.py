@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
-CACHE_CHUNKS = 500_000
-#: Chunks of printable ASCII and Latin-1 letters are stable under NFC, and
-#: their pieces under the tokenizer's pattern are found without the library.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PLAIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+CACHE_PIECES = 500_000
+#: Texts of ASCII and Latin-1 letters without control characters are stable
+#: under NFC, and their pieces under the tokenizer's pattern are found without
+#: the library.
+PLAIN = re.compile("[ \t\n\r\f\v!-~À-ÖØ-öø-ÿ]*")
+PLAIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\f\va-zß-öø-ÿ0-9]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -58,7 +59,7 @@ class PairIndexBpe:
         self.last = [self.vocab.get(c + suffix, -1) for c in characters]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.word_of = {i: w for w, i in [*self.vocab.items(), *self.added.items()]}
-        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))).encode()) if self.added else None
+        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.width = max(self.word_of) + 1
         merges = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
         self.left, self.right, self.product = (
@@ -71,19 +72,29 @@ class PairIndexBpe:
         self.code_rank = np.argsort(code)
         self.codes = code[self.code_rank]
 
-    def symbols(self, piece: bytes) -> list[int]:
+    def symbols(self, piece: str) -> list[int]:
         """A piece's first symbols; bytes outside the vocabulary have none."""
-        out = [self.inner[b] for b in piece]
-        out[-1] = self.last[piece[-1]]
+        raw = piece.encode()
+        out = [self.inner[b] for b in raw]
+        out[-1] = self.last[raw[-1]]
         return out if min(out) >= 0 else [x for x in out if x >= 0]
 
-    def pieces(self, chunk: str) -> list[bytes]:
-        """A chunk's pieces as bytes."""
-        if self.plain and PLAIN.fullmatch(chunk):
-            low = chunk.lower()
-            return [low.encode()] if low.isalpha() else [p.encode() for p in PLAIN_PIECE.findall(low)]
-        cut = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))
-        return [bytes(self.byte_of[c] for c in p) for p, _ in cut if p]
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text without special tokens."""
+        if self.plain and PLAIN.fullmatch(text):
+            return PLAIN_PIECE.findall(text.lower())
+        cut = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return [bytes(self.byte_of[c] for c in p).decode() for p, _ in cut if p]
+
+    def split(self, text: str) -> list[str]:
+        """A text's special tokens and pieces."""
+        if self.special is None or not self.special.search(text):
+            return self.pieces(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [*self.pieces(text[at:m.start()]), m.group()]
+            at = m.end()
+        return out + self.pieces(text[at:])
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of symbols, -1 for none."""
@@ -147,60 +158,41 @@ class PairIndexBpe:
         ends = np.concatenate([[0], np.cumsum(alive)])
         return np.split(sym[alive], ends[begin[1:]]) if len(pieces) else []
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         return [ids.tolist() for ids in self.merge([self.symbols(p) for p in pieces])]
 
 
-def split_chunks(special: re.Pattern | None, text: bytes) -> list[bytes]:
-    """Special tokens, and what stands between ASCII white space: no
-    normalisation step and no piece of the tokenizer's pattern crosses it."""
-    if special is None or not special.search(text):
-        return text.split()
-    out, at = [], 0
-    for m in special.finditer(text):
-        out += [*text[at:m.start()].split(), m.group()]
-        at = m.end()
-    return out + text[at:].split()
-
-
 def _encoder(shipped, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of small objects, none of them in a cycle
         bpe = PairIndexBpe(shipped.value)
-        of_chunk: tuple[dict, dict] = {}, {}
-        of_piece: tuple[dict, dict] = {}, {}
-        fixed = {w.encode(): (pack("<I", i), w) for w, i in bpe.added.items()}
-
-        def learn(new: list[bytes]) -> None:
-            cut = [bpe.pieces(c.decode()) for c in new]
-            pieces = list(set(chain.from_iterable(cut)).difference(of_piece[0]))
-            for p, ids in zip(pieces, bpe.encode_pieces(pieces)):
-                of_piece[0][p] = pack("<%dI" % len(ids), *ids)
-                of_piece[1][p] = " ".join([bpe.word_of[i] for i in ids])
-            for c, ps in zip(new, cut):
-                of_chunk[0][c] = of_piece[0][ps[0]] if len(ps) == 1 else b"".join([of_piece[0][p] for p in ps])
-                of_chunk[1][c] = of_piece[1][ps[0]] if len(ps) == 1 else " ".join(filter(None, [of_piece[1][p] for p in ps]))
-
-        def flush(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-            cut = [split_chunks(bpe.special, t or b"") for t in texts]
-            if len(of_chunk[0]) > CACHE_CHUNKS:
-                for known in (*of_chunk, *of_piece):
-                    known.clear()
-            if not of_chunk[0]:
-                for w, (ids, word) in fixed.items():
-                    of_chunk[0][w], of_chunk[1][w] = ids, word
-            learn(list(set(chain.from_iterable(cut)).difference(of_chunk[0])))
-            packed = [b"".join(map(of_chunk[0].__getitem__, d)) for d in cut]
-            shown = [" ".join(filter(None, map(of_chunk[1].__getitem__, d))) for d in cut]
+        packed_of: dict[str, bytes] = {}
+        shown_of: dict[str, str] = {}
+
+        def learn(new: list[str]) -> None:
+            for p, ids in zip(new, bpe.encode_pieces(new)):
+                packed_of[p] = pack("<%dI" % len(ids), *ids)
+                shown_of[p] = " ".join([bpe.word_of[i] for i in ids])
+
+        def flush(rows: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+            cut = [bpe.split(t or "") for t in texts]
+            if len(packed_of) > CACHE_PIECES:
+                packed_of.clear()
+                shown_of.clear()
+            for word, i in bpe.added.items():
+                packed_of[word], shown_of[word] = pack("<I", i), word
+            learn(list(set(chain.from_iterable(cut)).difference(packed_of)))
+            packed = [b"".join(map(packed_of.__getitem__, d)) for d in cut]
+            shown = [" ".join(filter(None, map(shown_of.__getitem__, d))) for d in cut]
             columns = [*rows.columns, pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(shown, pa.string())]
             return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
             kept = batch.drop_columns("__text")
             at, held, texts = 0, 0, []
-            for i, t in enumerate(batch.column("__text").cast(pa.binary())):
+            for i, t in enumerate(batch.column("__text")):
                 texts.append(t.as_py())
-                held += len(texts[-1] or b"")
+                held += len(texts[-1] or "")
                 if held >= SLICE_BYTES or i == batch.num_rows - 1:
                     yield flush(kept.slice(at, i + 1 - at), texts)
                     at, held, texts = i + 1, 0, []

@@ -25,7 +25,7 @@ def odd_texts():
 
 def test_matches_the_library(spark, make, sample, library, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE_BYTES", 50_000)
-    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 2_000)  # forgets and learns again
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 2_000)  # forgets and learns again
     texts = [t for _, t in sample] + odd_texts()
     got = {r["doc_id"]: r for r in digests(encode(make(texts), FILE, ["doc_id"])).collect()}
     for i, t in enumerate(texts):
@@ -49,5 +49,5 @@ def test_overlapping_pairs_merge_from_the_left(library):
     with open(FILE, encoding="utf-8") as f:
         mine = PairIndexBpe(f.read())
     words = ["a" * n for n in range(1, 40)] + ["ab" * n for n in range(1, 20)] + ["haha" * 9 + "h"]
-    for w, ids in zip(words, mine.encode_pieces([w.encode() for w in words])):
+    for w, ids in zip(words, mine.encode_pieces(words)):
         assert ids == library.encode(w, add_special_tokens=False).ids
