@@ -28,7 +28,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     a fresh id, so a repeated run never reads an earlier run's rows."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/grainline-llm/{uuid.uuid4().hex}/{name}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
@@ -37,3 +37,15 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
+
+
+def least_hashes(df: DataFrame, key: str, k: int, rows: int) -> DataFrame:
+    """The ``k`` rows of least hash of ``key``, of about ``rows`` in all. Rows
+    that cannot be among them, but for the odds of four times as many, go before
+    the sort, so that partitions do not send ``k`` rows each to the driver. A
+    sample: it may be smaller where few keys are repeated very often."""
+    hashed = F.xxhash64(key)
+    share = 4 * k / max(1, rows)
+    if share < 1:
+        df = df.filter(hashed < F.lit(int(-(2**63) + 2**64 * share)))
+    return df.orderBy(hashed, *df.columns).limit(k)

@@ -18,13 +18,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainline.llm.common import written
+from grainline.llm.common import least_hashes, written
 
 STATES, ITERATIONS = 8, 3
 #: Bounds: words with a class of their own, classes of the other words, words of
 #: a block's dictionary, tokens of a batch.
 TOP_WORDS, TAIL_CLASSES = 2_000, 512
-BLOCK_WORDS, BATCH_TOKENS = 50_000, 600_000
+BLOCK_WORDS, BATCH_TOKENS = 200_000, 250_000
+#: A word has a class of its own only if some block's training texts hold it so often.
+TOP_TIMES = 4
+#: Stands for a word number that does not fit 16 bits.
+ESCAPE = 65_535
 #: The first guess comes from this many training texts of at most so many tokens.
 GUESS_TEXTS, GUESS_TOKENS, GUESS_ROUNDS = 1_000, 2_000, 12
 END = b""
@@ -42,11 +46,11 @@ def _tail_class(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w[-3:]) % TAIL_CLASSES for w in words), np.int32, len(words))
 
 
-BLOCK = ("block long, docs array<struct<doc_id:long,held_out:boolean,n:long>>, tokens binary, wide boolean, "
+BLOCK = ("block long, docs array<struct<doc_id:long,held_out:boolean,n:long>>, tokens binary, rare binary, "
          "hash array<long>, tail array<int>, tf array<long>")
 BLOCK_SCHEMA = pa.schema([
     ("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64())]))),
-    ("tokens", pa.binary()), ("wide", pa.bool_()), ("hash", pa.list_(pa.int64())), ("tail", pa.list_(pa.int32())), ("tf", pa.list_(pa.int64())),
+    ("tokens", pa.binary()), ("rare", pa.binary()), ("hash", pa.list_(pa.int64())), ("tail", pa.list_(pa.int32())), ("tf", pa.list_(pa.int64())),
 ])
 
 
@@ -61,23 +65,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal made
         made += 1
-        words, wide = list(number), len(number) > 65_536
-        tf = np.zeros(len(words), np.int64)
-        for d, p in zip(docs, parts):
-            if not d["held_out"]:
-                tf += np.bincount(p, minlength=len(words))
-        row = {"block": made, "docs": list(docs), "tokens": np.concatenate(parts).astype("<u4" if wide else "<u2").tobytes(), "wide": wide,
-               "hash": _word_hash(words), "tail": _tail_class(words), "tf": tf}
+        words, tokens = list(number), np.concatenate(parts)
+        train = [p for d, p in zip(docs, parts) if not d["held_out"]]
+        tf = np.bincount(np.concatenate([*train, tokens[:0]]), minlength=len(words))
+        columns = [
+            pa.array([made], pa.int64()), pa.array([docs], BLOCK_SCHEMA.field("docs").type),
+            pa.array([np.minimum(tokens, ESCAPE).astype("<u2").tobytes()], pa.binary()),
+            pa.array([tokens[tokens >= ESCAPE].astype("<u4").tobytes()], pa.binary()),
+            pa.array([_word_hash(words)], pa.list_(pa.int64())), pa.array([_tail_class(words)], pa.list_(pa.int32())), pa.array([tf], pa.list_(pa.int64())),
+        ]
         number.clear()
         docs.clear()
         parts.clear()
-        return pa.RecordBatch.from_pylist([row], BLOCK_SCHEMA)
+        return pa.RecordBatch.from_arrays(columns, schema=BLOCK_SCHEMA)
 
     for batch in batches:
         for d, held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text")):
             words = (text.as_py() or b"").lower().split()
             words.append(END)
-            parts.append(np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words)))
+            parts.append(np.fromiter([number.setdefault(w, len(number)) for w in words], np.int32, len(words)))
             docs.append({"doc_id": d, "held_out": held, "n": len(words)})
             if len(number) >= BLOCK_WORDS:
                 yield flush()
@@ -91,13 +97,13 @@ class Vocabulary:
 
     total: int
     distinct: int
-    top: dict[int, int]
+    top: int
     tail_total: np.ndarray
     tail_distinct: np.ndarray
 
     @property
     def classes(self) -> int:
-        return len(self.top) + TAIL_CLASSES
+        return self.top + TAIL_CLASSES
 
 
 CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
@@ -109,22 +115,18 @@ def _coder(shipped):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shipped.value
-        top_hash = np.array(sorted(v.top), np.int64)
-        top_class = np.array([v.top[h] for h in sorted(v.top)], np.int64)
+        tail_share = np.log10(0.5) - np.log10(v.tail_total + 0.5 * (v.tail_distinct + 1))
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda n: batch.column(n)[i]
-                hashes, tail = get("hash").values.to_numpy(), get("tail").values.to_numpy().astype(np.int64)
                 counts = get("counts").values
-                c = np.zeros(len(hashes), np.int64)
-                c[counts.field("pos").to_numpy()] = counts.field("c").to_numpy()
-                at = np.minimum(np.searchsorted(top_hash, hashes), max(0, len(top_hash) - 1))
-                is_top = top_hash[at] == hashes if len(top_hash) else np.zeros(len(hashes), bool)
-                cls = np.where(is_top, top_class[at] if len(top_hash) else 0, len(v.top) + tail)
-                share = (c + 0.5) / (v.tail_total[tail] + 0.5 * (v.tail_distinct[tail] + 1))
-                inside = np.where(is_top, 0.0, np.log10(share))
+                pos = counts.field("pos").to_numpy()
+                c, cls = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
+                c[pos], cls[pos] = counts.field("c").to_numpy(), counts.field("cls").to_numpy()
+                inside = np.where(cls < v.top, 0.0, np.log10(2 * c + 1) + tail_share[np.maximum(cls - v.top, 0)])
                 base = np.log10((c + 0.5) / (v.total + 0.5 * (v.distinct + 1)))
-                tokens = np.frombuffer(get("tokens").as_py(), "<u4" if get("wide").as_py() else "<u2")
+                tokens = np.frombuffer(get("tokens").as_py(), "<u2").astype(np.int64)
+                tokens[tokens == ESCAPE] = np.frombuffer(get("rare").as_py(), "<u4")
                 docs = get("docs").values
                 n = docs.field("n").to_numpy()
                 starts = np.cumsum(n) - n
@@ -243,7 +245,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for x in batch.column("classes"):
             held.append(_sequence(x))
             size += len(held[-1])
-            if size >= 8 * BATCH_TOKENS:
+            if size >= 16 * BATCH_TOKENS:
                 yield held
                 held, size = [], 0
     if held:
@@ -285,32 +287,35 @@ def _likelihood(shipped):
 
 
 def _vocabulary(blocks: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """Corpus counts of the words of each block, and their bounded summary."""
-    words = blocks.select("block", F.posexplode(F.arrays_zip("hash", "tail", "tf")).alias("pos", "w"))
-    words = words.select("block", "pos", "w.hash", "w.tail", "w.tf")
+    """Corpus count and class of each block's words, and their bounded summary."""
+    spark = blocks.sparkSession
+    zipped = F.arrays_zip("hash", "tail", "tf")
+    often = blocks.select(F.explode(F.filter(zipped, lambda w: w["tf"] >= TOP_TIMES)).alias("w")).groupBy("w.hash").agg(F.sum("w.tf").alias("c"))
+    best = [(r["hash"],) for r in often.orderBy(F.desc("c"), "hash").limit(TOP_WORDS).collect()]
+    top = spark.createDataFrame([(h, i) for i, (h,) in enumerate(best)], "hash long, own int")
+    words = blocks.select("block", F.posexplode(zipped).alias("pos", "w")).select("block", "pos", "w.hash", "w.tail", "w.tf")
     # a word has one row a block, however often it stands there
     same = Window.partitionBy("hash")
     once = F.row_number().over(same.orderBy("block")) == 1
     words = words.withColumn("c", F.sum("tf").over(same)).withColumn("once", once)
-    words = written(words.select("block", "pos", "c", "tail", F.when(F.col("once"), F.col("hash")).alias("hash")), "words")
-    types = words.filter("hash IS NOT NULL AND c > 0")
-    best = types.orderBy(F.desc("c"), "hash").limit(TOP_WORDS).collect()
-    top = {r["hash"]: i for i, r in enumerate(best)}
+    words = words.join(F.broadcast(top), "hash", "left")  # TOP_WORDS rows
+    cls = F.coalesce("own", F.col("tail") + len(best)).cast("int")
+    words = written(words.select("block", "pos", "c", cls.alias("cls"), "once"), "words")
     tail_total, tail_distinct = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
-    for r in types.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
-        tail_total[r["tail"]], tail_distinct[r["tail"]] = r["c"], r["n"]
-    total, distinct = int(tail_total.sum()), int(tail_distinct.sum())
-    for r in best:
-        tail_total[r["tail"]] -= r["c"]
-        tail_distinct[r["tail"]] -= 1
-    return Vocabulary(total, distinct, top, tail_total, tail_distinct), words
+    total = distinct = 0
+    for r in words.filter("once AND c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        total, distinct = total + r["c"], distinct + r["n"]
+        if r["cls"] >= len(best):
+            tail_total[r["cls"] - len(best)], tail_distinct[r["cls"] - len(best)] = r["c"], r["n"]
+    return Vocabulary(total, distinct, len(best), tail_total, tail_distinct), words.drop("once")
 
 
 def _first_guess(coded: DataFrame, classes: int, states: int) -> Hmm:
     """A model of a bounded sample of training texts, where Baum-Welch over the
     whole corpus begins."""
-    some = coded.filter(f"NOT held_out AND n_tokens <= {GUESS_TOKENS}").orderBy(F.xxhash64("doc_id"), "doc_id", "classes")
-    sample = [np.frombuffer(bytes(r["classes"]), "<u2") for r in some.select("classes", "doc_id").limit(GUESS_TEXTS).collect()]
+    some = coded.filter(f"NOT held_out AND n_tokens <= {GUESS_TOKENS}").select("doc_id", "classes")
+    some = least_hashes(some, "doc_id", GUESS_TEXTS, some.count())
+    sample = [np.frombuffer(bytes(r["classes"]), "<u2") for r in some.collect()]
     counts = np.zeros(classes)
     for s in sample:
         counts += np.bincount(s, minlength=classes)
@@ -358,8 +363,8 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = STATES, ite
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out.alias("held_out"), docs["text"].cast("binary").alias("text"))
     blocks = written(rows.mapInArrow(_blocks, BLOCK), "blocks")
     vocabulary, words = _vocabulary(blocks)
-    counts = words.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("counts"))
-    coded = blocks.drop("tf").join(counts, "block").mapInArrow(_coder(sc.broadcast(vocabulary)), CODED)
+    counts = words.groupBy("block").agg(F.collect_list(F.struct("pos", "c", "cls")).alias("counts"))
+    coded = blocks.select("block", "docs", "tokens", "rare").join(counts, "block").mapInArrow(_coder(sc.broadcast(vocabulary)), CODED)
     coded = written(coded, "coded")
     model = baum_welch(coded, vocabulary.classes, states, iterations)
     scored = coded.mapInArrow(
