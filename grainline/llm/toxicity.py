@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainline.llm.common import written
+from grainline.llm.common import least_hashes, written
 from grainline.llm.decontam import words_of
 
 #: Terms that may stand for one another in a sentence, by group.
@@ -167,8 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, per_class: i
     marked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label"))
     marked = marked.filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(remainder(F.col("doc_id")) != 0)
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
-    least = lambda v: marked.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    sample = least(0).unionByName(least(1))
+    there = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    least = [least_hashes(marked.filter(F.col("label") == v), "doc_id", per_class, there.get(v, 0)) for v in (0, 1)]
+    sample = least[0].unionByName(least[1])
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
     rows = rows.filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("label", "text")
     table = written(rows.mapInArrow(_featurise(groups), "label int, own array<int>, turned array<int>"), "sample")
