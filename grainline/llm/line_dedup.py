@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from grainline.llm.common import written
 
-#: A run counts if it has MIN_LINES lines, or holds a line of MIN_WORDS words.
-MIN_LINES, MIN_WORDS = 2, 20
+#: A run counts if it has MIN_LINES lines, or holds a line of MIN_CHARS characters.
+MIN_LINES, MIN_CHARS = 2, 120
 #: Blank lines belong to the line before them.
 LINE_BREAK = r"\n(?=[ \t\r]*[^ \t\r\n])"
 BLANKS = " \t\r\n"
@@ -40,17 +40,15 @@ def _long_bytes(c: Column) -> Column:
     return F.unhex(F.lpad(F.hex(c), 16, "0"))
 
 
-def _positions(docs: DataFrame, min_words: int) -> DataFrame:
+def _positions(docs: DataFrame, min_chars: int) -> DataFrame:
     """Lines that occur more than once: document key (d, t), place in the
     document (seq), lines of the document (n), id (h), whether it is long."""
-    trimmed = lambda x: F.btrim(x, F.lit(BLANKS))
     lines = docs.select(
-        F.col("__d").alias("d"), F.col("__t").alias("t"), F.size("__lines").alias("n"),
-        F.posexplode(F.transform("__lines", trimmed)).alias("seq", "line"),
-    ).filter("line != ''")
+        F.col("__d").alias("d"), F.col("__t").alias("t"), F.size("__lines").alias("n"), F.posexplode("__lines").alias("seq", "line"))
+    lines = lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).filter("line != ''")
     lines = lines.select(
         "d", "t", "n", "seq", F.unhex(F.md5(F.col("line").cast("binary"))).alias("h"),
-        (F.regexp_count("line", F.lit(r"[^ \t\r\n]+")) >= min_words).alias("long"))
+        (F.char_length("line") >= min_chars).alias("long"))
     lines = written(lines, "lines")
     often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     return lines.join(often, "h", "left_semi").dropDuplicates(["d", "t", "seq"])
@@ -99,12 +97,12 @@ def _doubled(ranks: DataFrame, step: int) -> DataFrame:
     return written(moved.unionByName(still), "ranks")
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """Maximal runs (d, t, start, end) of lines that are later copies; ``docs``
     has the document key and ``__lines``."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
-    lines = written(_positions(docs, min_words), "repeated")
+    lines = written(_positions(docs, min_chars), "repeated")
     start = lines.select("d", "t", "seq", "n", "h", F.lit(0).cast("long").alias("off"), "long")
     found = [_later(start, 1, F.lit(min_lines <= 1) | F.col("long"))]
     ranks = start.withColumn("live", F.lit(True)).drop("long")
@@ -125,7 +123,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     return runs.groupBy("d", "t", "run").agg(F.min("seq").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs``, the text without its repeated line runs, and
     n_lines, n_removed, n_runs, removed (the runs as line numbers from 0, ``end``
     exclusive).
@@ -133,14 +131,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     Lines are equal if they are without white space at their ends. Of lines that
     repeat, the copy in the smallest doc_id (then by a hash of the text, then by
     line) stays. A run is a copy if it has ``min_lines`` (a power of two) lines
-    or a line of ``min_words`` words. Blank lines are no lines of their own and
+    or a line of ``min_chars`` characters. Blank lines are no lines of their own and
     go with the line before. Null texts stay null with no lines; empty texts
     have one, blank; rows that repeat id and text are one document and all get
     its result; a null doc_id counts as the smallest; an empty table gives no
     rows. Columns whose names clash with the outputs are replaced.
     """
     keyed = _place(docs.drop("n_lines", "n_removed", "n_runs", "removed"), doc, text).withColumn("__lines", lines_of(F.col(text)))
-    runs = repeated_runs(keyed.select("__d", "__t", "__lines").filter("__lines IS NOT NULL"), min_lines, min_words)
+    runs = repeated_runs(keyed.select("__d", "__t", "__lines").filter("__lines IS NOT NULL"), min_lines, min_chars)
     per_doc = runs.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
     out = keyed.join(per_doc, ["__d", "__t"], "left")

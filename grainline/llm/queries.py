@@ -62,6 +62,76 @@ def op10_bpe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op6_bwt_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": r"""
+        WITH RECURSIVE own AS (
+            SELECT page_id, url, html,
+                coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                CASE WHEN contains(url, '://') THEN
+                regexp_replace(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)$', '')
+                || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/')
+                || coalesce('?' || nullif(regexp_replace(array_to_string(list_filter(
+                    string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+                    lambda q: NOT regexp_full_match(q, '(utm_[^=&#]*|gclid|fbclid|ref)(=.*)?')), '&'), '^&+', ''), ''), '') END AS key
+            FROM pages
+        ), rules(verdict, rhost, rpath) AS (
+            VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                   ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+        ), tags AS (
+            SELECT url, key, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
+                '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+            FROM own WHERE key IS NOT NULL
+        ), attrs AS (
+            SELECT url, key, regexp_replace(regexp_replace(regexp_extract(tag, '(?is)\srel\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'), '(?s)^[^=]*=\s*', ''), '^["'']|["'']$', '', 'g') AS rel, regexp_replace(regexp_replace(regexp_extract(tag, '(?is)\shref\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'), '(?s)^[^=]*=\s*', ''), '^["'']|["'']$', '', 'g') AS href, regexp_replace(regexp_replace(regexp_extract(tag, '(?is)\shttp-equiv\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'), '(?s)^[^=]*=\s*', ''), '^["'']|["'']$', '', 'g') AS eq, regexp_replace(regexp_replace(regexp_extract(tag, '(?is)\scontent\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'), '(?s)^[^=]*=\s*', ''), '^["'']|["'']$', '', 'g') AS content FROM tags
+        ), refs AS (
+            SELECT url, key, replace(trim(ref), '&amp;', '&') AS ref, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme,
+                   regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) AS folder
+            FROM (SELECT url, key, href AS ref FROM attrs WHERE regexp_matches(rel, '(?i)(^|\s)canonical(\s|$)')
+                  UNION ALL
+                  SELECT url, key, regexp_extract(content, '(?is)url\s*=\s*["'']?([^"'']*)', 1) FROM attrs WHERE regexp_matches(eq, '(?i)^\s*refresh\s*$')) r
+        ), targets AS (
+            SELECT DISTINCT key AS u, CASE
+                WHEN ref = '' THEN NULL
+                WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN ref
+                WHEN starts_with(ref, '//') THEN scheme || ':' || ref
+                WHEN starts_with(ref, '/') THEN root || ref
+                WHEN starts_with(ref, '#') OR regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                ELSE root || coalesce(nullif(folder, ''), '/') || ref END AS target
+            FROM refs
+        ), links AS (
+            SELECT u, target, CASE WHEN contains(target, '://') THEN
+                regexp_replace(translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)$', '')
+                || coalesce(nullif(regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/')
+                || coalesce('?' || nullif(regexp_replace(array_to_string(list_filter(
+                    string_split(regexp_extract(target, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+                    lambda q: NOT regexp_full_match(q, '(utm_[^=&#]*|gclid|fbclid|ref)(=.*)?')), '&'), '^&+', ''), ''), '') END AS v FROM targets WHERE target IS NOT NULL
+        ), both_ways AS (
+            SELECT u, v FROM links WHERE v IS NOT NULL UNION SELECT v, u FROM links WHERE v IS NOT NULL
+        ), reach(a, b) AS (
+            SELECT u, u FROM both_ways UNION SELECT r.a, e.v FROM reach r JOIN both_ways e ON r.b = e.u
+        ), label AS (
+            SELECT a AS key, min(b) AS component FROM reach GROUP BY a
+        ), urls AS (
+            SELECT key, host, path FROM own
+            UNION ALL
+            SELECT v, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1) FROM links
+        ), matched AS (
+            SELECT DISTINCT u.key, u.host, u.path, r.rhost || r.rpath AS rule, r.verdict
+            FROM urls u JOIN rules r ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AND starts_with(u.path, r.rpath)
+            QUALIFY row_number() OVER (PARTITION BY u.key, u.host, u.path ORDER BY length(rule) DESC) = 1
+        ), groups AS (
+            SELECT coalesce(l.component, m.key) AS grp, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS blocked
+            FROM matched m LEFT JOIN label l ON l.key = m.key WHERE m.key IS NOT NULL GROUP BY 1
+        )
+        SELECT o.page_id, o.host, o.path, m.rule,
+               coalesce(m.verdict, CASE WHEN g.blocked THEN 'block' ELSE 'allow' END) AS verdict,
+               m.rule IS NULL AND coalesce(g.blocked, FALSE) AS by_alias
+        FROM own o
+        LEFT JOIN matched m ON m.key IS NOT DISTINCT FROM o.key AND m.host = o.host AND m.path = o.path
+        LEFT JOIN label l ON l.key = o.key
+        LEFT JOIN groups g ON g.grp = coalesce(l.component, o.key)
+    """,
     "op5_line_dedup": r"""
         WITH docs AS (
             SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE
@@ -75,7 +145,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM lines
         ), marks AS (
             SELECT *,
-                   line <> '' AND len(regexp_extract_all(line, '[^ \t\r\n]+')) >= 20
+                   line <> '' AND length(line) >= 120
                    AND row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) > 1 AS one,
                    line <> '' AND line2 IS NOT NULL
                    AND row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, seq) > 1 AS two
