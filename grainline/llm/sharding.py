@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from grainline.llm.common import ceil_div
 
 PREFIX_BYTES = 6
-ROWS_PER_RUN = 100_000
+ROWS_PER_RUN = 5_000
 
 
 def hilbert_index(point: list[int], bits: int) -> int:
