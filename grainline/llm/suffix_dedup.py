@@ -276,8 +276,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Dat
     distinct = found.groupBy("m", "s").agg(
         F.count(F.lit(1)).alias("copies"), F.max("inner").alias("inner"), F.max("n").alias("n"),
         F.min(F.struct("d", "t", "start")).alias("where"))
+    # kinds counts ``where``, so that both uses of ``distinct`` read the same columns and share its shuffle
     hashes = distinct.groupBy("m").agg(
-        F.sum("copies").alias("places"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + (length - 1)).alias("size"), F.max("inner").alias("any_inner"))
+        F.sum("copies").alias("places"), F.count("where").alias("kinds"), F.sum(F.col("n") + (length - 1)).alias("size"), F.max("inner").alias("any_inner"))
     hashes = hashes.filter("places > 1 OR any_inner")
     shared = written(distinct.join(hashes.drop("any_inner"), "m"), "shared")
 
