@@ -24,7 +24,7 @@ BANDS, ROWS = 42, 6
 #: Nodes of a bucket that are compared with its members, round by round.
 PIVOTS = (1, 4)
 #: An element is rare if at most so many of the nodes left hold it.
-RARE = 8
+RARE = 64
 BATCH_WORDS = 500_000
 STEP_ELEMENTS = 150_000
 GOLD = 0x9E3779B97F4A7C15
