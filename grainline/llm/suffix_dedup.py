@@ -11,6 +11,8 @@ time: the order of the suffixes one symbol further left follows from the present
 order by dealing it out stably by that symbol, without comparing suffixes again.
 Neighbours keep a common prefix of that depth while both symbol and source block
 agree. After depth LENGTH the blocks of two and more are the repeated intervals.
+Where the different segments of one hash are too many for a bin, their windows
+are counted by hashes of the whole window instead.
 """
 
 from __future__ import annotations
@@ -186,12 +188,11 @@ def _segment_batch(columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["d", "t", "m", "s", "start", "n", "inner"])
 
 
-FETCHED = "m long, s long, at int, m2 long, piece binary"
+FETCHED = "m long, s long, large boolean, once boolean, piece binary"
 
 
-def _fetch(length: int, key: int):
-    """The bytes of chosen segments; those of large groups are cut once more, by
-    an independent hash, and meet in smaller groups."""
+def _fetch(length: int):
+    """The bytes of chosen segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,28 +200,77 @@ def _fetch(length: int, key: int):
             for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist()):
                 raw = text.as_py()
                 for w in wanted:
-                    piece = raw[w["start"]:w["start"] + w["n"] + length - 1]
-                    if not w["large"]:
-                        out.append((w["m"], w["s"], 0, 0, piece))
-                        continue
-                    m2, start, n, _ = segments(piece, length, key, seed=1)
-                    for h, a, k in zip(m2.view(np.int64).tolist(), start.tolist(), n.tolist()):
-                        out.append((w["m"], w["s"], a, h, piece[a:a + k + length - 1]))
+                    out.append((w["m"], w["s"], w["large"], w["once"], raw[w["start"]:w["start"] + w["n"] + length - 1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
-                ["m", "s", "at", "m2", "piece"])
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))],
+                ["m", "s", "large", "once", "piece"])
 
     return run
 
 
+WINDOWS = "m long, s long, once boolean, at int, w long, v long"
+
+
+def _windows(length: int):
+    """Place and 128-bit hash of every window of the segments."""
+
+    def hashed(held: list[tuple]) -> pa.RecordBatch:
+        m, s, once, pieces = zip(*held)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        n = sizes - (length - 1)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = at + np.repeat(np.cumsum(sizes) - sizes, n)
+        own = [np.repeat(np.array(x), n) for x in (m, s, once)]
+        hashes = [gram_hashes(data, length, seed)[place].view(np.int64) for seed in (1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, at.astype(np.int32), *hashes)], ["m", "s", "once", "at", "w", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for m, s, once, piece in zip(*(batch.column(c).to_pylist() for c in ("m", "s", "once")), batch.column("piece")):
+                held.append((m, s, once, piece.as_py()))
+                size += len(held[-1][3])
+                if size >= SHARD_BYTES:
+                    yield hashed(held)
+                    held, size = [], 0
+        if held:
+            yield hashed(held)
+
+    return run
+
+
+def _places_to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs = []
+        for places in batch.column("places"):
+            at = np.unique(places.values.to_numpy())
+            first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+            last = np.concatenate([first[1:], [len(at)]]) - 1
+            runs.append([{"a": a, "b": b + 1} for a, b in zip(at[first].tolist(), at[last].tolist())])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("m"), batch.column("s"), pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["m", "s", "runs"])
+
+
+def counted_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """The repeated windows (m, s, runs) of segments that stand once, by counting
+    all windows: only equal windows meet, and their counts are combined before
+    they are shuffled. Rows that repeat a document bring its segments again; those
+    do not stand once, and a window of theirs that does is in no other segment."""
+    windows = pieces.select("m", "s", "once", "piece").mapInArrow(_windows(length), WINDOWS)
+    often = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w", "v")
+    hits = windows.filter("once").join(written(often, "often"), ["w", "v"], "left_semi")
+    return hits.groupBy("m", "s").agg(F.collect_list("at").alias("places")).mapInArrow(_places_to_runs, RUNS)
+
+
+RUNS = "m long, s long, runs array<struct<a:int,b:int>>"
+
+
 def _merge_bin(length: int):
     def run(table: pa.Table) -> pa.Table:
         # rows that repeat a document bring its pieces again
-        pieces = dict(zip(zip(*(table.column(c).to_pylist() for c in ("m", "s", "at"))), table.column("piece").to_pylist()))
-        rows = [
-            (m, s, [{"a": r["a"] + at, "b": r["b"] + at} for r in _runs(mask)])
-            for (m, s, at), mask in zip(pieces, repeated_windows(list(pieces.values()), length)) if mask.any()
-        ]
+        pieces = dict(zip(zip(*(table.column(c).to_pylist() for c in ("m", "s"))), table.column("piece").to_pylist()))
+        rows = [(m, s, _runs(mask)) for (m, s), mask in zip(pieces, repeated_windows(list(pieces.values()), length)) if mask.any()]
         return pa.table({
             "m": pa.array([r[0] for r in rows], pa.int64()), "s": pa.array([r[1] for r in rows], pa.int64()),
             "runs": pa.array([r[2] for r in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
@@ -264,8 +314,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Dat
     empty table gives no rows; other columns are not read.
 
     ``length`` less FIRST must be a multiple of STEP. Copies of a segment are
-    counted before they are shuffled and stand for one in their bin; a group of
-    very many different segments is cut by a second hash.
+    counted before they are shuffled and stand for one in their bin; in a group
+    of more than GROUP_BYTES of different segments windows are counted one by
+    one, by 128-bit hashes, and do not meet in a bin.
     """
     if (length - FIRST) % STEP or key >= length:
         raise ValueError("length less FIRST must be a multiple of STEP, and key less than length")
@@ -283,14 +334,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Dat
     shared = written(distinct.join(hashes.drop("any_inner"), "m"), "shared")
 
     compare = shared.filter("kinds > 1 OR inner")
-    total = compare.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
-    wanted = compare.select(
-        "where.d", "where.t", F.struct("where.start", "n", "m", "s", (F.col("size") > GROUP_BYTES).alias("large")).alias("w"))
+    large = F.col("size") > GROUP_BYTES
+    total, any_large = compare.agg(F.sum(F.when(~large, F.col("n") + (length - 1))), F.max(large)).first()
+    wanted = compare.select("where.d", "where.t", F.struct(
+        "where.start", "n", "m", "s", large.alias("large"), (F.col("copies") == 1).alias("once")).alias("w"))
     wanted = wanted.groupBy("d", "t").agg(F.collect_list("w").alias("wanted"))
-    pieces = texts.select("d", "t", "text").join(wanted, ["d", "t"]).select("text", "wanted").mapInArrow(_fetch(length, key), FETCHED)
-    bins = max(1, ceil_div(total, BIN_BYTES))
-    merged = pieces.withColumn("bin", F.pmod(F.xxhash64("m", "m2"), F.lit(bins)))
-    merged = merged.groupBy("bin").applyInArrow(_merge_bin(length), "m long, s long, runs array<struct<a:int,b:int>>")
+    pieces = texts.select("d", "t", "text").join(wanted, ["d", "t"]).select("text", "wanted").mapInArrow(_fetch(length), FETCHED)
+    if any_large:
+        pieces = written(pieces, "pieces")
+    bins = max(1, ceil_div(total or 0, BIN_BYTES))
+    merged = pieces.filter("NOT large").select("m", "s", "piece", F.pmod(F.xxhash64("m"), F.lit(bins)).alias("bin"))
+    merged = merged.groupBy("bin").applyInArrow(_merge_bin(length), RUNS)
+    if any_large:
+        merged = merged.unionByName(counted_windows(pieces.filter("large"), length))
     whole = shared.filter("copies > 1").select("m", "s", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("runs"))
     once = shared.filter("copies = 1").select("m", "s")
     runs = written(whole.unionByName(merged.join(once, ["m", "s"], "left_semi")), "runs")

@@ -71,3 +71,26 @@ def test_merge_against_counting():
     count = Counter(s[i:i + 200] for s in strings for i in range(len(s) - 199))
     for s, mask in zip(strings, repeated_windows(strings)):
         assert mask.tolist() == [count[s[i:i + 200]] > 1 for i in range(len(s) - 199)]
+
+
+def test_a_common_passage_shorter_than_a_window_meets_in_no_bin(make, monkeypatch):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage, longer = noise(190), noise(230)
+    rows = [(i, noise(150) + passage + noise(150)) for i in range(150)]
+    rows += [(200 + i, noise(150) + longer + noise(150)) for i in range(60)] + [(300, rows[0][1]), (300, rows[0][1])]
+    bound, merge_bin = 3_000, suffix_dedup._merge_bin
+
+    def bounded(length):
+        run = merge_bin(length)
+
+        def checked(table):
+            size = sum(map(len, table.column("piece").to_pylist()))
+            assert size <= 2 * bound, f"{size} bytes meet in a bin"
+            return run(table)
+
+        return checked
+
+    for name, value in (("_merge_bin", bounded), ("GROUP_BYTES", bound), ("BIN_BYTES", 100)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert run(make(rows)) == brute(rows)
