@@ -19,15 +19,75 @@ from pyspark.sql import functions as F
 from grainline.llm.common import least_hashes, written
 from grainline.llm.decontam import words_of
 
-#: Terms that may stand for one another in a sentence, by group.
-IDENTITY_GROUPS = (
-    ("women", "men"), ("woman", "man"), ("female", "male"), ("girls", "boys"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "arab"),
-    ("gay", "lesbian", "straight", "bisexual", "transgender"),
-    ("immigrants", "refugees", "natives"), ("deaf", "blind", "disabled"), ("young", "old"),
-)
+
+
+def _endings(stems: tuple[str, ...], *endings: str) -> tuple[tuple[str, ...], ...]:
+    return tuple(tuple(w + e for w in stems) for e in endings)
+
+
+_DE = ("", "e", "en", "er", "es", "em")
+_ES = ("o", "a", "os", "as")
+#: Terms that may stand for one another in a sentence, by language and group.
+#: Forms of one term are divided by "/"; a form turns into the next term's form
+#: at the same place, or its last one.
+IDENTITY_GROUPS = {
+    "en": (
+        ("women", "men"), ("woman", "man"), ("female", "male"), ("girls", "boys"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "arab"),
+        ("gay", "lesbian", "straight", "bisexual", "transgender"),
+        ("immigrants", "refugees", "natives"), ("deaf", "blind", "disabled"), ("young", "old"),
+    ),
+    "de": (
+        ("frau", "mann/mannes"), ("frauen", "männer/männern"), *_endings(("weiblich", "männlich"), *_DE),
+        ("mädchen/mädchens", "junge/jungen"),
+        ("muslim/muslims", "christ", "jude", "hindu", "buddhist", "atheist"), ("muslimin", "christin", "jüdin", "buddhistin", "atheistin"),
+        ("muslime/muslimen", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+        ("musliminnen", "christinnen", "jüdinnen", "buddhistinnen", "atheistinnen"),
+        *_endings(("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"), *_DE),
+        *_endings(("schwarz", "weiß", "asiatisch", "arabisch"), *_DE), ("araber/arabern", "asiaten", "latinos"),
+        *_endings(("schwul", "lesbisch", "heterosexuell", "homosexuell", "bisexuell", "transsexuell"), *_DE), ("lesben", "heteros"),
+        ("migranten", "einwanderer/einwanderern", "flüchtlinge/flüchtlingen", "einheimische/einheimischen"),
+        ("migrant", "flüchtling/flüchtlings", "einheimischer"), ("migrantinnen", "einwanderinnen"), ("migrantin", "einwanderin"),
+        *_endings(("taub", "blind", "behindert", "gehörlos"), *_DE), *_endings(("jung", "alt"), "", "er", "es", "em"),
+    ),
+    "fr": (
+        ("femme", "homme"), ("femmes", "hommes"), ("fille", "garçon"), ("filles", "garçons"), ("femelle", "mâle"), ("femelles", "mâles"),
+        *_endings(("féminin", "masculin"), "", "e", "s", "es"),
+        ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"), ("musulmane", "chrétienne", "juive", "hindoue", "bouddhiste", "athée"),
+        ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+        ("musulmanes", "chrétiennes", "juives", "hindoues", "bouddhistes", "athées"),
+        ("noir", "blanc", "asiatique", "latino", "arabe"), ("noire", "blanche", "asiatique", "latina", "arabe"),
+        ("noirs", "blancs", "asiatiques", "latinos", "arabes"), ("noires", "blanches", "asiatiques", "latinas", "arabes"),
+        ("gay", "lesbienne", "transgenre"), ("gays", "lesbiennes", "transgenres"),
+        *((f"homosexuel{e}", f"hétérosexuel{e}", f"bisexuel{e}", f"transsexuel{e}") for e in ("", "le", "s", "les")),
+        *_endings(("immigré", "réfugié", "natif"), "", "s"), ("immigrée", "réfugiée", "native"), ("immigrées", "réfugiées", "natives"),
+        ("immigrant", "migrant", "autochtone"), ("immigrants", "migrants", "autochtones"), ("immigrante", "migrante"), ("immigrantes", "migrantes"),
+        ("sourd", "aveugle", "handicapé"), ("sourde", "aveugle", "handicapée"),
+        ("sourds", "aveugles", "handicapés"), ("sourdes", "aveugles", "handicapées"),
+        ("jeune", "vieux/vieil/vieille"), ("jeunes", "vieux/vieilles"),
+    ),
+    "es": (
+        ("mujer", "hombre"), ("mujeres", "hombres"), ("hembra", "varón"), ("hembras", "varones"),
+        *((f"femenin{e}", f"masculin{e}") for e in _ES), ("niña", "niño"), ("niñas", "niños"), ("chica", "chico"), ("chicas", "chicos"),
+        ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"), ("musulmana", "cristiana", "judía", "hindú", "budista", "atea"),
+        ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("musulmanas", "cristianas", "judías", "hindúes", "budistas", "ateas"),
+        ("negro", "blanco", "asiático", "latino", "árabe"), ("negra", "blanca", "asiática", "latina", "árabe"),
+        ("negros", "blancos", "asiáticos", "latinos", "árabes"), ("negras", "blancas", "asiáticas", "latinas", "árabes"),
+        ("gay", "lesbiana", "heterosexual", "homosexual", "bisexual", "transexual"),
+        ("gais/gays", "lesbianas", "heterosexuales", "homosexuales", "bisexuales", "transexuales"),
+        *((f"refugiad{e}", f"nativ{e}", f"extranjer{e}") for e in _ES), ("inmigrante", "migrante"), ("inmigrantes", "migrantes"),
+        *((f"sord{e}", f"cieg{e}", f"discapacitad{e}") for e in _ES), ("joven", "viejo/vieja"), ("jóvenes", "viejos/viejas"),
+    ),
+}
+#: Words by which a text's language is told: what is a term in one may be any word in another.
+FUNCTION_WORDS = {
+    "en": "the of and to is that it was for with this are by be not",
+    "de": "der die das und den von zu mit sich nicht auf ist dem ein eine sind",
+    "fr": "le les et du une pour est qui dans pas sur avec ce sont ne",
+    "es": "el los las y del con por una para se su no lo son como",
+}
 PREFIXES = (4, 5, 6)
 #: Bounds of the fitting sample (labelled rows of each class) and of the model.
 PER_CLASS = 10_000
@@ -46,17 +106,41 @@ def features_of(words: set[bytes]) -> set[int]:
     return {f for w in words for f in word_features(w)}
 
 
-def swapped(words: set[bytes], groups=IDENTITY_GROUPS) -> set[bytes] | None:
-    """The words with each identity term replaced by the next of its group;
-    None if there is no such term."""
-    turn = {a.encode(): b.encode() for g in groups for a, b in zip(g, [*g[1:], g[0]])}
-    return {turn.get(w, w) for w in words} if not words.isdisjoint(turn) else None
+def turns(groups) -> list[tuple[frozenset, dict]]:
+    """The function words of each language, and what each of its terms turns into."""
+    out = []
+    for language, own in groups.items():
+        turn: dict[bytes, bytes] = {}
+        for group in own:
+            forms = [term.split("/") for term in group]
+            for here, there in zip(forms, [*forms[1:], forms[0]]):
+                for i, form in enumerate(here):
+                    to = there[min(i, len(there) - 1)].encode()
+                    turn.setdefault(form.encode(), to)
+                    turn.setdefault((form[0].upper() + form[1:]).encode(), to)  # texts are folded in ASCII only
+        out.append((frozenset(FUNCTION_WORDS.get(language, "").encode().split()), turn))
+    return out
+
+
+TURNS = turns(IDENTITY_GROUPS)
+
+
+def swapped(words: set[bytes], by=TURNS) -> set[bytes] | None:
+    """The words with each identity term replaced by the next of its group, in
+    the language whose function words the text holds most (of equals, the first
+    with a term in the text); None if there is no such term."""
+    held = [len(words & known) for known, _ in by]
+    for n, (_, turn) in zip(held, by):
+        if n == max(held) and not words.isdisjoint(turn):
+            return {turn.get(w, w) for w in words}
+    return None
 
 
 @dataclass
 class Model:
     bias: float = 0.0
     weights: dict[int, float] = field(default_factory=dict)
+    pairs: int = 0  # counterfactual pairs of the fit
 
     def score(self, active: set[int]) -> float:
         z = self.bias + sum(self.weights[f] for f in active)
@@ -113,13 +197,13 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def _featurise(groups):
+def _featurise(by):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text")):
                 words = set(words_of(text.as_py()))
-                turned = swapped(words, groups)
+                turned = swapped(words, by)
                 own = features_of(words)
                 out.append((label, sorted(own), None if turned is None else sorted(features_of(turned))))
             yield pa.RecordBatch.from_arrays([
@@ -161,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, per_class: i
     the classes most (squared difference of document counts over their sum);
     both bounds are small enough for the driver. Null ids, labels or texts give
     no row; repeated labels of a document count once, as toxic if any is;
-    without rows of both classes all scores are equal.
+    without rows of both classes all scores are equal. ``pairs`` of the model is
+    the number of sample texts with an identity term, each swapped for its pair.
     """
     spark = docs.sparkSession
     marked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label"))
@@ -172,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, per_class: i
     sample = least[0].unionByName(least[1])
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
     rows = rows.filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("label", "text")
-    table = written(rows.mapInArrow(_featurise(groups), "label int, own array<int>, turned array<int>"), "sample")
+    table = written(rows.mapInArrow(_featurise(turns(groups)), "label int, own array<int>, turned array<int>"), "sample")
     toxic = F.sum("label")
     counts = table.select("label", F.explode("own").alias("f")).groupBy("f").agg(toxic.alias("a"), F.sum(1 - F.col("label")).alias("b"))
     sizes = table.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).first()
@@ -192,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, per_class: i
         if r["turned"] is not None:
             pairs.append((own, np.array(r["turned"], np.int64)))
     w, b = fit_rows(x, np.array(y), pairs, len(chosen), counterfactual=counterfactual)
-    return Model(b, {int(f): float(v) for f, v in zip(chosen, w) if v})
+    return Model(b, {int(f): float(v) for f, v in zip(chosen, w) if v}, len(pairs))
 
 
 def _scorer(model: Model):

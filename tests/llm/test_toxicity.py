@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from grainline.llm.toxicity import Model, fit, fit_rows, score, swapped, toxicity_report
 
@@ -76,3 +77,26 @@ def test_fit_rows_is_a_minimum():
 def test_swapped():
     assert swapped({b"the", b"women", b"x"}) == {b"the", b"men", b"x"}
     assert swapped({b"the"}) is None
+
+
+@pytest.mark.parametrize("mention, other, frame", [
+    ("muslimische", "christliche", "die und der nicht"), ("musulmanes", "cristianos", "el los y una"), ("noire", "blanche", "le les et une")])
+def test_mentions_in_other_languages_are_swapped(spark, make, mention, other, frame):
+    rows = [(i, f"{frame} {t.replace('muslim', mention)}", y) for i, t, y in corpus()]
+    docs = make([(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], LABELS)
+    fitted = fit(docs, labels, counterfactual=10.0)
+    assert fitted.pairs == sum(mention in t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5)
+    probe = make([(0, f"{frame} w1 {mention} w3"), (1, f"{frame} w1 {other} w3"), (2, f"{frame} w1 schuft w3")])
+    got = [r["score"] for r in score(probe, fitted, ["doc_id"]).orderBy("doc_id").collect()]
+    assert abs(got[0] - got[1]) < 0.02 and got[2] >= 0.5 > got[0]
+
+
+def test_swapped_by_language():
+    words = lambda t: set(t.encode().split())
+    assert swapped(words("die männern und")) == words("die frauen und")
+    assert swapped(words("les hindus and the of")) == words("les buddhists and the of")
+    assert swapped(words("the atea of and")) is None  # a term in Spanish only
+    assert swapped(words("die hindus und der")) == words("die buddhisten und der")
+    assert swapped(words("los gay y el")) == words("los lesbiana y el")
+    assert swapped(words("Árabes")) == words("negros")
