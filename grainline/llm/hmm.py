@@ -9,6 +9,7 @@ gives the exact probability of a whole text under the model.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,9 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainline.llm.common import least_hashes, written
+from grainline.llm.common import written
 
-STATES, ITERATIONS = 8, 3
+STATES = 8
+#: Rounds end once one gains less than this share of the log-likelihood, or after so many.
+GAIN, ROUNDS, LEAST_ROUNDS = 1e-3, 40, 5
 #: Bounds: words with a class of their own, classes of the other words, words of
 #: a block's dictionary, tokens of a batch.
 TOP_WORDS, TAIL_CLASSES = 2_000, 512
@@ -29,9 +32,8 @@ BLOCK_WORDS, BATCH_TOKENS = 200_000, 250_000
 TOP_TIMES = 4
 #: Stands for a word number that does not fit 16 bits.
 ESCAPE = 65_535
-#: The first guess comes from this many training texts of at most so many tokens.
-GUESS_TEXTS, GUESS_TOKENS, GUESS_ROUNDS = 1_000, 2_000, 12
 END = b""
+log = logging.getLogger(__name__)
 
 
 def _word_hash(words: list[bytes]) -> np.ndarray:
@@ -98,6 +100,7 @@ class Vocabulary:
     total: int
     distinct: int
     top: int
+    class_total: np.ndarray
     tail_total: np.ndarray
     tail_distinct: np.ndarray
 
@@ -202,7 +205,12 @@ class Lockstep:
 
     def counts(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions (the Baum-Welch counts)."""
+        return self.expected(m)[:3]
+
+    def expected(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The counts, and the log10 probability of all sequences."""
         alpha, scale, emitted = self.forward(m)
+        logs = float(np.log10(scale).sum())
         beta = np.ones_like(alpha)
         move = np.zeros_like(m.move)
         back = np.ascontiguousarray(m.move.T)
@@ -217,7 +225,7 @@ class Lockstep:
         alpha *= beta
         size = m.emit.shape[1]
         emit = np.stack([np.bincount(self.seen, alpha[:, k], size) for k in range(len(m.start))])
-        return alpha[: self.live[0]].sum(0), move * m.move, emit
+        return alpha[: self.live[0]].sum(0), move * m.move, emit, logs
 
 
 def _in_lockstep(rows: list[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int], Lockstep]]:
@@ -253,15 +261,15 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _expect(shipped):
-    """A partition's Baum-Welch counts, as (index, value) of the starts, moves
-    and emissions one after the other."""
+    """A partition's Baum-Welch counts, as (index, value) of the starts, moves,
+    emissions and the log-likelihood one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         total = None
         for held in _gathered(batches):
             for _, steps in _in_lockstep(list(enumerate(held))):
-                flat = np.concatenate([x.reshape(-1) for x in steps.counts(m)])
+                flat = np.concatenate([np.reshape(x, -1) for x in steps.expected(m)])
                 total = flat if total is None else total + flat
         if total is not None:
             at = np.flatnonzero(total)
@@ -301,49 +309,43 @@ def _vocabulary(blocks: DataFrame) -> tuple[Vocabulary, DataFrame]:
     words = words.join(F.broadcast(top), "hash", "left")  # TOP_WORDS rows
     cls = F.coalesce("own", F.col("tail") + len(best)).cast("int")
     words = written(words.select("block", "pos", "c", cls.alias("cls"), "once"), "words")
+    class_total = np.zeros(len(best) + TAIL_CLASSES)
     tail_total, tail_distinct = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     total = distinct = 0
     for r in words.filter("once AND c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
         total, distinct = total + r["c"], distinct + r["n"]
+        class_total[r["cls"]] = r["c"]
         if r["cls"] >= len(best):
             tail_total[r["cls"] - len(best)], tail_distinct[r["cls"] - len(best)] = r["c"], r["n"]
-    return Vocabulary(total, distinct, len(best), tail_total, tail_distinct), words.drop("once")
-
-
-def _first_guess(coded: DataFrame, classes: int, states: int) -> Hmm:
-    """A model of a bounded sample of training texts, where Baum-Welch over the
-    whole corpus begins."""
-    some = coded.filter(f"NOT held_out AND n_tokens <= {GUESS_TOKENS}").select("doc_id", "classes")
-    some = least_hashes(some, "doc_id", GUESS_TEXTS, some.count())
-    sample = [np.frombuffer(bytes(r["classes"]), "<u2") for r in some.collect()]
-    counts = np.zeros(classes)
-    for s in sample:
-        counts += np.bincount(s, minlength=classes)
-    model = Hmm.guess(counts, states)
-    for _ in range(GUESS_ROUNDS if sample else 0):
-        parts = [steps.counts(model) for _, steps in _in_lockstep(list(enumerate(sample)))]
-        model = Hmm.from_counts(*(sum(p[i] for p in parts) for i in range(3)))
-    return model
-
-
-def baum_welch(coded: DataFrame, classes: int, states: int = STATES, iterations: int = ITERATIONS) -> Hmm:
-    """Re-estimates the model over all training texts, ``iterations`` times."""
-    model = _first_guess(coded, classes, states)
+    return Vocabulary(total, distinct, len(best), class_total, tail_total, tail_distinct), words.drop("once")
+
+
+def baum_welch(coded: DataFrame, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, list[float]]:
+    """A model re-estimated over all training texts, from the corpus counts of
+    the classes on, and the log10 likelihood that each round found before its
+    step; the rounds end as GAIN says, or after ``rounds``."""
+    model, classes = Hmm.guess(counts, states), len(counts)
     train = coded.filter("NOT held_out").select("classes")
-    for _ in range(iterations):
+    found: list[float] = []
+    for _ in range(rounds):
         shipped = coded.sparkSession.sparkContext.broadcast(model)
         sums = train.mapInArrow(_expect(shipped), "i int, value double").groupBy("i").agg(F.sum("value").alias("value"))
-        flat = np.zeros(states + states * states + states * classes)
+        flat = np.zeros(states + states * states + states * classes + 1)
         for r in sums.collect():
             flat[r["i"]] = r["value"]
         if not flat.any():
             break
-        start, move, emit = np.split(flat, [states, states + states * states])
+        found.append(float(flat[-1]))
+        start, move, emit = np.split(flat[:-1], [states, states + states * states])
         model = Hmm.from_counts(start, move.reshape(states, states), emit.reshape(states, classes))
-    return model
+        log.info("round %d: log10 likelihood %.6g, gain %.3g", len(found), found[-1], found[-1] - found[-2] if len(found) > 1 else 0)
+        # the first rounds of a guess near to equal states gain little, too
+        if len(found) > LEAST_ROUNDS and found[-1] - found[-2] < GAIN * abs(found[-2]):
+            break
+    return model, found
 
 
-def score_documents(docs: DataFrame, held_out: Column, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     every document; the model learns from those that are not ``held_out``.
 
@@ -356,8 +358,7 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = STATES, ite
 
     Texts are kept as numbers of their block's dictionary, so that a word's
     corpus count travels once a block and not once a text, and no dictionary is
-    broadcast. What reaches the driver (states x classes, TOP_WORDS words, the
-    first guess's sample) does not grow with the corpus.
+    broadcast. What reaches the driver (states x classes, TOP_WORDS words) does not grow with the corpus.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out.alias("held_out"), docs["text"].cast("binary").alias("text"))
@@ -366,7 +367,7 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = STATES, ite
     counts = words.groupBy("block").agg(F.collect_list(F.struct("pos", "c", "cls")).alias("counts"))
     coded = blocks.select("block", "docs", "tokens", "rare").join(counts, "block").mapInArrow(_coder(sc.broadcast(vocabulary)), CODED)
     coded = written(coded, "coded")
-    model = baum_welch(coded, vocabulary.classes, states, iterations)
+    model, _ = baum_welch(coded, vocabulary.class_total, states, rounds)
     scored = coded.mapInArrow(
         _likelihood(sc.broadcast(model)),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, score double")
