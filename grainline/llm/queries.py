@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainline.llm import bpe, decontam, hmm, line_dedup, neardup, sharding, suffix_dedup, topk, toxicity, url_filter
+from grainline.llm import bpe, decontam, hmm, line_dedup, neardup, sharding, suffix_dedup, token_counts, topk, toxicity, url_filter
 from grainline.llm.common import table
 
 
@@ -60,7 +60,17 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), word_bpe_file(), ["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op6_bwt_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe)}
+def byte_bpe_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), byte_bpe_file(), ["doc_id"], limit=512)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op6_bwt_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe, op11_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
         WITH RECURSIVE own AS (
