@@ -35,6 +35,23 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Appended:
+    """A folder in the cluster's shared folder to which a loop appends what each
+    round finds, so that the plan of the whole does not grow with the rounds.
+    A round's rows appear once its job has ended, whole."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema = spark, schema
+        self.path = f"{shared_root(spark)}/grainline-llm/{uuid.uuid4().hex}/{name}"
+        spark.createDataFrame([], schema).write.option("compression", "zstd").parquet(self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").option("compression", "zstd").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 

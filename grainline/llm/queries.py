@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainline.llm import bpe, decontam, hmm, line_dedup, neardup, sharding, suffix_dedup, token_counts, topk, toxicity, url_filter
+from grainline.llm import bpe, decontam, hard_negatives, hmm, line_dedup, neardup, sharding, suffix_dedup, token_counts, topk, toxicity, url_filter
 from grainline.llm.common import table
 
 
@@ -70,7 +70,13 @@ def op11_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), byte_bpe_file(), ["doc_id"], limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op6_bwt_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe, op11_token_counts)}
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), "vec_id % 100 = 0")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op6_bwt_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe, op11_token_counts, op12_hard_negatives)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
         WITH RECURSIVE own AS (
@@ -185,4 +191,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM scored QUALIFY rank <= 20
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.r <> c.r
+        ), positives AS (
+            SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score,
+                   row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place
+            FROM scored WHERE same QUALIFY place <= 5
+        )
+        SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.r, p.place ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+               s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM positives p JOIN scored s ON s.r = p.r AND NOT s.same
+            AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+        QUALIFY rank <= 5
+    """,
 }
