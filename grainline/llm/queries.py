@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainline.llm import bpe, decontam, hard_negatives, hmm, line_dedup, neardup, sharding, suffix_dedup, token_counts, topk, toxicity, url_filter
+from grainline.llm import bpe, decontam, hard_negatives, hmm, line_dedup, neardup, sharding, spelling, suffix_dedup, token_counts, topk, toxicity, url_filter
 from grainline.llm.common import table
 
 
@@ -76,7 +76,11 @@ def op12_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(rows.withColumn("label", label), "vec_id % 100 = 0")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op6_bwt_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe, op11_token_counts, op12_hard_negatives)}
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_toxicity, op4_super_minhash, op5_line_dedup, op6_bwt_dedup, op7_fm_decontamination, op8_hilbert_sharding, op9_hmm_scoring, op10_bpe, op11_token_counts, op12_hard_negatives, op13_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
         WITH RECURSIVE own AS (
@@ -212,4 +216,43 @@ ORACLE_SQL: dict[str, str] = {
             AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
         QUALIFY rank <= 5
     """,
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+            FROM range(256) r(i)
+        ), runs AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+            FROM documents
+        ), counted AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' AS head, run, count(*) AS n FROM runs GROUP BY ALL
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(head || run, ''), lambda ch:
+                    CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END))),
+                    lambda acc, b: xor(acc // 256, t[xor(acc % 256, b) + 1])), 4294967295) AS h
+            FROM counted, crc_table
+        ), words AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+        ), vocabulary AS (
+            SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), deleted AS (
+            SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM vocabulary, unnest(range(length(word))) u(i)
+        ), near AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM deleted a JOIN deleted b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION
+            SELECT a.word, v.word, v.n FROM deleted a JOIN vocabulary v ON a.rest = v.word
+            UNION
+            SELECT v.word, a.word, a.n FROM deleted a JOIN vocabulary v ON a.rest = v.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, min((-near_n, near)) AS b FROM near GROUP BY word
+        ), forms AS (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 5 * v.n THEN b[2] END AS form, CASE WHEN -b[1] >= 5 * v.n THEN -b[1] END AS form_n
+            FROM vocabulary v LEFT JOIN best USING (word)
+        ), chains(word, root) AS (
+            SELECT word, word FROM vocabulary UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+        ), roots AS (
+            SELECT c.word, c.root FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NULL
+        )
+        SELECT f.word, f.form, r.root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n FROM forms f JOIN roots r USING (word)
+    """,
 }
