@@ -97,6 +97,7 @@ GROUP BY CAST(l_shipdate AS DATE), l_returnflag, l_linestatus
     backpop_batch_size=365,
     day_separable=True,
     unique_grain=True,  # GROUP BY every dimension
+    small_days=True,
 )
 
 _ORDERS_WINDOW = (
@@ -158,6 +159,7 @@ FROM g
     derived=(COUNTRY_TIER, PRIORITY_TIER),
     day_separable=True,
     unique_grain=True,  # GROUP BY every dimension
+    small_days=True,
 )
 
 COHORT = ChartSpec(

@@ -26,6 +26,7 @@ from ..operators.cohort import cohort_view
 from ..operators.schema import classify_columns
 from ..session import register_tables
 from ..sources import cache as C
+from ..sources import manifest as M
 from ..sources.query import source_query
 from ..spec import ChartSpec, DataRequest, DerivedDim, Dim, Metric
 from . import charts as CH
@@ -532,6 +533,72 @@ def _ref_7(spark, sf):
     return C.scan_cache(spark, root, chart)
 
 
+_COUNTS = dict(dims=(Dim("event_type"),), metrics=(Metric("events", column="events"),),
+               query="""SELECT CAST(ts AS DATE) AS event_date, event_type, COUNT(*) AS events
+FROM {source} WHERE ts >= TIMESTAMP_NTZ'{{START_DATE}} 00:00:00' AND ts < TIMESTAMP_NTZ'{{END_DATE}} 00:00:00' + INTERVAL 1 DAY
+GROUP BY CAST(ts AS DATE), event_type""")
+
+
+def _counts_chart(name: str, **kw) -> ChartSpec:
+    return _types_chart(name, **(_COUNTS | {"query": _COUNTS["query"].format(source=name)} | kw))
+
+
+def _late_click(column: str) -> str:
+    """Clicks of every third day, which come late."""
+    return f"event_type = 'click' AND dayofyear(CAST({column} AS DATE)) % 3 = 0"
+
+
+_CHANGING = f"""WITH d AS (SELECT CAST(ts AS DATE) AS day, bool_or({_late_click('ts')}) AS late FROM events GROUP BY 1),
+m AS (SELECT MIN(day) AS lo, MAX(day) AS hi FROM d)
+SELECT day, CASE WHEN day = lo + 4 THEN '{{gone}}' WHEN day = hi THEN 'new' WHEN late THEN 'restated' ELSE 'unchanged' END AS state FROM d, m"""
+
+
+def _changing_source(spark, sf, name: str, **kw):
+    """A cache filled before the last day and the late clicks were there; then
+    the source has both, and lost its fifth day. Returns root, chart, extent."""
+    root, chart = _own_cache(spark, sf, name), _counts_chart(name, **kw)
+    lo, hi = CH.source_extent(spark, A)
+    events, day = spark.table("events"), F.to_date("ts")
+    events.filter(~F.expr(_late_click("ts")) & (day < F.lit(hi))).createOrReplaceTempView(name)
+    _ran(RF.refresh(spark, root, chart, lo, hi, today=hi + _dt.timedelta(days=60), record=False))
+    events.filter(day != F.lit(lo + _dt.timedelta(days=4))).createOrReplaceTempView(name)
+    return root, chart, lo, hi
+
+
+@register("ref_7_states", _CHANGING.format(gone="cleared"))
+def _ref_7_states(spark, sf):
+    """What a restatement of the whole extent did with each day: unchanged ones
+    keep their files."""
+    root, chart, lo, hi = _changing_source(spark, sf, "ref_7_states")
+    result = RF.restate(spark, root, chart, lo, hi, today=hi + _dt.timedelta(days=60), record=False)
+    _ran(result)
+    return M.day_states(spark, result.day_states)
+
+
+@register("ref_6_states", f"SELECT * FROM ({_CHANGING.format(gone='kept')}) s WHERE day >= (SELECT MAX(CAST(ts AS DATE)) - 29 FROM events)")
+def _ref_6_states(spark, sf):
+    """What a daily refresh did with the days of its trailing window, here of
+    thirty days: a day that comes back empty is kept."""
+    root, chart, lo, hi = _changing_source(spark, sf, "ref_6_states")
+    result = RF.refresh(spark, root, chart, lo, hi, today=hi, refresh_window_days=30, record=False)
+    _ran(result)
+    return M.day_states(spark, result.day_states)
+
+
+@register("snk_2_pinned", """SELECT 'before' AS reader, CAST(ts AS DATE) AS day, COUNT(*) AS events FROM events, (SELECT MAX(CAST(ts AS DATE)) AS hi FROM events) m
+WHERE CAST(ts AS DATE) < hi AND NOT (""" + _late_click("ts") + """) GROUP BY 2
+UNION ALL SELECT 'after', CAST(ts AS DATE), COUNT(*) FROM events, (SELECT MIN(CAST(ts AS DATE)) AS lo FROM events) m WHERE CAST(ts AS DATE) <> lo + 4 GROUP BY 2""")
+def _snk_2_pinned(spark, sf):
+    """Two readers of one cache, packed by month: one that began before its
+    windows were replaced, and one that began after."""
+    root, chart, lo, hi = _changing_source(spark, sf, "snk_2_pinned", small_days=True)
+    before = C.scan_cache(spark, root, chart)
+    _ran(RF.restate(spark, root, chart, lo, hi, today=hi + _dt.timedelta(days=60), record=False))
+    C.clean_up(spark, root, chart)  # the version before stays: two are kept
+    total = lambda name, df: df.groupBy(F.lit(name).alias("reader"), F.col("_day").alias("day")).agg(F.sum("events").alias("events"))
+    return total("before", before).unionByName(total("after", C.scan_cache(spark, root, chart)))
+
+
 # ---------------------------------------------------------------- REF-8 rebuild on a changed definition
 REBUILD_V1 = CH.ACTIVITY_TYPES.with_(name="activity_rebuild")
 REBUILD_V2 = REBUILD_V1.with_(variables={"TYPES": ["purchase"]})

@@ -109,6 +109,9 @@ class ChartSpec:
     # Opt-in: the cache is known to hold one row per (day, all dims), so a
     # signature whose grain is every dim can skip the inner MAX step.
     unique_grain: bool = False
+    # Opt-in: a day is a small part of a file, so a write of many days puts
+    # those of a month into one folder.
+    small_days: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "dims", tuple(self.dims))
