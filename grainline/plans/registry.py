@@ -874,13 +874,6 @@ def _dsh_1(spark, sf):
     return spark.createDataFrame(rows, "name string, from_date date, to_date date")
 
 
-def _long_widget(df, widget: str, metrics: list[str]):
-    """A widget's rows as (widget, day, metric, value)."""
-    day = F.col("event_date") if "event_date" in df.columns else F.col("as_of_date")
-    values = df.select(F.lit(widget).alias("widget"), day.alias("day"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    return values.unpivot(["widget", "day"], metrics, "metric", "value")
-
-
 _DSH7_STATE = DB.DashboardState(today=TODAY, from_date=D(2024, 1, 10), filters={"event_type": ["click", "view"]})
 _DSH7_ROWS = O.serve_sql(A, DataRequest(from_date=D(2024, 1, 10), to_date=D(2024, 1, 30), dimensions=[], metrics=["events"],
                                         filters={"event_type": ["click", "view"]}))
@@ -895,13 +888,31 @@ UNION ALL SELECT 't_dau', DATE '2024-01-30', 'value', MAX(CAST(dau AS DOUBLE)) F
 def _dsh_7(spark, sf):
     """All widgets of a dashboard under one state, as one long frame."""
     board = DB.Dashboard("activity", (W_VALUE, W_SPLIT, W_EMPTY, T_DAU), filters=("event_type",))
-    data = DB.dashboard_data(board, {A.name: CH.materialize(spark, sf, A)}, _DSH7_STATE)
-    shown = {"w_value": ["value", "dau"], "w_split": ["events"], "w_empty": ["value"], "t_dau": ["value"]}
-    parts = [_long_widget(data[w], w, metrics) for w, metrics in shown.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = DB.dashboard_rows(board, {A.name: CH.materialize(spark, sf, A)}, _DSH7_STATE)
+    rows = rows.where("widget <> 't_dau' OR metric = 'value'")
+    return rows.select("widget", F.col("x").cast("date").alias("day"), "metric", "value")
+
+
+def _board_sql(widget: str, x: str, combo: str, metrics: list[str], rows: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{widget}' AS widget, CAST({x} AS VARCHAR) AS x, {combo} AS combo, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({rows}) r" for m in metrics)
+
+
+_BOARD_TILE = ["value", "previous_day_abs", "previous_day_pct", "last_week_abs", "last_week_pct"]
+_T_EMPTY = DB.NumberTile("t_empty", A, "events", filters={"event_type": ["purchase"]}, compares=())
+
+
+@register("dsh_7_board", " UNION ALL ".join((
+    _board_sql("w_value", "event_date", "event_type", ["value", "dau"], REGISTRY["dsh_2"][1]),
+    _board_sql("w_split", "event_date", "event_type", ["events"], REGISTRY["dsh_3"][1]),
+    _board_sql("w_cohort", "install_date", "''", ["installs"], REGISTRY["dsh_4"][1]),
+    _board_sql("t_dau", "as_of_date", "''", _BOARD_TILE, REGISTRY["dsh_5"][1]),
+    "SELECT 't_empty', '2024-01-30', '', 'value', CAST(NULL AS DOUBLE)")))
+def _dsh_7_board(spark, sf):
+    """A whole dashboard of two charts, split and filtered by the viewer: time
+    series, a pivot, a tile with its deltas, a tile without rows."""
+    board = DB.Dashboard(DASH.name, (*DASH.widgets, _T_EMPTY), filters=DASH.filters)
+    return DB.dashboard_rows(board, {c.name: CH.materialize(spark, sf, c) for c in (A, COH)}, STATE)
 
 
 def _grain_audit(spec: ChartSpec):
