@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainline.llm.common import written
+from grainline.llm.common import Appended, written
 
 #: A run counts if it has MIN_LINES lines, or holds a line of MIN_CHARS characters.
 MIN_LINES, MIN_CHARS = 2, 120
@@ -104,17 +104,17 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
         raise ValueError("min_lines must be a power of two")
     lines = written(_positions(docs, min_chars), "repeated")
     start = lines.select("d", "t", "seq", "n", "h", F.lit(0).cast("long").alias("off"), "long")
-    found = [_later(start, 1, F.lit(min_lines <= 1) | F.col("long"))]
+    # each round's copies are written as they are found, so that no plan grows with the rounds
+    found = Appended(docs.sparkSession, "copies", "d long, t long, seq int, length int")
+    found.add(_later(start, 1, F.lit(min_lines <= 1) | F.col("long")))
     ranks = start.withColumn("live", F.lit(True)).drop("long")
     depth = 1
     while not ranks.filter("live").isEmpty():
         ranks = _doubled(ranks, depth)
         depth *= 2
         if depth >= min_lines:
-            found.append(_later(ranks.filter("shared"), depth, F.col("n") - F.col("seq") >= min_lines))
-    copies = found[0]
-    for more in found[1:]:
-        copies = copies.unionByName(more)
+            found.add(_later(ranks.filter("shared"), depth, F.col("n") - F.col("seq") >= min_lines))
+    copies = found.read()
     copies = copies.groupBy("d", "t", "seq").agg(F.max(F.col("seq") + F.col("length")).alias("end"))
     doc = Window.partitionBy("d", "t").orderBy("seq")
     reach = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
