@@ -23,8 +23,6 @@ from grainline.llm.components import connected_components
 BANDS, ROWS = 42, 6
 #: Nodes of a bucket that are compared with its members, round by round.
 PIVOTS = (1, 4)
-#: An element is rare if at most so many of the nodes left hold it.
-RARE = 64
 BATCH_WORDS = 500_000
 STEP_ELEMENTS = 150_000
 GOLD = 0x9E3779B97F4A7C15
@@ -120,10 +118,10 @@ def _bands(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _in_batches(batches: Iterator[pa.RecordBatch]):
-    """(ids, texts) of about BATCH_WORDS words (by bytes), or one long text."""
+    """(other columns, texts) of about BATCH_WORDS words (by bytes), or one long text."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for d, t in zip(zip(*[c.to_pylist() for c in batch.drop_columns("text").columns]), batch.column("text")):
             ids.append(d)
             texts.append(t.as_py())
             size += len(texts[-1] or b"")
@@ -147,8 +145,8 @@ def _signer(k: int, bands: int, rows: int):
                 buckets[i] = row
             node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "buckets"])
+                [*[pa.array(c, pa.int64()) for c in zip(*ids)], pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "node", "buckets"])
 
     return run
 
@@ -190,38 +188,45 @@ def _pivot_pairs(members: DataFrame, pivots: int, percent: int) -> tuple[DataFra
 
 
 def _remaining_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket across components that can still be similar.
-
-    Elements that few of these nodes hold come first, the rarest before others,
-    then the rest by hash. A node's prefix is so long that similar sets share an element of their
-    prefixes; up to the last one shared there, the order is the same in both,
+    """All pairs of the nodes left, across components, that can still be similar.
+
+    The elements of all these nodes are put in one order, those that few nodes
+    hold first. Of two similar sets the first elements of the smaller and of the
+    larger one then have an element in common, if as many are taken as ``_prefix``
+    says; so the nodes are joined by element, never by bucket, and groups of sets
+    that share most, but too little to be similar, do not meet at what is theirs
+    alone. Up to the last element shared there, the order is the same in both,
     so the shared elements and the shorter rest bound the intersection. The
-    bound refutes pairs before they leave the join. Only members outside their
-    bucket's largest component are paired with all the others.
+    bound refutes pairs before they leave the join, and a pair leaves it once, at
+    the first element it shares.
     """
-    nodes = members.select("node").distinct()
-    held = sets.join(nodes, "node", "left_semi")
+    nodes = members.groupBy("node").agg(F.min("label").alias("label"))
+    held = sets.join(nodes, "node")
     elements = held.select("node", F.explode("elements").alias("e"))
-    rare = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
-    own = elements.join(rare, "e").groupBy("node").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("c", "e"))), lambda x: x["e"]).alias("own"))
-    first = F.coalesce("own", F.array().cast("array<long>"))
-    ordered = held.join(own, "node", "left").select("node", F.concat(first, F.array_except("elements", first)).alias("es"))
-    length = F.expr(f"size(es) - ({percent} * size(es) + 99) div 100 + 1").cast("int")
-    members = members.join(ordered.select("node", F.slice("es", F.lit(1), length).alias("p")), "node")
-    largest = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
-        F.max(F.struct("c", "label")).alias("most")).select("key", F.col("most.label").alias("main"))
-    members = written(members.join(largest, "key"), "remaining")
-    a = members.filter("label != main").select(
-        "key", F.col("node").alias("u"), F.col("label").alias("ul"), F.col("n").alias("un"), F.col("p").alias("up"))
-    b = members.select("key", "main", F.col("node").alias("v"), F.col("label").alias("vl"), F.col("n").alias("vn"), F.col("p").alias("vp"))
+    counts = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c"))
+    place = F.sort_array(F.collect_list(F.struct("c", "e")))
+    ordered = elements.join(counts, "e").groupBy("node").agg(F.transform(place, lambda x: x["e"]).alias("es"))
+    ordered = ordered.join(nodes, "node").withColumn("n", F.size("es"))
+    ordered = written(ordered.select(
+        "node", "label", "n", F.slice("es", F.lit(1), _prefix(2 * percent, 100 + percent)).alias("first"),
+        F.slice("es", F.lit(1), _prefix(percent, 100)).alias("more")), "remaining")
+    a = ordered.select(F.col("node").alias("u"), F.col("label").alias("ul"), F.col("n").alias("un"), F.col("first").alias("up"), F.explode("first").alias("e"))
+    b = ordered.select(F.col("node").alias("v"), F.col("label").alias("vl"), F.col("n").alias("vn"), F.col("more").alias("vp"), F.explode("more").alias("e2"))
     shared = F.array_intersect("up", "vp")
     last = F.element_at(shared, -1)
     rest = F.least(F.col("un") - F.array_position("up", last), F.col("vn") - F.array_position("vp", last))
     bound = F.size(shared) + rest
-    apart = (F.col("ul") != F.col("vl")) & ((F.col("vl") == F.col("main")) | (F.col("u") < F.col("v"))) & _alike("un", "vn", percent)
-    near = F.when(apart & F.arrays_overlap("up", "vp"), 100 * bound >= percent * (F.col("un") + F.col("vn") - bound)).otherwise(False)
-    return a.join(b, (a["key"] == b["key"]) & near).select("u", "ul", "v", "vl").distinct()
+    smaller = (F.col("un") < F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("u") < F.col("v")))
+    apart = (F.col("ul") != F.col("vl")) & smaller & (100 * F.col("un") >= percent * F.col("vn"))
+    near = F.when(apart, (F.element_at(shared, 1) == F.col("e")) & (100 * bound >= percent * (F.col("un") + F.col("vn") - bound))).otherwise(False)
+    return a.join(b, (a["e"] == b["e2"]) & near).select("u", "ul", "v", "vl")
+
+
+def _prefix(part: int, whole: int) -> Column:
+    """How many of a set's first elements hold one of those that it has in common
+    with a set that shares ``part`` / ``whole`` of it: all but those that can be
+    spared, and one."""
+    return F.expr(f"n - ({part} * n + {whole - 1}) div {whole} + 1").cast("int")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,9 +248,20 @@ def _relabelled(df: DataFrame, merged: DataFrame) -> DataFrame:
     return out.withColumn("label", F.coalesce("component", "label")).drop("component")
 
 
+def first_rows(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the texts that stay if one row of each group does:
+    that of the smallest doc_id, then of the smallest hash; every text without
+    words."""
+    alone = found.filter("group IS NULL").select("doc_id", "text_hash")
+    least = found.filter("kept AND group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    return alone.unionByName(least.select("r.*")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles (size of the document's set of ``k``-word shingles),
-    component_id (smallest doc_id of its group) and kept (doc_id is that).
+    component_id (smallest doc_id of its group), kept (doc_id is that), text_hash
+    (xxhash64 of the text, null as empty) and group (a mark of the group, which
+    tells groups with one component_id apart; null without words).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text
     with fewer than ``k`` words has its whole sequence as one shingle; null and
@@ -257,15 +273,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Equal sets are one node from the start. In each bucket a few first nodes
     are compared with the members of other components; what that links is one
-    component, and a bucket with a single component is done. All pairs across
-    components that are left in a bucket, and that a bound on their sets does
-    not refute, are compared last. So every candidate pair is linked, confirmed
+    component, and a bucket with a single component is done. Nodes left in other
+    buckets are joined by their sets' rarest elements, and the pairs that a bound
+    on their sets does not refute are compared last. So every candidate pair is linked, confirmed
     or refuted; a group of n copies costs about n comparisons, and no cap drops
     a bucket or a pair.
     """
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
+    texts = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"), docs["text"].cast("binary").alias("text"))
     signed = written(texts.mapInArrow(
-        _signer(k, bands, rows), "doc_id long, n_shingles long, node binary, buckets array<long>"), "signed")
+        _signer(k, bands, rows), "doc_id long, text_hash long, n_shingles long, node binary, buckets array<long>"), "signed")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("buckets").alias("buckets"))
     members = nodes.select("node", "n", F.explode("buckets").alias("key")).withColumn("label", F.col("node"))
@@ -293,5 +310,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return (
         group.join(least, "group", "left")
         .withColumn("component_id", F.coalesce("least", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "group")
     )

@@ -76,6 +76,15 @@ def test_the_rest_is_encoded_and_run_agrees(spark, kept_by):
     assert sorted((r["doc_id"], r["ids_sha256"], r["n_chars"]) for r in again.collect()) == sorted((r["doc_id"], r["ids_sha256"], r["n_chars"]) for r in rows)
 
 
+def test_a_kept_id_keeps_its_own_text_only(spark, make):
+    """Rows that share an id: one row of each group stays, not all of the id."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    docs = make([(1, one), (2, one), (2, two), (3, two + " more"), (4, three), (4, three + " more"), (4, three), (None, one), (5, " ")])
+    got = sorted((str(d), t) for d, t in ((r["doc_id"], r["text"]) for r in P.near_duplicates_out(spark, docs, SF).collect()))
+    assert [g for g in got if g[0] != "4"] == [("1", one), ("2", two), ("5", " ")]
+    assert len([g for g in got if g[0] == "4"]) == 1
+
+
 def test_nulls_repeats_and_empty_tables(spark, make):
     odd = make([(1, None), (1, None), (2, ""), (None, "same words in a text of eight words"), (3, "same words in a text of eight words"), (4, "x " * 20_000), (5, "a"), (5, "a")], extra=True)
     docs = odd
