@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainline.llm import bpe, decontam, line_dedup, neardup, toxicity
-from grainline.llm.common import table
+from grainline.llm.common import table, written
 from grainline.llm.queries import word_bpe_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,13 +34,14 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates
-    (similarity 0.8 on five-word shingles); of rows that repeat an id and a text,
-    one."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    same = F.xxhash64("text")
-    copy = F.row_number().over(Window.partitionBy("doc_id", same).orderBy("lang", "source", "n_chars"))
+    """One row of each group of near-duplicates (similarity 0.8 on five-word
+    shingles): that with the smallest id, of several with this id the one with
+    the smallest text hash, of rows that repeat id and text one."""
+    kept = neardup.first_rows(neardup.near_duplicates(docs)).select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__text"))
+    same = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(COLUMNS).withColumn("__hash", same).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__text")), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("lang", "source", "n_chars"))
     return rows.withColumn("__copy", copy).filter("__copy = 1 OR coalesce(text, '') = ''").select(COLUMNS)
 
 
@@ -73,8 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents table, one after the other."""
+    """The stages applied to the documents table, one after the other. Each but
+    the last is written, so that the next, which may read its documents several
+    times, does not make them again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
