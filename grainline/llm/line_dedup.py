@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from grainline.llm.common import Appended, written
 
 #: A run counts if it has MIN_LINES lines, or holds a line of MIN_CHARS characters.
-MIN_LINES, MIN_CHARS = 2, 120
+MIN_LINES, MIN_CHARS = 2, 24
 #: Blank lines belong to the line before them.
 LINE_BREAK = r"\n(?=[ \t\r]*[^ \t\r\n])"
 BLANKS = " \t\r\n"

@@ -165,7 +165,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM lines
         ), marks AS (
             SELECT *,
-                   line <> '' AND length(line) >= 120
+                   line <> '' AND length(line) >= 24
                    AND row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) > 1 AS one,
                    line <> '' AND line2 IS NOT NULL
                    AND row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, seq) > 1 AS two

@@ -6,7 +6,7 @@ import pytest
 from grainline.llm.line_dedup import dedup_lines
 
 
-def brute(rows, min_lines=2, min_chars=120):
+def brute(rows, min_lines=2, min_chars=24):
     """Text and counts by document, for rows with distinct ids."""
     seen, out = set(), {}
     for d, t in sorted(rows):
