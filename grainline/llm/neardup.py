@@ -23,6 +23,8 @@ from grainline.llm.components import connected_components
 BANDS, ROWS = 42, 6
 #: Nodes of a bucket that are compared with its members, round by round.
 PIVOTS = (1, 4)
+#: An element is rare if at most so many of the nodes left hold it.
+RARE = 64
 BATCH_WORDS = 500_000
 STEP_ELEMENTS = 150_000
 GOLD = 0x9E3779B97F4A7C15
@@ -191,7 +193,7 @@ def _remaining_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     """All pairs of the nodes left, across components, that can still be similar.
 
     The elements of all these nodes are put in one order, those that few nodes
-    hold first. Of two similar sets the first elements of the smaller and of the
+    hold first, the rarest before others, then the rest by hash. Of two similar sets the first elements of the smaller and of the
     larger one then have an element in common, if as many are taken as ``_prefix``
     says; so the nodes are joined by element, never by bucket, and groups of sets
     that share most, but too little to be similar, do not meet at what is theirs
@@ -203,10 +205,12 @@ def _remaining_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     nodes = members.groupBy("node").agg(F.min("label").alias("label"))
     held = sets.join(nodes, "node")
     elements = held.select("node", F.explode("elements").alias("e"))
-    counts = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c"))
+    rare = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
     place = F.sort_array(F.collect_list(F.struct("c", "e")))
-    ordered = elements.join(counts, "e").groupBy("node").agg(F.transform(place, lambda x: x["e"]).alias("es"))
-    ordered = ordered.join(nodes, "node").withColumn("n", F.size("es"))
+    own = elements.join(rare, "e").groupBy("node").agg(F.transform(place, lambda x: x["e"]).alias("own"))
+    first = F.coalesce("own", F.array().cast("array<long>"))
+    ordered = held.join(own, "node", "left").select("node", "label", F.concat(first, F.array_except("elements", first)).alias("es"))
+    ordered = ordered.withColumn("n", F.size("es"))
     ordered = written(ordered.select(
         "node", "label", "n", F.slice("es", F.lit(1), _prefix(2 * percent, 100 + percent)).alias("first"),
         F.slice("es", F.lit(1), _prefix(percent, 100)).alias("more")), "remaining")
