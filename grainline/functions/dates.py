@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,3 +54,14 @@ def expand_windows(from_date: _dt.date, to_date: _dt.date, size: int) -> list[tu
     count = -(-((to_date - from_date).days + 1) // size)
     starts = [from_date + i * step for i in range(count)]
     return [(a, min(a + step - _dt.timedelta(days=1), to_date)) for a in starts]
+
+
+def date_windows(ranges: DataFrame, n: int) -> DataFrame:
+    """REF-1 as a plan: the contiguous ``n``-day windows (window_start, window_end) of
+    each row's from_date to to_date, the last one short; none for an inverted
+    range or one with a null end."""
+    if n < 1:
+        raise ValueError("a window has at least one day")
+    starts = F.expr(f"sequence(from_date, to_date, INTERVAL {n} DAY)")
+    out = ranges.where("from_date <= to_date").withColumn("window_start", F.explode(starts))
+    return out.withColumn("window_end", F.least(F.date_add("window_start", n - 1), "to_date"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import oracle as O
-from ..functions.dates import expand_windows, refresh_cutoff, time_bucket
+from ..functions.dates import date_windows, refresh_cutoff, time_bucket
 from ..functions.ordinal import ordinal
 from ..operators import audit as AU
 from ..operators import ledger as L
@@ -390,7 +390,7 @@ def _root(spark, sf):
 
 
 register("ref_2", "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events")(
-    lambda spark, sf: spark.createDataFrame([(d,) for d in C.cached_days(spark, _root(spark, sf), A)], "day date"))
+    lambda spark, sf: C.scan_cache(spark, _root(spark, sf), A).select(F.col("_day").alias("day")).where("day IS NOT NULL").distinct())
 register("ref_10", "SELECT MIN(CAST(ts AS DATE)) AS date_min, MAX(CAST(ts AS DATE)) AS date_max FROM events")(
     lambda spark, sf: C.data_extent(spark, _root(spark, sf), A))
 
@@ -398,9 +398,9 @@ register("ref_10", "SELECT MIN(CAST(ts AS DATE)) AS date_min, MAX(CAST(ts AS DAT
 @register("ref_3", """WITH sp AS (SELECT CAST(g AS DATE) AS day FROM generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) t(g))
 SELECT day FROM sp WHERE day NOT IN (SELECT DISTINCT CAST(ts AS DATE) FROM events) OR day >= DATE '2024-02-02'""")
 def _ref_3(spark, sf):
-    cached = C.cached_days(spark, _root(spark, sf), A)
-    days = RF.days_to_fetch(A, D(2023, 12, 25), D(2024, 2, 5), cached, refresh_cutoff(D(2024, 2, 6), RF.REFRESH_WINDOW_DAYS))
-    return spark.createDataFrame([(d,) for d in days], "day date")
+    cached = C.scan_cache(spark, _root(spark, sf), A).select(F.col("_day").alias("day"))
+    cutoff = refresh_cutoff(D(2024, 2, 6), RF.REFRESH_WINDOW_DAYS)
+    return RF.missing_days(cached, D(2023, 12, 25), D(2024, 2, 5), cutoff)
 
 
 @register("ref_1", """WITH b AS (SELECT MIN(CAST(ts AS DATE)) AS from_date, MAX(CAST(ts AS DATE)) AS to_date FROM events)
@@ -408,8 +408,7 @@ SELECT from_date, to_date, CAST(g AS DATE) AS window_start, LEAST(CAST(g AS DATE
 FROM b, generate_series(from_date, to_date, INTERVAL 7 DAY) t(g)""")
 def _ref_1(spark, sf):
     register_tables(spark, sf)
-    lo, hi = CH.source_extent(spark, A)
-    return spark.createDataFrame([(lo, hi, *w) for w in expand_windows(lo, hi, 7)], "from_date date, to_date date, window_start date, window_end date")
+    return date_windows(spark.sql("SELECT MIN(CAST(ts AS DATE)) AS from_date, MAX(CAST(ts AS DATE)) AS to_date FROM events"), 7)
 
 
 OBM_REMAP = OBM.with_(derived=(OBM.derived[0], DerivedDim("priority_tier", "priority", (("Tier-1", ("1-URGENT", "2-HIGH", "3-MEDIUM")),), "Tier-2")))
@@ -683,27 +682,26 @@ REGISTRY["snk_3"] = REGISTRY["ref_8"]
 # ---------------------------------------------------------------- AGG-6 wide cohort view
 
 COHORT_REQ = DataRequest(x_axis="install_date", dimensions=["days_since_install"], metrics=["retained_users"])
-SPLIT_DAYS = ["0", "1", "2", "7"]
+SPLIT_DAYS = [str(d) for d in range(30)]
 _WIDE = ", ".join(f'MAX(CASE WHEN days_since_install = {d} THEN retained_users END) AS "{d}"' for d in SPLIT_DAYS)
 register("agg_6_wide", f"SELECT install_date, {_WIDE} FROM ({O.serve_sql(COH, COHORT_REQ)}) r GROUP BY install_date")(
     lambda spark, sf: cohort_view(COH, COHORT_REQ, CH.materialize(spark, sf, COH), "retained_users", SPLIT_DAYS))
 
 
 # ---------------------------------------------------------------- SER-6 by month (previous month, same month last year)
-SALES_MONTH_REQ = DataRequest(from_date=D(1996, 1, 1), to_date=D(1998, 12, 31), granularity="month",
-                              dimensions=["linestatus"], metrics=["revenue"])
+SALES_MONTH_REQ = DataRequest(granularity="month", dimensions=["linestatus"], metrics=["revenue"])
 
 
 def _sales_monthly(spark, sf):
     rows = S.serve(SALES, SALES_MONTH_REQ, CH.materialize(spark, sf, SALES))
     s = SR.to_series(rows, "ship_date", ["l_linestatus"], ["revenue"])
-    return SR.deltas(SR.fill_gaps(s, D(1996, 1, 1), D(1998, 12, 31), "month"), "month")
+    return SR.deltas(SR.fill_gaps(s, *SALES_SPAN, "month"), "month")
 
 
 register("ser_6_month", f"""WITH r AS ({O.serve_sql(SALES, SALES_MONTH_REQ)}),
 s AS (SELECT ship_date AS x, COALESCE(CAST(l_linestatus AS VARCHAR), '∅') AS combo, 'revenue' AS metric, CAST(revenue AS DOUBLE) AS value FROM r),
 k AS (SELECT DISTINCT metric, combo FROM s),
-sp AS (SELECT CAST(g AS DATE) AS x FROM generate_series(DATE '1996-01-01', DATE '1998-12-01', INTERVAL 1 MONTH) t(g)),
+sp AS (SELECT CAST(g AS DATE) AS x FROM generate_series(DATE '1992-01-01', DATE '1999-12-01', INTERVAL 1 MONTH) t(g)),
 grid AS (SELECT k.metric, k.combo, sp.x, s.value FROM k CROSS JOIN sp LEFT JOIN s ON s.metric = k.metric AND s.combo = k.combo AND s.x = sp.x)
 SELECT g.metric, g.combo, g.x, g.value,
   {_PCT.format(n='g.value', t='p1.value')} AS short_pct, {_PCT.format(n='g.value', t='p12.value')} AS long_pct

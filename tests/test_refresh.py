@@ -228,3 +228,19 @@ def test_a_separable_range_is_one_write():
     cut = plan_writes(s, D(2026, 6, 1), D(2026, 6, 4), 1, set(), D(2026, 6, 9), True, days_per_range_write=3)
     assert [w.windows for w in cut] == [[(D(2026, 6, 1), D(2026, 6, 3))], [(D(2026, 6, 4), D(2026, 6, 4))]]
     assert not cut[0].keep_empty and writes[0].keep_empty
+
+
+def test_windows_and_missing_days_as_plans(spark):
+    from grainline.functions.dates import date_windows, expand_windows, refresh_cutoff
+    from grainline.plans.refresh import days_to_fetch, missing_days
+
+    ranges = [(D(2026, 6, 1), D(2026, 6, 20)), (D(2026, 6, 3), D(2026, 6, 3)), (D(2026, 6, 5), D(2026, 6, 4)), (None, D(2026, 6, 4))]
+    got = date_windows(spark.createDataFrame(ranges, "from_date date, to_date date"), 7)
+    want = [(a, b, *w) for a, b in ranges[:2] for w in expand_windows(a, b, 7)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    held = {D(2026, 6, 2), D(2026, 6, 3), D(2026, 6, 18)}
+    cutoff = refresh_cutoff(D(2026, 6, 20))
+    cached_days = spark.createDataFrame([(d,) for d in [*held, D(2026, 6, 2)]] + [(None,)], "day date")
+    out = missing_days(cached_days, D(2026, 6, 1), D(2026, 6, 20), cutoff)
+    assert sorted(r["day"] for r in out.collect()) == days_to_fetch(spec(), D(2026, 6, 1), D(2026, 6, 20), held, cutoff)
+    assert "LeftAnti" in out._jdf.queryExecution().optimizedPlan().toString()
