@@ -28,8 +28,6 @@ GAIN, ROUNDS, LEAST_ROUNDS = 1e-3, 40, 5
 #: a block's dictionary, tokens of a batch.
 TOP_WORDS, TAIL_CLASSES = 2_000, 512
 BLOCK_WORDS, BATCH_TOKENS = 200_000, 250_000
-#: A word has a class of its own only if some block's training texts hold it so often.
-TOP_TIMES = 4
 #: Stands for a word number that does not fit 16 bits.
 ESCAPE = 65_535
 END = b""
@@ -49,16 +47,17 @@ def _tail_class(words: list[bytes]) -> np.ndarray:
 
 
 BLOCK = ("block long, docs array<struct<doc_id:long,held_out:boolean,n:long>>, tokens binary, rare binary, "
-         "hash array<long>, tail array<int>, tf array<long>")
+         "hash array<long>, tail array<int>, tf array<long>, often array<struct<hash:long,tf:long>>")
 BLOCK_SCHEMA = pa.schema([
     ("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64())]))),
     ("tokens", pa.binary()), ("rare", pa.binary()), ("hash", pa.list_(pa.int64())), ("tail", pa.list_(pa.int32())), ("tf", pa.list_(pa.int64())),
+    ("often", pa.list_(pa.struct([("hash", pa.int64()), ("tf", pa.int64())]))),
 ])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as numbers of a block's own dictionary, and how often each of its
-    words stands in the block's training texts."""
+    """Texts as numbers of a block's own dictionary, how often each of its words
+    stands in the block's training texts, and the TOP_WORDS words that do most often."""
     number: dict[bytes, int] = {}
     docs: list[dict] = []
     parts: list[np.ndarray] = []
@@ -70,11 +69,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tokens = list(number), np.concatenate(parts)
         train = [p for d, p in zip(docs, parts) if not d["held_out"]]
         tf = np.bincount(np.concatenate([*train, tokens[:0]]), minlength=len(words))
+        hashes = _word_hash(words)
+        often = np.argpartition(-tf, TOP_WORDS)[:TOP_WORDS] if len(tf) > TOP_WORDS else np.arange(len(tf))
+        often = pa.StructArray.from_arrays([pa.array(hashes[often]), pa.array(tf[often])], ["hash", "tf"])
         columns = [
             pa.array([made], pa.int64()), pa.array([docs], BLOCK_SCHEMA.field("docs").type),
             pa.array([np.minimum(tokens, ESCAPE).astype("<u2").tobytes()], pa.binary()),
             pa.array([tokens[tokens >= ESCAPE].astype("<u4").tobytes()], pa.binary()),
-            pa.array([_word_hash(words)], pa.list_(pa.int64())), pa.array([_tail_class(words)], pa.list_(pa.int32())), pa.array([tf], pa.list_(pa.int64())),
+            pa.array([hashes], pa.list_(pa.int64())), pa.array([_tail_class(words)], pa.list_(pa.int32())), pa.array([tf], pa.list_(pa.int64())),
+            pa.ListArray.from_arrays([0, len(often)], often),
         ]
         number.clear()
         docs.clear()
@@ -104,9 +107,9 @@ class Vocabulary:
     tail_total: np.ndarray
     tail_distinct: np.ndarray
 
-    @property
-    def classes(self) -> int:
-        return self.top + TAIL_CLASSES
+    def parts(self) -> tuple:
+        """What is broadcast: executors need not have this class."""
+        return self.total, self.distinct, self.top, self.class_total, self.tail_total, self.tail_distinct
 
 
 CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
@@ -117,7 +120,7 @@ def _coder(shipped):
     its words inside their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = shipped.value
+        v = Vocabulary(*shipped.value)
         tail_share = np.log10(0.5) - np.log10(v.tail_total + 0.5 * (v.tail_distinct + 1))
         for batch in batches:
             for i in range(batch.num_rows):
@@ -150,6 +153,10 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # state x class
 
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is broadcast: executors need not have this class."""
+        return self.start, self.move, self.emit
+
     @classmethod
     def guess(cls, counts: np.ndarray, states: int) -> Hmm:
         """Class frequencies, shaken a little differently for each state."""
@@ -265,7 +272,7 @@ def _expect(shipped):
     emissions and the log-likelihood one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = Hmm(*shipped.value)
         total = None
         for held in _gathered(batches):
             for _, steps in _in_lockstep(list(enumerate(held))):
@@ -280,7 +287,7 @@ def _expect(shipped):
 
 def _likelihood(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = Hmm(*shipped.value)
         keep = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within"]
         for batch in batches:
             out = np.zeros(batch.num_rows)
@@ -297,18 +304,22 @@ def _likelihood(shipped):
 def _vocabulary(blocks: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """Corpus count and class of each block's words, and their bounded summary."""
     spark = blocks.sparkSession
+    # at least TOP_WORDS words stand so often, as parts of their counts show, and so no word below is among the top ones
+    parts = blocks.select(F.explode("often").alias("w")).groupBy("w.hash").agg(F.sum("w.tf").alias("c"))
+    least = parts.orderBy(F.desc("c")).limit(TOP_WORDS).agg(F.when(F.count(F.lit(1)) == TOP_WORDS, F.min("c")).alias("least")).first()["least"]
     zipped = F.arrays_zip("hash", "tail", "tf")
-    often = blocks.select(F.explode(F.filter(zipped, lambda w: w["tf"] >= TOP_TIMES)).alias("w")).groupBy("w.hash").agg(F.sum("w.tf").alias("c"))
-    best = [(r["hash"],) for r in often.orderBy(F.desc("c"), "hash").limit(TOP_WORDS).collect()]
-    top = spark.createDataFrame([(h, i) for i, (h,) in enumerate(best)], "hash long, own int")
     words = blocks.select("block", F.posexplode(zipped).alias("pos", "w")).select("block", "pos", "w.hash", "w.tail", "w.tf")
-    # a word has one row a block, however often it stands there
+    # a word has one row a block, however often it stands there: no more than one row in BLOCK_WORDS of full blocks
     same = Window.partitionBy("hash")
     once = F.row_number().over(same.orderBy("block")) == 1
     words = words.withColumn("c", F.sum("tf").over(same)).withColumn("once", once)
+    may_be_top = F.when(F.col("c") >= max(1, least or 1), F.col("hash"))
+    words = written(words.select("block", "pos", "c", "tail", may_be_top.alias("hash"), "once"), "words")
+    best = words.filter("once AND hash IS NOT NULL").orderBy(F.desc("c"), "hash").limit(TOP_WORDS).select("hash").collect()
+    top = spark.createDataFrame([(r["hash"], i) for i, r in enumerate(best)], "hash long, own int")
     words = words.join(F.broadcast(top), "hash", "left")  # TOP_WORDS rows
     cls = F.coalesce("own", F.col("tail") + len(best)).cast("int")
-    words = written(words.select("block", "pos", "c", cls.alias("cls"), "once"), "words")
+    words = words.select("block", "pos", "c", cls.alias("cls"), "once")
     class_total = np.zeros(len(best) + TAIL_CLASSES)
     tail_total, tail_distinct = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     total = distinct = 0
@@ -328,7 +339,7 @@ def baum_welch(coded: DataFrame, counts: np.ndarray, states: int = STATES, round
     train = coded.filter("NOT held_out").select("classes")
     found: list[float] = []
     for _ in range(rounds):
-        shipped = coded.sparkSession.sparkContext.broadcast(model)
+        shipped = coded.sparkSession.sparkContext.broadcast(model.parts())
         sums = train.mapInArrow(_expect(shipped), "i int, value double").groupBy("i").agg(F.sum("value").alias("value"))
         flat = np.zeros(states + states * states + states * classes + 1)
         for r in sums.collect():
@@ -365,11 +376,11 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = STATES, rou
     blocks = written(rows.mapInArrow(_blocks, BLOCK), "blocks")
     vocabulary, words = _vocabulary(blocks)
     counts = words.groupBy("block").agg(F.collect_list(F.struct("pos", "c", "cls")).alias("counts"))
-    coded = blocks.select("block", "docs", "tokens", "rare").join(counts, "block").mapInArrow(_coder(sc.broadcast(vocabulary)), CODED)
+    coded = blocks.select("block", "docs", "tokens", "rare").join(counts, "block").mapInArrow(_coder(sc.broadcast(vocabulary.parts())), CODED)
     coded = written(coded, "coded")
     model, _ = baum_welch(coded, vocabulary.class_total, states, rounds)
     scored = coded.mapInArrow(
-        _likelihood(sc.broadcast(model)),
+        _likelihood(sc.broadcast(model.parts())),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, score double")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")

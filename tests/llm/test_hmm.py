@@ -111,3 +111,23 @@ def test_all_training_texts_take_part_in_all_rounds(make, monkeypatch):
     assert found[-1] - found[-2] < hmm.GAIN * abs(found[-2])
     # without the classes' unknown mass, 40 rounds in memory reach 0.259 a token
     assert sum(r["score"] for r in got) - sum(r["base_score"] for r in got) > 0.24 * sum(r["n_tokens"] for r in got)
+
+
+def test_scores_do_not_depend_on_the_partitions(make, sample, monkeypatch):
+    monkeypatch.setattr(hmm, "TOP_WORDS", 150)  # most words share classes, and ties stand at the bound
+    rows = sample + [(10_000 + i, f"thin{i % 7} spread{i % 11} words") for i in range(200)]
+    one, many = ({r["doc_id"]: r for r in run(make(rows).repartition(n))} for n in (1, 16))
+    assert one.keys() == many.keys()
+    for d, r in one.items():
+        assert math.isclose(r["score"], many[d]["score"], rel_tol=1e-9)
+        assert math.isclose(r["base_score"], many[d]["base_score"], rel_tol=1e-12)
+
+
+def test_own_classes_are_the_words_of_largest_full_counts(make, sample, monkeypatch):
+    monkeypatch.setattr(hmm, "TOP_WORDS", 60)
+    docs = make(sample).repartition(16).selectExpr("doc_id", "false AS held_out", "cast(text AS binary) AS text")
+    blocks = hmm.written(docs.mapInArrow(hmm._blocks, hmm.BLOCK), "blocks")
+    found, _ = hmm._vocabulary(blocks)
+    c = Counter(w for _, t in sample for w in WORD.findall((t or "").encode().lower()) + [b""])
+    assert list(found.class_total[:60]) == sorted(c.values(), reverse=True)[:60]
+    assert found.total == sum(c.values()) and found.distinct == len(c)
