@@ -185,14 +185,14 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op1_exact_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
-            WHERE embedding IS NOT NULL
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x
+            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
-            FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id
+            SELECT q.r, q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+            FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.r <> q.r
         )
-        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM scored QUALIFY rank <= 20
     """,
     "op12_hard_negatives": """
