@@ -28,6 +28,9 @@ GAIN, ROUNDS, LEAST_ROUNDS = 1e-3, 40, 5
 #: a block's dictionary, tokens of a batch.
 TOP_WORDS, TAIL_CLASSES = 2_000, 512
 BLOCK_WORDS, BATCH_TOKENS = 200_000, 250_000
+#: Forward variables are scaled once in so many steps: eight steps of 1e-27
+#: (emission times move) leave them above the smallest double.
+SCALED = 8
 #: Stands for a word number that does not fit 16 bits.
 ESCAPE = 65_535
 END = b""
@@ -186,18 +189,23 @@ class Lockstep:
 
     def forward(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward variables, the scales, and the emissions, by token."""
-        emitted = m.emit.T[self.seen]
-        alpha, scale = np.empty_like(emitted), np.empty(len(emitted))
-        for t, n in enumerate(self.live):
-            a, b = self.at[t], self.at[t + 1]
+        emitted = np.take(np.ascontiguousarray(m.emit.T), self.seen, axis=0)
+        alpha, scale = np.empty_like(emitted), np.ones(len(emitted))
+        at, live = self.at.tolist(), [*self.live.tolist(), 0]
+        for t, n in enumerate(live[:-1]):
+            a, b = at[t], at[t + 1]
             x = alpha[a:b]
             if t:
-                np.matmul(alpha[self.at[t - 1]:self.at[t - 1] + n], m.move, out=x)
+                np.matmul(alpha[at[t - 1]:at[t - 1] + n], m.move, out=x)
                 x *= emitted[a:b]
             else:
                 np.multiply(m.start, emitted[a:b], out=x)
-            s = x.sum(1, out=scale[a:b])
-            x /= s[:, None]
+            # sequences that end here are scaled, and all at every eighth step
+            first = live[t + 1] if (t + 1) % SCALED else 0
+            if first < n:
+                x = x[first:]
+                s = x.sum(1, out=scale[a + first:b])
+                x /= s[:, None]
         return alpha, scale, emitted
 
     def log10(self, m: Hmm) -> np.ndarray:
@@ -219,16 +227,18 @@ class Lockstep:
         alpha, scale, emitted = self.forward(m)
         logs = float(np.log10(scale).sum())
         beta = np.ones_like(alpha)
-        move = np.zeros_like(m.move)
         back = np.ascontiguousarray(m.move.T)
         emitted /= scale[:, None]
-        for t in range(len(self.live) - 1, 0, -1):
-            a, b, n = self.at[t], self.at[t + 1], self.live[t]
-            p = self.at[t - 1]
+        at, live = self.at.tolist(), self.live.tolist()
+        for t in range(len(live) - 1, 0, -1):
+            a, b, p = at[t], at[t + 1], at[t - 1]
             ahead = emitted[a:b]
             ahead *= beta[a:b]
-            move += alpha[p:p + n].T @ ahead
-            np.matmul(ahead, back, out=beta[p:p + n])
+            np.matmul(ahead, back, out=beta[p:p + live[t]])
+        # a step's rows follow the first rows of the step before
+        n = self.live[0]
+        before = np.arange(n, len(alpha)) - np.repeat(self.live[:-1], self.live[1:])
+        move = np.take(alpha, before, axis=0).T @ emitted[n:]
         alpha *= beta
         size = m.emit.shape[1]
         emit = np.stack([np.bincount(self.seen, alpha[:, k], size) for k in range(len(m.start))])

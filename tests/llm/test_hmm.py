@@ -45,6 +45,21 @@ def test_forward_and_counts_against_all_paths():
         assert np.allclose(got, sum(parts))
 
 
+def test_long_sequences_scaled_once_in_some_steps(monkeypatch):
+    m, rng = model(2), random.Random(2)
+    seqs = [np.array([rng.randrange(5) for _ in range(n)]) for n in (10, 9, 11, 8)]
+    want = [by_paths(m, s) for s in seqs]
+    for every in (1, 3, hmm.SCALED):
+        monkeypatch.setattr(hmm, "SCALED", every)
+        steps = Lockstep(seqs)
+        assert np.allclose(steps.log10(m), [math.log10(w[0]) for w in want])
+        for got, parts in zip(steps.counts(m), zip(*[w[1:] for w in want])):
+            assert np.allclose(got, sum(parts))
+    rare = Hmm(m.start, m.move, np.full((2, 5), 1e-27))
+    steps = Lockstep([np.zeros(4_000, np.int64)])
+    assert np.allclose(steps.log10(rare), [-27 * 4_000]) and all(np.isfinite(x).all() for x in steps.counts(rare))
+
+
 def test_iterations_raise_the_likelihood():
     rng = random.Random(5)
     seqs = [np.array([rng.choice((0, 1) if i % 2 else (2, 3, 4)) for _ in range(30)]) for i in range(60)]
