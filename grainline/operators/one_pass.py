@@ -7,7 +7,9 @@ date range and filters it meets, with the columns of the tag's grain and nulls
 for the others. Then all tags of all slices go through the same two aggregates:
 
   first   by (tag, day, grain): MAX of each metric; for a signature whose rows
-          are known to be unique, SUM by (tag, bucket, output key) at once
+          are known to be unique, SUM by (tag, bucket, output key) at once;
+          the same for rows of roll-ups (``plans.rollup``), which are sums of MAX
+          already and carry the name of their signature
   second  by (tag, bucket, output key): SUM
 
 A slice's rows are those of its left tag; the others' values are handed to them
@@ -27,6 +29,7 @@ from ..functions.dates import time_bucket
 from . import serve as S
 
 SLICE, TAG, LEFT, TIME, GRAIN_DAY = "_slice", "_tag", "_left", "_t", "_grain_day"
+SIGNATURE = "_signature"
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,7 @@ class Tag:
     left: bool
 
 
-def _tags(slices: list[Slice]) -> list[Tag]:
+def tags(slices: list[Slice]) -> list[Tag]:
     out = []
     for s in slices:
         signatures = list(S._signatures(s.plan))
@@ -57,30 +60,43 @@ def _tags(slices: list[Slice]) -> list[Tag]:
     return out
 
 
-def _predicate(tag: Tag, schema) -> Column | None:
-    both = [S._date_pred(tag.slice.plan.req), S._filter_pred(tag.slice.plan, schema, exclude=tag.signature or frozenset())]
-    both = [p for p in both if p is not None]
-    return both[0] & both[1] if len(both) == 2 else next(iter(both), None)
+def _predicate(tag: Tag, schema, rolled: bool) -> Column | None:
+    signature = tag.signature or frozenset()
+    preds = [S._date_pred(tag.slice.plan.req), S._filter_pred(tag.slice.plan, schema, exclude=signature)]
+    if rolled:
+        preds.append(F.col(SIGNATURE) == signature_name(signature))
+    out = None
+    for p in preds:
+        if p is not None:
+            out = p if out is None else out & p
+    return out
 
 
 def metric_column(name: str) -> str:
     return f"_v_{name}"
 
 
-def slice_sums(slices: list[Slice], cache: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+def signature_name(signature: frozenset) -> str:
+    """How rows of roll-ups name their signature."""
+    return ",".join(sorted(signature))
+
+
+def slice_sums(slices: list[Slice], cache: DataFrame, extra: DataFrame | None = None, rolled: bool = False) -> DataFrame:
     """The slices' rows: ``_slice``, ``_t`` (the bucket; null for a pivot), a
     column for each requested dimension's column (null where the slice does not
     ask for it) and one for each base metric (``metric_column``; null where the
     slice does not need it). ``extra`` has rows (``_slice``, ``_t``) to be added; then
-    ``_left`` is false for these and true for rows of the slices.
+    ``_left`` is false for these and true for rows of the slices. ``rolled`` says
+    that ``cache`` has rows of roll-ups.
     """
     spec, dims = slices[0].plan.spec, slices[0].plan.dims
-    base = S.prepare_base(spec, cache)
-    tags = _tags(slices)
+    base = cache if rolled else S.prepare_base(spec, cache)
+    found = tags(slices)
     names = list(dict.fromkeys(n for s in slices for n in s.plan.needed_base))
     metrics = {n: spec.metric(n) for n in names}
     sig_of = {n: frozenset(set(m.independent_of) & {d.name for d in dims}) for n, m in metrics.items()}
-    summed = {n for n in names if spec.unique_grain and not sig_of[n]}
+    summed = {n for n in names if rolled or spec.unique_grain and not sig_of[n]}
+    source = {n: metric_column(n) if rolled else m.column for n, m in metrics.items()}
     types = {f.name: f.dataType for f in base.schema.fields}
     none = lambda c: F.lit(None).cast(types[c])
     requested = {d.col: {s.number for s in slices if d.name in s.plan.requested_dims} for d in dims}
@@ -94,19 +110,19 @@ def slice_sums(slices: list[Slice], cache: DataFrame, extra: DataFrame | None =
         grain = {d.name for d in dims} - (tag.signature or frozenset())
         keys = set(plan.requested_dims) & grain if at_once else grain
         return F.struct(
-            F.lit(tag.slice.number).alias(SLICE), F.lit(tags.index(tag)).alias(TAG), F.lit(tag.left).alias(LEFT), bucket.alias(TIME),
+            F.lit(tag.slice.number).alias(SLICE), F.lit(found.index(tag)).alias(TAG), F.lit(tag.left).alias(LEFT), bucket.alias(TIME),
             (F.lit(None).cast("date") if at_once else F.col(S.DAY)).alias(GRAIN_DAY),
             *[(F.col(d.col) if d.name in keys else none(d.col)).alias(d.col) for d in dims],
-            *[(F.col(m.column) if n in own else none(m.column)).alias(metric_column(n)) for n, m in metrics.items()],
+            *[(F.col(c) if n in own else none(c)).alias(metric_column(n)) for n, c in source.items()],
         )
 
-    preds = [_predicate(t, base.schema) for t in tags]
+    preds = [_predicate(t, base.schema, rolled) for t in found]
     if all(p is not None for p in preds):
         any_of = preds[0]
         for p in preds[1:]:
             any_of = any_of | p
         base = base.where(any_of)
-    seen = [at(t) if p is None else F.when(p, at(t)) for t, p in zip(tags, preds)]
+    seen = [at(t) if p is None else F.when(p, at(t)) for t, p in zip(found, preds)]
     rows = base.select(F.explode(F.array(*seen)).alias("r")).where("r IS NOT NULL").select("r.*")
     columns = {n: metric_column(n) for n in names}
     first = rows.groupBy(SLICE, TAG, LEFT, TIME, GRAIN_DAY, *[d.col for d in dims]).agg(
@@ -118,7 +134,7 @@ def slice_sums(slices: list[Slice], cache: DataFrame, extra: DataFrame | None =
     else:
         sums = first
     sums = sums.select(SLICE, TAG, LEFT, TIME, *shown, *columns.values())
-    for signature in dict.fromkeys(t.signature for t in tags if t.signature and not t.left):
+    for signature in dict.fromkeys(t.signature for t in found if t.signature and not t.left):
         own = [columns[n] for n in names if sig_of[n] == signature]
         coarse = [d.col for d in dims if d.col in shown and d.name not in signature]
         key = Window.partitionBy(SLICE, TIME, *coarse)

@@ -33,6 +33,7 @@ from . import charts as CH
 from . import chart_view as CV
 from . import dashboard as DB
 from . import refresh as RF
+from . import rollup as RU
 
 D = _dt.date
 
@@ -598,6 +599,69 @@ def _snk_2_pinned(spark, sf):
     return total("before", before).unionByName(total("after", C.scan_cache(spark, root, chart)))
 
 
+# ---------------------------------------------------------------- AGG-3: stored roll-ups
+def _rolled_up(spark, sf: str, name: str, **kw):
+    """A chart of daily activity with roll-ups, made before the last day and the late
+    clicks were there; then its source has both. Returns root, chart, extent."""
+    root, chart = _own_cache(spark, sf, name), A.with_(name=name, query=A.query.replace("FROM events", f"FROM {name}"), **kw)
+    lo, hi = CH.source_extent(spark, A)
+    events = spark.table("events")
+    events.filter(~F.expr(_late_click("ts")) & (F.to_date("ts") < F.lit(hi))).createOrReplaceTempView(name)
+    _ran(RF.refresh(spark, root, chart, lo, hi, today=hi + _dt.timedelta(days=60), record=False))
+    RU.update(spark, root, chart, RU.LEVELS)
+    events.createOrReplaceTempView(name)
+    return root, chart, lo, hi
+
+
+_ROLLED_WEEKS = DataRequest(granularity="week", dimensions=["event_type"])
+_ROLLED_TYPES = DataRequest(x_axis="event_type", filters={"event_type": ["click", "view", "purchase"]})
+
+
+@register("agg_3_rollup", O.serve_sql(A, _ROLLED_WEEKS))
+def _agg_3_rollup(spark, sf):
+    """Weeks, read from roll-ups that a restatement brought up to date."""
+    root, chart, lo, hi = _rolled_up(spark, sf, "agg_3_rollup", rollups=RU.LEVELS)
+    _ran(RF.restate(spark, root, chart, lo, hi, today=hi + _dt.timedelta(days=60), record=False))
+    return RU.serve_cached(spark, root, chart, _ROLLED_WEEKS)
+
+
+@register("agg_3_rollup_behind", O.serve_sql(A, _ROLLED_TYPES))
+def _agg_3_rollup_behind(spark, sf):
+    """A pivot while the roll-ups are behind their cache, which was restated
+    without them: fresh weeks are read from them, the other days from the cache."""
+    root, chart, lo, hi = _rolled_up(spark, sf, "agg_3_rollup_behind")
+    middle = lo + (hi - lo) // 2
+    _ran(RF.restate(spark, root, chart, lo, middle, today=hi + _dt.timedelta(days=60), record=False))
+    RU.update(spark, root, chart, RU.LEVELS)
+    _ran(RF.restate(spark, root, chart, middle, hi, today=hi + _dt.timedelta(days=60), record=False))
+    return RU.serve_cached(spark, root, chart, _ROLLED_TYPES)
+
+
+@register("agg_3_rollup_states", f"""WITH d AS (SELECT CAST(ts AS DATE) AS day, bool_or({_late_click('ts')}) AS late FROM events GROUP BY 1),
+l AS (SELECT day, late, unnest(['week', 'month']) AS level FROM d), m AS (SELECT MAX(day) AS hi FROM d),
+b AS (SELECT level, CAST(CASE WHEN level = 'week' THEN date_trunc('week', day) ELSE date_trunc('month', day) END AS DATE) AS bucket, day, late FROM l)
+SELECT level, bucket, CASE WHEN MIN(day) = MAX(hi) THEN 'new' WHEN bool_or(late OR day = hi) THEN 'remade' ELSE 'unchanged' END AS state
+FROM b, m GROUP BY level, bucket""")
+def _agg_3_rollup_states(spark, sf):
+    """What an update did with each bucket after a restatement of all days."""
+    root, chart, lo, hi = _rolled_up(spark, sf, "agg_3_rollup_states")
+    _ran(RF.restate(spark, root, chart, lo, hi, today=hi + _dt.timedelta(days=60), record=False))
+    return RU.update_states(spark, RU.update(spark, root, chart, RU.LEVELS))
+
+
+_ROLLED_ORDERS = DataRequest(D(1994, 3, 10), D(1997, 8, 20), "month", dimensions=["region", "segment"], filters={"priority_tier": ["Tier-1"]})
+
+
+@register("agg_3_rollup_orders", O.serve_sql(OBM, _ROLLED_ORDERS))
+def _agg_3_rollup_orders(spark, sf):
+    """Months of a range that begins and ends inside one: whole months and weeks
+    from roll-ups, a few days from the cache."""
+    CH.materialize(spark, sf, OBM)
+    root = CH.cache_root(spark, sf)
+    RU.update(spark, root, OBM, RU.LEVELS)
+    return RU.serve_cached(spark, root, OBM, _ROLLED_ORDERS)
+
+
 # ---------------------------------------------------------------- REF-8 rebuild on a changed definition
 REBUILD_V1 = CH.ACTIVITY_TYPES.with_(name="activity_rebuild")
 REBUILD_V2 = REBUILD_V1.with_(variables={"TYPES": ["purchase"]})

@@ -112,10 +112,13 @@ class ChartSpec:
     # Opt-in: a day is a small part of a file, so a write of many days puts
     # those of a month into one folder.
     small_days: bool = False
+    # Opt-in: the roll-ups ("week", "month") that each refresh brings up to date.
+    rollups: tuple[str, ...] = ()
 
     def __post_init__(self):
         object.__setattr__(self, "dims", tuple(self.dims))
         object.__setattr__(self, "metrics", tuple(self.metrics))
+        object.__setattr__(self, "rollups", tuple(self.rollups))
         dim_names = {d.name for d in self.dims}
         for m in self.metrics:
             for ind in m.independent_of:
