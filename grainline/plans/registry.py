@@ -355,6 +355,21 @@ SELECT COALESCE(a.event_date, b.event_date) AS event_date, a.event_date IS NOT N
 FROM a FULL JOIN b ON a.event_date IS NOT DISTINCT FROM b.event_date
 WHERE a.event_date IS NULL OR b.event_date IS NULL OR a.dau IS DISTINCT FROM b.dau""")(_dq1)
 
+@register("dq_1_large", """WITH m AS (SELECT MIN(o_orderdate) AS lo, MAX(o_orderdate) AS hi FROM orders)
+SELECT o_orderkey, true AS in_a, o_orderdate < hi AS in_b, CAST(o_custkey AS DOUBLE) AS a_o_custkey, CASE WHEN o_orderdate < hi THEN CAST(o_custkey AS DOUBLE) END AS b_o_custkey,
+       CAST(o_totalprice AS DOUBLE) AS a_o_totalprice, CASE WHEN o_orderdate < hi THEN CAST(o_totalprice AS DOUBLE) + 1 END AS b_o_totalprice
+FROM orders, m WHERE o_orderdate = lo OR o_orderdate = hi""")
+def _dq_1_large(spark, sf):
+    """Orders against a copy whose prices all differ a little (within the
+    tolerance), those of the first day by one, and which lacks the last day."""
+    register_tables(spark, sf)
+    orders = spark.table("orders")
+    ends = spark.sql("SELECT MIN(o_orderdate) AS lo, MAX(o_orderdate) AS hi FROM orders").first()
+    price, first = F.col("o_totalprice").cast("double"), F.col("o_orderdate") == F.lit(ends["lo"])
+    copy = orders.where(F.col("o_orderdate") < F.lit(ends["hi"])).withColumn("o_totalprice", F.when(first, price + 1).otherwise(price * (1 + 1e-12)))
+    return AU.reconcile_large(orders.withColumn("o_totalprice", price), copy, ["o_orderkey"], ["o_custkey", "o_totalprice"])
+
+
 A_BAD = A.with_(metrics=tuple(m if m.name != "events" else type(m)("events", column="events", independent_of=("event_type",))
                               for m in A.metrics))
 register("dq_2", f"""SELECT 'events' AS metric, _day AS day, '{{}}' AS grain, COUNT(*) AS rows,
